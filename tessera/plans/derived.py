@@ -82,3 +82,43 @@ def web_images(spark: SparkSession, d: str) -> DataFrame:
     return (hits.join(links, "page_id")
             .select("query_id", (F.col("rank") * 100000 + F.col("pos")).cast("bigint").alias("img_pos"),
                     F.col("href").alias("url"), F.col("anchor").alias("description")))
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Raw JSON search responses, one per document (query_id = doc_id).
+
+    German documents with an even id answer with a JSON array (not an
+    object), source ``src7`` with text that is not JSON, Spanish documents
+    with ``{"results": null}``; every other response holds two result
+    objects around two non-object elements, the second object lacking a
+    title when the id is a multiple of 3.
+    """
+    docs = load(spark, d, "documents")
+    i = F.col("doc_id")
+    sid = i.cast("string")
+    obj1 = F.to_json(F.struct(
+        F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/doc/"), sid).alias("url"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
+        F.col("text").alias("content"),
+        (F.col("n_chars") / F.lit(1000.0)).alias("score"),
+        F.concat(F.lit("2024-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0")).alias("published_date")))
+    obj2 = F.to_json(F.struct(
+        F.concat(F.lit("https://mirror."), F.col("source"), F.lit(".example.org/doc/"), sid).alias("url"),
+        F.when(i % 3 != 0, F.concat(F.lit("Mirror "), sid)).alias("title"),
+        F.concat(F.lit("copy of "), sid).alias("content")))
+    body = F.concat(F.lit('{"results": ['), obj1, F.lit(', "junk", 7, '), obj2, F.lit("]}"))
+    resp = (F.when((F.col("lang") == "de") & (i % 2 == 0), F.concat(F.lit("["), sid, F.lit("]")))
+            .when(F.col("source") == "src7", F.concat(F.lit("not json "), sid))
+            .when(F.col("lang") == "es", F.lit('{"results": null}'))
+            .otherwise(body))
+    return docs.select(i.alias("query_id"), resp.alias("response"))
+
+
+def expanded_search(spark: SparkSession, d: str) -> DataFrame:
+    """Q2 + R1: one BM25 search per (request, angle) -> (query_id, doc_id, score).
+
+    The variant key is query_id * 10 + angle position (3 angles)."""
+    ex = rq.expand_queries(params(spark, d))
+    vreq = ex.select((F.col("query_id") * 10 + F.col("angle_pos")).alias("query_id"), "query")
+    s = rt.keyword_search(load(spark, d, "documents"), vreq)
+    return s.withColumn("query_id", F.expr("query_id div 10"))

@@ -10,6 +10,7 @@ from tessera.operators import retrieve as rt
 from tessera.plans import derived as dv
 from tessera.plans import sqlparts as sp
 from tessera.plans.catalog import register
+from tessera.sources.pages import page_links
 from tessera.sources.tables import corpus, load
 
 
@@ -72,3 +73,155 @@ def flagship(spark, d):
 def q_search_with_snippet(spark, d):
     """The flagship slice (Q1 -> R1 -> R6 -> N3) as a registered query."""
     return flagship(spark, d)
+
+
+# --- S2, N4-N10 ---------------------------------------------------------------
+from tessera.sources import responses as rs  # noqa: E402
+from tessera.operators import dedup as dd  # noqa: E402
+
+PARSED_COLS = ("query_id", "rank", "url", "title", "content", "score", "published_date",
+               "raw_content", "has_url", "has_title", "has_content")
+
+
+@register("parse_responses_results", sp.sql(sp.parsed_results(), f"SELECT {', '.join(PARSED_COLS)} FROM parsed"))
+def q_parse_results(spark, d):
+    """Result rows of the JSON responses."""
+    return rs.parse_results(dv.responses(spark, d)).select(*PARSED_COLS)
+
+
+@register("parse_responses_errors", sp.sql(sp.parsed_results(), "SELECT query_id, error FROM parsed_errors"))
+def q_parse_errors(spark, d):
+    """Error rows (bad JSON, non-object response)."""
+    return rs.parse_errors(dv.responses(spark, d))
+
+
+@register("validate_batches", sp.sql(sp.parsed_results(), """SELECT r.query_id,
+  CAST(coalesce(p.n, 0) AS BIGINT) AS n_results, coalesce(p.n, 0) > 0 AND coalesce(p.ok, FALSE) AS valid
+FROM resp r LEFT JOIN (SELECT query_id, count(*) AS n, bool_and(has_url AND has_title AND has_content) AS ok
+  FROM parsed GROUP BY query_id) p ON p.query_id = r.query_id"""))
+def q_validate_batches(spark, d):
+    """Batch verdicts for every response, empty batches included."""
+    resp = dv.responses(spark, d)
+    return nz.validate_batches(resp, rs.parse_results(resp))
+
+
+@register("quarantine", sp.sql(sp.parsed_results(), """SELECT query_id, rank,
+  CASE WHEN NOT has_url THEN 'missing url' WHEN NOT has_title THEN 'missing title'
+       WHEN NOT has_content THEN 'missing snippet' END AS reason,
+  CASE WHEN has_url AND has_title AND has_content THEN 'valid' ELSE 'rejected' END AS status
+FROM parsed"""))
+def q_quarantine(spark, d):
+    """Row-level valid / rejected split."""
+    return nz.quarantine(rs.parse_results(dv.responses(spark, d))).select("query_id", "rank", "reason", "status")
+
+
+@register("error_rows", sp.sql(sp.parsed_results(), """SELECT r.query_id, e.error,
+  CASE WHEN e.error IS NULL THEN 'ok' ELSE 'error' END AS status
+FROM resp r LEFT JOIN parsed_errors e ON e.query_id = r.query_id"""))
+def q_error_rows(spark, d):
+    """One status row per request."""
+    resp = dv.responses(spark, d)
+    return nz.error_rows(resp, rs.parse_errors(resp))
+
+
+@register("attach_images", sp.sql(sp.web_results() + sp.web_images(), """SELECT w.query_id, w.rank, w.page_id,
+  i.n_images, i.images_md
+FROM web_results w LEFT JOIN (
+  SELECT query_id, CAST(1 AS BIGINT) AS rank, CAST(count(*) AS BIGINT) AS n_images,
+         string_agg('![' || description || '](' || url || ')', chr(10) ORDER BY img_pos) AS images_md
+  FROM web_images
+  WHERE coalesce(url, '') <> '' AND coalesce(description, '') <> ''
+    AND query_id IN (SELECT query_id FROM params WHERE include_images)
+  GROUP BY query_id) i ON i.query_id = w.query_id AND i.rank = w.rank"""))
+def q_attach_images(spark, d):
+    """Images of image-enabled requests attached to their first result."""
+    asked = dv.params(spark, d).filter(F.col("include_images") == F.lit(True)).select("query_id")
+    imgs = dv.web_images(spark, d).join(asked, "query_id", "left_semi")
+    out = nz.attach_images(dv.web_results(spark, d).select("query_id", "rank", "page_id"), imgs)
+    return out.select("query_id", "rank", "page_id",
+                      F.when(F.col("images").isNotNull(), F.size("images").cast("bigint")).alias("n_images"),
+                      F.array_join(F.transform("images", lambda x: x["markdown"]), "\n").alias("images_md"))
+
+
+@register("result_count_check", sp.sql(sp.doc_search(), """SELECT p.query_id,
+  CAST(coalesce(c.n, 0) AS BIGINT) AS n_results, NOT (coalesce(c.n, 0) BETWEEN 20 AND 50) AS out_of_range
+FROM params p LEFT JOIN (SELECT query_id, count(*) AS n FROM doc_search GROUP BY query_id) c
+  ON c.query_id = p.query_id"""))
+def q_result_count_check(spark, d):
+    """Requests outside 20-50 results."""
+    return nz.result_count_check(dv.doc_search(spark, d), dv.params(spark, d))
+
+
+@register("field_profile", sp.sql(sp.web_results(), """SELECT query_id, CAST(count(*) AS BIGINT) AS n_results,
+  CAST(count(*) FILTER (WHERE coalesce(title, '') <> '') AS BIGINT) AS n_titled,
+  round(avg(length(snippet)), 4) AS avg_snippet_len,
+  CAST(count(*) FILTER (WHERE raw_content IS NULL) AS BIGINT) AS n_raw_null,
+  round(avg(length(raw_content)), 4) AS avg_raw_len
+FROM web_results GROUP BY query_id"""))
+def q_field_profile(spark, d):
+    """Per-query field report."""
+    return nz.field_profile(dv.web_results(spark, d))
+
+
+@register("image_request_check", sp.sql(sp.web_images(), """SELECT query_id, 'no_images' AS issue, CAST(1 AS BIGINT) AS n
+FROM params WHERE include_images AND query_id NOT IN (SELECT query_id FROM web_images
+  WHERE coalesce(url, '') <> '' AND coalesce(description, '') <> '')
+UNION ALL
+SELECT query_id, issue, CAST(count(*) AS BIGINT) FROM (
+  SELECT query_id, 'empty_url' AS issue FROM web_images WHERE coalesce(url, '') = ''
+  UNION ALL SELECT query_id, 'empty_description' FROM web_images WHERE coalesce(description, '') = '')
+GROUP BY query_id, issue"""))
+def q_image_request_check(spark, d):
+    """Image requests without usable images; empty image fields."""
+    return nz.image_request_check(dv.params(spark, d), dv.web_images(spark, d))
+
+
+@register("results_to_json")
+def q_results_to_json(spark, d):
+    """S3: one JSON array per request (rows-only check: JSON text formatting
+    differs between engines)."""
+    return rs.results_to_json(dv.web_results(spark, d))
+
+
+# --- D1, D2, D4, D5 -------------------------------------------------------------
+@register("unique_citations", sp.sql(sp.page_links(), """SELECT page_id AS msg_id, min(pos) AS pos,
+  coalesce(nullif(arg_min(anchor, pos), ''), href) AS title, href AS url
+FROM page_links GROUP BY page_id, href"""))
+def q_unique_citations(spark, d):
+    """First occurrence of each url per message (page anchors as citations)."""
+    ann = page_links(load(spark, d, "pages")).select(F.col("page_id").alias("msg_id"), "pos", F.col("anchor").alias("title"), F.col("href").alias("url"))
+    return dd.unique_citations(ann)
+
+
+@register("drop_exact_duplicates", """SELECT d.doc_id, d.lang, d.source, d.n_chars, k.n_copies
+FROM documents d JOIN (SELECT min(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_copies
+  FROM documents GROUP BY text) k ON k.doc_id = d.doc_id""")
+def q_drop_exact_duplicates(spark, d):
+    """One document per distinct text."""
+    return dd.drop_exact_duplicates(load(spark, d, "documents")).select(
+        "doc_id", "lang", "source", "n_chars", "n_copies")
+
+
+@register("diversify", sp.sql(sp.web_results(), """SELECT query_id, rank, page_id, domain, domain_rank FROM (
+  SELECT query_id, rank, page_id, domain, CAST(row_number() OVER (PARTITION BY query_id, domain
+    ORDER BY score DESC, page_id) AS BIGINT) AS domain_rank FROM web_results) WHERE domain_rank <= 2"""))
+def q_diversify(spark, d):
+    """At most two results per domain and request."""
+    return dd.diversify(dv.web_results(spark, d)).select("query_id", "rank", "page_id", "domain", "domain_rank")
+
+
+@register("source_mix", """SELECT source, lang, CAST(count(*) AS BIGINT) AS n,
+  CAST(grouping(source, lang) AS BIGINT) AS level,
+  round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM documents), 4) AS share
+FROM documents GROUP BY ROLLUP (source, lang)""")
+def q_source_mix(spark, d):
+    """Documents by source and language with rollup subtotals."""
+    return dd.source_mix(load(spark, d, "documents").select("source", "lang"))
+
+
+@register("source_balance", """SELECT CAST(count(*) AS BIGINT) AS n_groups,
+  round(max(n) / (SELECT CAST(count(*) AS DOUBLE) FROM documents), 4) AS max_share
+FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""")
+def q_source_balance(spark, d):
+    """Language balance (largest share)."""
+    return dd.balance(load(spark, d, "documents").select("lang"), "lang")

@@ -144,3 +144,36 @@ def web_images() -> list[str]:
     return web_search() + page_links() + ["""web_images AS (SELECT h.query_id,
   CAST(h.rank * 100000 + l.pos AS BIGINT) AS img_pos, l.href AS url, l.anchor AS description
 FROM web_search h JOIN page_links l ON l.page_id = h.page_id)"""]
+
+
+def responses_kind() -> list[str]:
+    return ["""resp AS (SELECT doc_id AS query_id, doc_id, source, text, n_chars,
+  CASE WHEN lang = 'de' AND doc_id % 2 = 0 THEN 'other' WHEN source = 'src7' THEN 'bad'
+       WHEN lang = 'es' THEN 'null' ELSE 'object' END AS kind FROM documents)"""]
+
+
+def parsed_results() -> list[str]:
+    return responses_kind() + ["""parsed AS (
+  SELECT query_id, CAST(1 AS BIGINT) AS rank,
+    'https://' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR) AS url,
+    split_part(text, chr(10), 1) AS title, text AS content, CAST(n_chars AS DOUBLE) / 1000.0 AS score,
+    '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS published_date,
+    CAST(NULL AS VARCHAR) AS raw_content, source IS NOT NULL AS has_url,
+    split_part(text, chr(10), 1) IS NOT NULL AS has_title, text IS NOT NULL AS has_content
+  FROM resp WHERE kind = 'object'
+  UNION ALL
+  SELECT query_id, CAST(2 AS BIGINT),
+    'https://mirror.' || source || '.example.org/doc/' || CAST(doc_id AS VARCHAR),
+    CASE WHEN doc_id % 3 <> 0 THEN 'Mirror ' || CAST(doc_id AS VARCHAR) END,
+    'copy of ' || CAST(doc_id AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR),
+    CAST(NULL AS VARCHAR), TRUE, doc_id % 3 <> 0, TRUE
+  FROM resp WHERE kind = 'object')""",
+        """parsed_errors AS (SELECT query_id, CASE kind WHEN 'bad' THEN 'search failed: invalid JSON response'
+  ELSE 'search failed: unexpected response type' END AS error FROM resp WHERE kind IN ('bad', 'other'))"""]
+
+
+def expanded_search() -> list[str]:
+    return params() + ["""expanded AS (SELECT query_id * 10 + a.pos AS query_id, query || a.suffix AS query
+  FROM params CROSS JOIN (VALUES (0, ''), (1, ' analysis'), (2, ' overview')) a(pos, suffix))"""] + \
+        bm25("exp_bm25", "documents", "doc_id", "text", reqs="expanded") + \
+        ["exp_search AS (SELECT query_id // 10 AS query_id, doc_id, score FROM exp_bm25)"]
