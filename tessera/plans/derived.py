@@ -122,3 +122,37 @@ def expanded_search(spark: SparkSession, d: str) -> DataFrame:
     vreq = ex.select((F.col("query_id") * 10 + F.col("angle_pos")).alias("query_id"), "query")
     s = rt.keyword_search(load(spark, d, "documents"), vreq)
     return s.withColumn("query_id", F.expr("query_id div 10"))
+
+
+def phrase_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests with an exact phrase: even ids quote their first two tokens."""
+    from tessera.functions.text import tokenize
+    p = params(spark, d)
+    t = tokenize("query")
+    phrase = F.concat(F.lit(' "'), F.try_element_at(t, F.lit(1)), F.lit(" "),
+                      F.try_element_at(t, F.lit(2)), F.lit('"'))
+    q = F.when(F.col("query_id") % 2 == 0, F.concat(F.col("query"), F.coalesce(phrase, F.lit(""))))
+    return p.withColumn("query", F.coalesce(q, F.col("query")))
+
+
+def event_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Events with a requested time range by type (error: none)."""
+    e = load(spark, d, "events")
+    rng = (F.when(F.col("event_type") == "view", F.lit("day")).when(F.col("event_type") == "click", F.lit("week"))
+           .when(F.col("event_type") == "purchase", F.lit("month"))
+           .when(F.col("event_type") == "signup", F.lit("year")))
+    return e.withColumn("time_range", rng)
+
+
+TIER_PARAMS = (("org", 3), ("example.net", 2), ("www.ththhe.example.com", 1), ("tionsh.example.net", 1))
+
+
+def tier_table(spark: SparkSession):
+    """A caller-supplied tier table (rule table, bounded by construction)."""
+    return spark.createDataFrame(list(TIER_PARAMS), "suffix string, tier bigint")
+
+
+def web_tiered(spark: SparkSession, d: str) -> DataFrame:
+    """web_results with C1 tiers from the parameter table (as a fixed list)."""
+    from tessera.operators.credibility import tier_sources
+    return tier_sources(web_results(spark, d), tiers=TIER_PARAMS)

@@ -177,3 +177,54 @@ def expanded_search() -> list[str]:
   FROM params CROSS JOIN (VALUES (0, ''), (1, ' analysis'), (2, ' overview')) a(pos, suffix))"""] + \
         bm25("exp_bm25", "documents", "doc_id", "text", reqs="expanded") + \
         ["exp_search AS (SELECT query_id // 10 AS query_id, doc_id, score FROM exp_bm25)"]
+
+
+def host(expr: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({expr}), '^.*@', ''), ':[0-9]*$', '')"
+
+
+def tier_case(expr: str, tiers) -> str:
+    h = host(expr)
+    parts = []
+    for t in sorted({t for _, t in tiers}):
+        conds = " OR ".join(f"({h} = {q(s)} OR suffix({h}, {q('.' + s)}))" for s, tt in tiers if tt == t)
+        parts.append(f"WHEN {conds} THEN CAST({t} AS BIGINT)")
+    return "(CASE " + " ".join(parts) + " END)"
+
+
+def web_tiered() -> list[str]:
+    from tessera.plans.derived import TIER_PARAMS
+    return web_results() + [f"web_tiered AS (SELECT *, {tier_case('domain', TIER_PARAMS)} AS tier FROM web_results)"]
+
+
+def tier_weight(expr: str) -> str:
+    return f"CAST(CASE {expr} WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 ELSE 0.2 END AS DOUBLE)"
+
+
+def sentences_sql(src: str, id_col: str, text_col: str) -> str:
+    from tessera.operators.summarise import SENTENCE_PATTERN
+    return f"""SELECT {id_col}, CAST(generate_subscripts(s, 1) AS BIGINT) AS sent_pos, trim(unnest(s)) AS sentence
+  FROM (SELECT {id_col}, regexp_extract_all({text_col}, {q(SENTENCE_PATTERN)}) AS s FROM {src})"""
+
+
+def phrase_requests() -> list[str]:
+    return params() + [f"""phrase_req AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN
+    query || coalesce(' "' || t[1] || ' ' || t[2] || '"', '') ELSE query END AS query
+  FROM (SELECT query_id, query, {tokens('query')} AS t FROM params))"""]
+
+
+def doc_sentences() -> list[str]:
+    from tessera.operators.summarise import SENTENCE_PATTERN
+    return [f"""doc_sent_raw AS (SELECT doc_id, CAST(generate_subscripts(s, 1) AS BIGINT) AS sent_pos,
+    trim(unnest(s)) AS sentence FROM (SELECT doc_id, regexp_extract_all(text, {q(SENTENCE_PATTERN)}) AS s FROM documents))""",
+            f"""doc_sent AS (SELECT doc_id, sent_pos, sentence, CAST(len({tokens('sentence')}) AS BIGINT) AS n_tokens
+  FROM doc_sent_raw WHERE sentence <> '')"""]
+
+
+def doc_facts() -> list[str]:
+    from tessera.operators.summarise import DATE_PATTERN, FACT_PATTERN
+    return doc_sentences() + [f"""doc_facts AS (SELECT doc_id, sent_pos, fact_pos, fact,
+    CASE WHEN suffix(fact, '%') THEN 'percent' WHEN regexp_matches(fact, {q(DATE_PATTERN)}) THEN 'date'
+         ELSE 'number' END AS kind
+  FROM (SELECT doc_id, sent_pos, CAST(generate_subscripts(f, 1) AS BIGINT) AS fact_pos, unnest(f) AS fact
+        FROM (SELECT doc_id, sent_pos, regexp_extract_all(sentence, {q(FACT_PATTERN)}) AS f FROM doc_sent)))"""]
