@@ -1,72 +1,115 @@
-"""Skew-safe ordered operations within a key (row number, running sum, previous row).
+"""Skew-safe ordered operations within a key (row number, running sum/max,
+previous/next row).
 
 A plain ``Window.partitionBy(key).orderBy(...)`` puts every row of a key
 into one task; a single hot key (a third of all events for one user, one
-huge thread) then becomes one giant sort.  These helpers split a key across
-tasks instead:
-
-1. ``repartitionByRange(key, order...)`` with a unique tiebreak in the
-   order, so a hot key spans many range partitions;
-2. the window runs per (range partition, key) -- each piece is bounded by
-   one range partition;
-3. a small carry table, one row per (partition, key), gives each piece the
-   count / sum of all earlier pieces of the same key (a window over at most
-   ``n_partitions`` rows per key), joined back on (partition, key).
-
-``previous`` rows are found by an equi-join on (key, seq - 1): the join key
-is unique per row, so it cannot skew either.
+huge thread) then becomes one giant sort.  These helpers split each key
+into order-contiguous *buckets* instead:
+
+1. exact per-key stats (count, min, max of the leading order column) come
+   from one grouped aggregate with map-side partial aggregation;
+2. ``bucket = floor((v - min) / (max - min) * nb)`` with
+   ``nb = ceil(count / rows_per_bucket)`` is monotone in the order, so all
+   rows of bucket b precede those of bucket b + 1.  It is a pure function
+   of the row and the key's stats, hence identical on every recomputation
+   (an executor loss cannot renumber anything);
+3. the window runs per (key, bucket); a carry table (one row per
+   (key, bucket)) gives each bucket the count / sum / max of the earlier
+   buckets of its key, joined back on (key, bucket).
+
+The stats join is on the key alone; AQE's skew-join handling splits a hot
+key's partition there (the stats side holds one row per key).  Previous /
+next rows come from an equi-join on (key, seq -/+ 1), a unique key per row.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def _tag(df: DataFrame, keys, order, n_parts) -> DataFrame:
-    cols = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
-    return df.repartitionByRange(_n_parts(df, n_parts), *cols).withColumn("_pid", F.spark_partition_id())
-
-
-def _join_carry(tagged: DataFrame, carry: DataFrame, keys) -> DataFrame:
-    cond = [tagged["_pid"] == carry["_pid"]] + [tagged[k].eqNullSafe(carry[k]) for k in keys]
-    cols = [carry[c] for c in carry.columns if c not in ("_pid", *keys)]
-    return tagged.join(carry, cond, "inner").select(tagged["*"], *cols)
-
-
-def sequence_number(df: DataFrame, keys, order, out: str = "seq", n_parts: int | None = None) -> DataFrame:
-    """1-based position of each row within its key, by ``order`` (which must
-    end in a unique tiebreak)."""
-    t = _tag(df, keys, order, n_parts)
-    local = Window.partitionBy("_pid", *keys).orderBy(*order)
-    t = t.withColumn("_lrn", F.row_number().over(local))
-    cnt = t.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = cnt.select("_pid", *keys, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
-    return (_join_carry(t, carry, keys)
+from pyspark.sql import types as T
+
+ROWS_PER_BUCKET = 1_000_000
+
+
+def _numeric(df: DataFrame, c) -> Column:
+    col = F.col(c) if isinstance(c, str) else c
+    if isinstance(c, str):
+        t = df.schema[c].dataType
+        if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(col.cast("timestamp")).cast("double")
+        if isinstance(t, T.DateType):
+            return F.unix_date(col).cast("double")
+    return col.cast("double")
+
+
+def _bucketed(df: DataFrame, keys, order, rows_per_bucket: int | None) -> DataFrame:
+    rpb = rows_per_bucket or ROWS_PER_BUCKET
+    v = _numeric(df, order[0])
+    t = df.withColumn("_v", v)
+    stats = t.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                 F.count(F.lit(1)).alias("_n"))
+    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(rpb))))
+    frac = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    bucket = F.when(F.col("_hi") > F.col("_lo"),
+                    F.least(nb - 1, F.floor(frac * nb))).otherwise(F.lit(0))
+    j = _join_keys(t, stats, keys)
+    return j.withColumn("_b", F.coalesce(bucket, F.lit(0)).cast("bigint")).drop("_v", "_lo", "_hi", "_n")
+
+
+def _join_keys(left: DataFrame, right: DataFrame, keys, extra=()) -> DataFrame:
+    names = list(keys) + list(extra)
+    cond = [left[k].eqNullSafe(right[k]) for k in names]
+    cols = [right[c] for c in right.columns if c not in names]
+    return left.join(right, cond, "inner").select(left["*"], *cols)
+
+
+def _order_cols(order):
+    return [F.col(o) if isinstance(o, str) else o for o in order]
+
+
+def sequence_number(df: DataFrame, keys, order, out: str = "seq",
+                    rows_per_bucket: int | None = None) -> DataFrame:
+    """1-based position of each row within its key by ``order`` (which must
+    end in a unique tiebreak; its first column must be numeric or a time)."""
+    t = _bucketed(df, keys, order, rows_per_bucket)
+    t = t.withColumn("_lrn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*_order_cols(order))))
+    cnt = t.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = cnt.select(*keys, "_b", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    return (_join_keys(t, carry, keys, ["_b"])
             .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint"))
-            .drop("_pid", "_lrn", "_off"))
+            .drop("_b", "_lrn", "_off"))
 
 
 def running_sum(df: DataFrame, keys, order, value: str, out: str, inclusive: bool = True,
-                n_parts: int | None = None) -> DataFrame:
+                rows_per_bucket: int | None = None) -> DataFrame:
     """Running sum of ``value`` within each key in ``order`` (inclusive of the
-    current row, or of the preceding rows only)."""
-    t = _tag(df, keys, order, n_parts)
+    current row, or of the preceding rows only); 0 when nothing precedes."""
+    t = _bucketed(df, keys, order, rows_per_bucket)
     hi = 0 if inclusive else -1
-    local = Window.partitionBy("_pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
+    local = Window.partitionBy(*keys, "_b").orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
     t = t.withColumn("_lsum", F.coalesce(F.sum(value).over(local), F.lit(0)))
-    tot = t.groupBy("_pid", *keys).agg(F.sum(value).alias("_tot"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tot.select("_pid", *keys, F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_carry"))
-    return (_join_carry(t, carry, keys)
+    tot = t.groupBy(*keys, "_b").agg(F.sum(value).alias("_tot"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*keys, "_b", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_carry"))
+    return (_join_keys(t, carry, keys, ["_b"])
             .withColumn(out, F.col("_carry") + F.col("_lsum"))
-            .drop("_pid", "_lsum", "_carry"))
+            .drop("_b", "_lsum", "_carry"))
+
+
+def running_max(df: DataFrame, keys, order, value: str, out: str, inclusive: bool = True,
+                rows_per_bucket: int | None = None) -> DataFrame:
+    """Running max of ``value`` (nulls ignored) within each key; null when no
+    earlier value exists.  Used for "last non-null before" lookups."""
+    t = _bucketed(df, keys, order, rows_per_bucket)
+    hi = 0 if inclusive else -1
+    local = Window.partitionBy(*keys, "_b").orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
+    t = t.withColumn("_lmax", F.max(value).over(local))
+    tot = t.groupBy(*keys, "_b").agg(F.max(value).alias("_tot"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tot.select(*keys, "_b", F.max("_tot").over(before).alias("_carry"))
+    return (_join_keys(t, carry, keys, ["_b"])
+            .withColumn(out, F.greatest(F.col("_carry"), F.col("_lmax")))
+            .drop("_b", "_lmax", "_carry"))
 
 
 def with_previous(df: DataFrame, keys, seq: str, cols, prefix: str = "prev_") -> DataFrame:
