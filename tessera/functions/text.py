@@ -69,3 +69,19 @@ def word_count(text) -> Column:
 
 def han_count(text) -> Column:
     return F.size(F.regexp_extract_all(_col(text), F.lit(r"\p{IsHan}"), 0))
+
+
+def explode_rows(df, keep, arr, name: str, pos: str | None = None):
+    """Explode ``arr`` into rows, dropping empty arrays.
+
+    Uses ``explode_outer`` + a filter on the generated column instead of
+    ``explode``: for ``explode`` Catalyst infers ``size(arr) > 0`` and pushes
+    that predicate below any repartition into the scan, evaluating the
+    (expensive, regex-built) array twice -- once before the rows are spread
+    over the cluster.
+    """
+    keep = [F.col(k) if isinstance(k, str) else k for k in keep]
+    if pos is None:
+        return df.select(*keep, F.explode_outer(arr).alias(name)).filter(F.col(name).isNotNull())
+    return (df.select(*keep, F.posexplode_outer(arr).alias(pos, name))
+            .filter(F.col(pos).isNotNull()))

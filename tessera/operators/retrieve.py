@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokenize
+from tessera.functions.text import explode_rows, tokenize
 
 # --- fixed values ------------------------------------------------------------
 BM25_K1 = 1.2
@@ -37,45 +37,72 @@ RECENCY_HALF_LIFE_DAYS = 365.0
 
 def query_terms(requests: DataFrame, query_col: str = "query") -> DataFrame:
     """(query_id, term): distinct tokens of each query."""
-    return (requests
-            .select("query_id", F.explode(F.array_distinct(tokenize(query_col))).alias("term")))
+    return explode_rows(requests, ["query_id"], F.array_distinct(tokenize(query_col)), "term")
 
 
-def keyword_search(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id",
-                   text_col: str = "text", query_col: str = "query",
-                   k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """BM25 relevance of every matching document for every request.
+def build_index(corpus: DataFrame, vocab: DataFrame | None = None, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """Inverted index in one tokenization pass: (_id, dl, term, tf).
 
-    Returns (query_id, <id_col>, score) with score rounded to 4 places; rows
-    exist only for documents sharing at least one term with the query.
-    Uncapped: combine with :func:`top_k_per_query`.
+    One row per (document, term) -- restricted to ``vocab`` when given --
+    plus one row per document with ``term`` null that carries its length,
+    so corpus statistics come from the same pass.  The (doc, term) counts
+    are combined map-side (all tokens of a document sit in one task), so the
+    shuffle carries postings, not tokens.
     """
     docs = corpus.select(F.col(id_col).alias("_id"), tokenize(text_col).alias("tokens"))
     docs = docs.select("_id", F.size("tokens").cast("double").alias("dl"), "tokens")
-    stats = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    n_docs = stats.select("n").scalar()
-    avgdl = stats.select("avgdl").scalar()
-
-    qterms = query_terms(requests, query_col)
-    vocab = qterms.select("term").distinct()
-    postings = (docs.select("_id", "dl", F.explode("tokens").alias("term"))
-                .join(vocab, "term", "left_semi")
-                .groupBy("_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    toks = explode_rows(docs, ["_id", "dl"], F.col("tokens"), "term")
+    if vocab is not None:
+        toks = toks.join(vocab, "term", "left_semi")
+    post = toks.groupBy("_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    lens = docs.select("_id", "dl", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("tf"))
+    return post.unionByName(lens)
+
+
+def score_index(index: DataFrame, qterms: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """BM25 from an index of :func:`build_index`: (query_id, _id, score)."""
+    lens = index.filter(F.col("term").isNull())
+    post = index.filter(F.col("term").isNotNull())
+    # one scalar subquery (referenced twice, planned once) for N and avgdl
+    stats = lens.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
+                              F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    n_docs, avgdl = stats["n"], stats["avgdl"]
+    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf = F.ln(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     contrib = (idf * (F.col("tf") * F.lit(k1 + 1.0))
                / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)))
-    scored = postings.join(dfreq, "term").select("_id", "term", contrib.alias("c"))
+    scored = post.join(dfreq, "term").select("_id", "term", contrib.alias("c"))
     return (qterms.join(scored, "term")
             .groupBy("query_id", "_id")
-            .agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score"))
-            .withColumnRenamed("_id", id_col))
+            .agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score")))
+
+
+def keyword_search(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id",
+                   text_col: str = "text", query_col: str = "query",
+                   k1: float = BM25_K1, b: float = BM25_B, materialize: bool = True) -> DataFrame:
+    """BM25 relevance of every matching document for every request.
+
+    Returns (query_id, <id_col>, score) with score rounded to 4 places; rows
+    exist only for documents sharing at least one term with the query.
+    Uncapped: combine with :func:`top_k_per_query`.
+
+    The index (postings of query terms + document lengths) is read three
+    times (N/avgdl, df, tf); with ``materialize`` it is written once to the
+    shared checkpoint folder so the text is tokenized exactly once.
+    """
+    qterms = query_terms(requests, query_col)
+    index = build_index(corpus, qterms.select("term").distinct(), id_col, text_col)
+    if materialize:
+        from tessera.session import materialize as _mat
+        index = _mat(index, "bm25-index")
+    return score_index(index, qterms, k1, b).withColumnRenamed("_id", id_col)
 
 
 def match_counts(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id",
                  text_col: str = "text", query_col: str = "query") -> DataFrame:
     """(query_id, n_matches): documents sharing any term with each query (uncapped)."""
-    docs = corpus.select(F.col(id_col).alias("_id"), F.explode(F.array_distinct(tokenize(text_col))).alias("term"))
+    docs = explode_rows(corpus, [F.col(id_col).alias("_id")], F.array_distinct(tokenize(text_col)), "term")
     qterms = query_terms(requests, query_col)
     vocab = qterms.select("term").distinct()
     return (qterms.join(docs.join(vocab, "term", "left_semi"), "term")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import TOKEN_PATTERN
+from tessera.functions.text import TOKEN_PATTERN, explode_rows
 
 # --- fixed values ------------------------------------------------------------
 SUMMARISE_ABOVE = 50          # > 50 results -> summarise first (exactly 50 -> credibility)
@@ -45,7 +45,7 @@ def rank_in_theme(df: DataFrame, theme_cols, score: str = "score", tie: str = "d
 def sentences(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, sent_pos, sentence, n_tokens): non-empty trimmed sentences, 1-based positions."""
     s = F.regexp_extract_all(F.col(text_col), F.lit(SENTENCE_PATTERN), 0)
-    return (df.select(id_col, F.posexplode(s).alias("sent_pos", "sentence"))
+    return (explode_rows(df, [id_col], s, "sentence", pos="sent_pos")
             .select(id_col, (F.col("sent_pos") + 1).cast("bigint").alias("sent_pos"),
                     F.trim(F.col("sentence")).alias("sentence"))
             .filter(F.col("sentence") != "")
@@ -75,7 +75,7 @@ def fact_kind(f: Column) -> Column:
 def extract_facts(sents: DataFrame, id_col: str) -> DataFrame:
     """M5: numbers, percentages and dates per sentence."""
     f = F.regexp_extract_all(F.col("sentence"), F.lit(FACT_PATTERN), 0)
-    return (sents.select(id_col, "sent_pos", F.posexplode(f).alias("fact_pos", "fact"))
+    return (explode_rows(sents, [id_col, "sent_pos"], f, "fact", pos="fact_pos")
             .select(id_col, "sent_pos", (F.col("fact_pos") + 1).cast("bigint").alias("fact_pos"), "fact",
                     fact_kind(F.col("fact")).alias("kind")))
 
@@ -84,7 +84,7 @@ def keyed_facts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame
     """(id, key, value): a word followed by a number, e.g. ``version 3``."""
     k = F.regexp_extract_all(F.col(text_col), F.lit(KEYED_FACT_PATTERN), 1)
     v = F.regexp_extract_all(F.col(text_col), F.lit(KEYED_FACT_PATTERN), 2)
-    return (df.select(id_col, F.explode(F.arrays_zip(k.alias("key"), v.alias("value"))).alias("x"))
+    return (explode_rows(df, [id_col], F.arrays_zip(k.alias("key"), v.alias("value")), "x")
             .select(id_col, F.lower(F.col("x.key")).alias("key"), F.col("x.value").alias("value")))
 
 
@@ -114,7 +114,7 @@ def theme_sources(df: DataFrame, theme: str, source: str) -> DataFrame:
 def extract_quotes(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """Double-quoted spans (3+ characters, one line) with their source row."""
     qs = F.regexp_extract_all(F.col(text_col), F.lit(QUOTE_PATTERN), 1)
-    return (df.select(id_col, F.posexplode(qs).alias("quote_pos", "quote"))
+    return (explode_rows(df, [id_col], qs, "quote", pos="quote_pos")
             .withColumn("quote_pos", (F.col("quote_pos") + 1).cast("bigint")))
 
 

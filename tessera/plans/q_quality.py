@@ -140,8 +140,8 @@ def q_coverage_gaps(spark, d):
     """Query terms that none of the request's results contain."""
     qt = rt.query_terms(dv.params(spark, d))
     hits = dv.doc_search(spark, d).select("query_id", "doc_id")
-    from tessera.functions.text import tokenize
-    dt = (_docs(spark, d, "text").select("doc_id", F.explode(F.array_distinct(tokenize("text"))).alias("term"))
+    from tessera.functions.text import explode_rows, tokenize
+    dt = (explode_rows(_docs(spark, d, "text"), ["doc_id"], F.array_distinct(tokenize("text")), "term")
           .join(qt.select("term").distinct(), "term", "left_semi"))
     found = hits.join(dt, "doc_id").select("query_id", "term").distinct()
     return cr.coverage_gaps(qt, found)

@@ -68,6 +68,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it
+    back: cuts lineage (an executor loss re-reads files instead of
+    recomputing upstream stages) and lets several branches share one
+    computation, with exact file-size statistics for AQE."""
+    import uuid
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    if "://" not in base and not base.startswith("/"):
+        base = os.path.abspath(base)
+    path = f"{base}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (written to the shared checkpoint dir).
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import explode_rows
+
 # --- fixed values ------------------------------------------------------------
 TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title>"
 # Blocks whose content is not page text.
@@ -40,7 +42,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, anchor): every anchor of a page in document order."""
     hrefs = F.regexp_extract_all(F.col("html"), F.lit(ANCHOR_PATTERN), 1)
     texts = F.regexp_extract_all(F.col("html"), F.lit(ANCHOR_PATTERN), 2)
-    return (pages.select("page_id", F.arrays_zip(hrefs.alias("href"), texts.alias("anchor")).alias("l"))
-            .select("page_id", F.posexplode("l").alias("pos", "x"))
+    zipped = pages.select("page_id", F.arrays_zip(hrefs.alias("href"), texts.alias("anchor")).alias("l"))
+    return (explode_rows(zipped, ["page_id"], F.col("l"), "x", pos="pos")
             .select("page_id", (F.col("pos") + 1).cast("bigint").alias("pos"),
                     F.col("x.href").alias("href"), F.col("x.anchor").alias("anchor")))
