@@ -156,3 +156,55 @@ def web_tiered(spark: SparkSession, d: str) -> DataFrame:
     """web_results with C1 tiers from the parameter table (as a fixed list)."""
     from tessera.operators.credibility import tier_sources
     return tier_sources(web_results(spark, d), tiers=TIER_PARAMS)
+
+
+# --- reports assembled from documents (input of W5, L*, TR*) -------------------
+def report_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Each non-empty line of a document is a paragraph; line i goes to
+    section min(i, 6) of the fixed order and cites source ((i-1) mod 3)+1.
+    Key Findings gets a ``### Highlights`` sub-heading unless id mod 6 = 0."""
+    from tessera.functions.text import explode_rows
+    from tessera.operators.report import SECTION_ORDER
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    lines = explode_rows(docs, ["doc_id"], F.split(F.col("text"), "\n"), "line", pos="p")
+    lines = lines.select(F.col("doc_id").alias("report_id"), (F.col("p") + 1).cast("bigint").alias("para_pos"),
+                         "line").filter(F.col("line") != "")
+    names = F.array(*[F.lit(s) for s in SECTION_ORDER[:6]])
+    paras = lines.select("report_id", F.element_at(names, F.least(F.col("para_pos"), F.lit(6)).cast("int"))
+                         .alias("section"), "para_pos",
+                         F.concat(F.col("line"), F.lit(" ["), ((F.col("para_pos") - 1) % 3 + 1).cast("string"),
+                                  F.lit("]")).alias("para"))
+    subs = lines.filter((F.col("para_pos") == 3) & (F.col("report_id") % 6 != 0)).select(
+        "report_id", F.lit("Key Findings").alias("section"), F.lit(0).cast("bigint").alias("para_pos"),
+        F.lit("### Highlights").alias("para"))
+    return paras.unionByName(subs)
+
+
+def reports(spark: SparkSession, d: str) -> DataFrame:
+    """(report_id, lang, source, body): W5 assembly + an image block + a
+    numbered reference list, with defects seeded by id (no references,
+    missing / extra entries, unlinked entries, image without alt text)."""
+    from tessera.operators.report import assemble_report
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("report_id"), "lang", "source")
+    i = F.col("report_id")
+    titles = docs.select("report_id", F.concat(F.lit("Report "), i.cast("string")).alias("title"))
+    body0 = assemble_report(report_sections(spark, d), titles)
+    sid = i.cast("string")
+    n_refs = F.when(i % 5 == 0, 0).when(i % 5 == 1, 2).when(i % 5 == 2, 4).otherwise(3)
+
+    def ref_line(n):
+        ns = n.cast("string")
+        tail = F.concat(F.lit(" - "), F.col("source"), F.lit(", 2024-01-0"), ns)
+        linked = F.concat(ns, F.lit(". [Source "), ns, F.lit("](https://"), F.col("source"), F.lit(".example.org/"),
+                          sid, F.lit("/"), ns, F.lit(")"), tail)
+        plain = F.concat(ns, F.lit(". Source "), ns, tail)
+        return F.when(i % 7 == 0, plain).otherwise(linked)
+    refs = F.when(n_refs > 0, F.concat(F.lit("\n\n## References\n\n"),
+                                       F.array_join(F.transform(F.sequence(F.lit(1), n_refs), ref_line), "\n"))) \
+        .otherwise(F.lit(""))
+    img = (F.when(i % 8 == 4, F.concat(F.lit("\n\n![](https://img.example.org/"), sid, F.lit(".png)")))
+           .when(i % 4 == 0, F.concat(F.lit("\n\n![Figure for "), sid, F.lit("](https://img.example.org/"), sid,
+                                      F.lit(".png)\n*Figure 1: Overview of report "), sid, F.lit("*")))
+           .otherwise(F.lit("")))
+    return body0.join(docs, "report_id").select("report_id", "lang", "source",
+                                                F.concat(F.col("body"), img, refs).alias("body"))

@@ -228,3 +228,40 @@ def doc_facts() -> list[str]:
          ELSE 'number' END AS kind
   FROM (SELECT doc_id, sent_pos, CAST(generate_subscripts(f, 1) AS BIGINT) AS fact_pos, unnest(f) AS fact
         FROM (SELECT doc_id, sent_pos, regexp_extract_all(sentence, {q(FACT_PATTERN)}) AS f FROM doc_sent)))"""]
+
+
+def dbl(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def reports() -> list[str]:
+    from tessera.operators.report import SECTION_ORDER
+    names = "[" + ", ".join(q(s) for s in SECTION_ORDER[:6]) + "]"
+    order = "[" + ", ".join(q(s) for s in SECTION_ORDER) + "]"
+    nl2 = "chr(10) || chr(10)"
+    ref_line = ("CASE WHEN r.report_id % 7 = 0 THEN CAST(n AS VARCHAR) || '. Source ' || CAST(n AS VARCHAR) "
+                "ELSE CAST(n AS VARCHAR) || '. [Source ' || CAST(n AS VARCHAR) || '](https://' || d.source || "
+                "'.example.org/' || CAST(r.report_id AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ')' END || ' - ' || "
+                "d.source || ', 2024-01-0' || CAST(n AS VARCHAR)")
+    return [
+        """rep_lines AS (SELECT doc_id AS report_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS para_pos,
+  unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
+        f"""rep_paras AS (SELECT report_id, {names}[least(para_pos, 6)] AS section, para_pos,
+  line || ' [' || CAST((para_pos - 1) % 3 + 1 AS VARCHAR) || ']' AS para FROM rep_lines WHERE line <> ''
+  UNION ALL SELECT report_id, 'Key Findings', CAST(0 AS BIGINT), '### Highlights' FROM rep_lines
+  WHERE para_pos = 3 AND line <> '' AND report_id % 6 <> 0)""",
+        f"""rep_secs AS (SELECT report_id, section, string_agg(para, {nl2} ORDER BY para_pos) AS b
+  FROM rep_paras GROUP BY report_id, section)""",
+        f"""rep_body0 AS (SELECT report_id, '# Report ' || CAST(report_id AS VARCHAR) || {nl2} ||
+  string_agg('## ' || section || {nl2} || b, {nl2} ORDER BY list_position({order}, section)) AS body
+  FROM rep_secs GROUP BY report_id)""",
+        f"""reports AS (SELECT r.report_id, d.lang, d.source, r.body ||
+  CASE WHEN r.report_id % 8 = 4 THEN {nl2} || '![](https://img.example.org/' || CAST(r.report_id AS VARCHAR) || '.png)'
+       WHEN r.report_id % 4 = 0 THEN {nl2} || '![Figure for ' || CAST(r.report_id AS VARCHAR) ||
+         '](https://img.example.org/' || CAST(r.report_id AS VARCHAR) || '.png)' || chr(10) ||
+         '*Figure 1: Overview of report ' || CAST(r.report_id AS VARCHAR) || '*' ELSE '' END ||
+  CASE WHEN nr > 0 THEN {nl2} || '## References' || {nl2} ||
+    array_to_string(list_transform(range(1, nr + 1), lambda n: {ref_line}), chr(10)) ELSE '' END AS body
+FROM (SELECT *, CASE report_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 3 END AS nr FROM rep_body0) r
+JOIN (SELECT doc_id, lang, source FROM documents) d ON d.doc_id = r.report_id)""",
+    ]
