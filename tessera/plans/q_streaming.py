@@ -1 +1,132 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: Structured Streaming operators (ST1-ST7, S5).
+
+Each query stages rows that Spark derives from a driver table as several
+files, replays them as a file stream (one file per micro-batch), drains the
+stream with ``availableNow`` and returns the sink.  The oracles are the
+batch semantics of the same operator.
+"""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import sequence as sq
+from tessera.plans import sqlparts as sp
+from tessera.plans.catalog import register
+from tessera.plans.q_transcripts import _DECISION_SQL, _POLL_ID, reviews
+from tessera.sources.tables import load
+from tessera.streaming import operators as so
+from tessera.streaming.runner import drain, read_stream, stage
+
+
+def _replay(df, name, n_files=4, order=None, scatter=None):
+    path = stage(df, name, n_files=n_files, order=order, scatter=scatter)
+    return read_stream(df.sparkSession, path, df.schema, max_files=1)
+
+
+@register("stream_new_messages", f"""SELECT DISTINCT user_id, msg_id FROM (
+  SELECT user_id, {_POLL_ID} AS msg_id FROM events) WHERE msg_id IS NOT NULL""")
+def q_stream_new_messages(spark, d):
+    """ST1: polls replayed in time order; each (user, message id) once."""
+    polls = load(spark, d, "events").select(
+        "user_id", "event_id", "ts",
+        F.when(F.col("event_type") != "error", F.floor(F.col("value") / 10).cast("bigint")).alias("msg_id"))
+    s = so.stream_new_messages(_replay(polls, "polls", order="ts"), "user_id", "msg_id")
+    return drain(s.select("user_id", "msg_id"), "st1").select("user_id", "msg_id")
+
+
+@register("stream_assemble_chunks", """SELECT user_id AS stream_id, msg_no, CAST(count(*) AS BIGINT) AS n_chunks,
+  string_agg(event_type, '' ORDER BY ts, event_id) AS content FROM (
+  SELECT user_id, ts, event_id, event_type, event_type = 'purchase' AS fin,
+    CAST(1 + coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id
+      ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS msg_no
+  FROM events) GROUP BY user_id, msg_no HAVING bool_or(fin)""")
+def q_stream_assemble_chunks(spark, d):
+    """ST2: event chunks replayed out of order (hash-split by seq); messages
+    are emitted once complete."""
+    e = load(spark, d, "events").select(F.col("user_id").alias("stream_id"), "ts", "event_id",
+                                        F.col("event_type").alias("content"),
+                                        (F.col("event_type") == "purchase").alias("is_final"))
+    chunks = sq.sequence_number(e, ["stream_id"], ["ts", "event_id"], out="seq").select(
+        "stream_id", "seq", "content", "is_final")
+    src = _replay(chunks, "chunks", n_files=4, scatter=F.col("seq") % 4)
+    return drain(so.stream_assemble_chunks(src), "st2")
+
+
+@register("stream_last_message", """SELECT conv_id AS thread_id, max(turn) AS turn, arg_max(role, turn) AS role,
+  arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""")
+def q_stream_last_message(spark, d):
+    """ST3: running last message per thread (messages replayed by turn)."""
+    m = load(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), "turn", "role", "text")
+    s = so.stream_last_message(_replay(m, "messages", order="turn"))
+    return drain(s, "st3", mode="complete")
+
+
+@register("stream_input_alerts", """SELECT conv_id AS thread_id, turn FROM conversations
+WHERE coalesce(role, '') <> '' AND strpos(lower(role), 'assist') > 0""")
+def q_stream_input_alerts(spark, d):
+    """ST4: alerts for messages from an 'assist'-named speaker."""
+    m = load(spark, d, "conversations").select(F.col("conv_id").alias("thread_id"), "turn",
+                                               F.col("role").alias("name"))
+    s = so.stream_input_alerts(_replay(m, "alerts", order="turn"), pattern="assist")
+    return drain(s.select("thread_id", "turn"), "st4")
+
+
+_RUN_STATUS = """CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'in_progress'
+  WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'cancelled' END"""
+
+
+@register("stream_run_monitor", f"""SELECT run_id, status, last_error, n_events FROM (
+  SELECT user_id AS run_id, {_RUN_STATUS} AS status, CASE WHEN event_type = 'error' THEN props END AS last_error,
+    CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n_events,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_stream_run_monitor(spark, d):
+    """ST5: latest run status from a replayed status stream."""
+    e = load(spark, d, "events")
+    st = (F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "in_progress")
+          .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
+          .otherwise("cancelled"))
+    runs = e.select(F.col("user_id").alias("run_id"), "ts", "event_id", st.alias("status"),
+                    F.when(F.col("event_type") == "error", F.col("props")).alias("last_error"))
+    s = so.stream_run_monitor(_replay(runs, "runs", order="ts"))
+    return drain(s, "st5", mode="complete").select("run_id", "status", "last_error", "n_events")
+
+
+@register("stream_iteration_decision", f"""WITH {_DECISION_SQL}
+SELECT thread_id, turn, quality, iteration, CAST(threshold AS DOUBLE) AS threshold, approved,
+  CAST(emitted_quality AS DOUBLE) AS emitted_quality FROM decisions""")
+def q_stream_iteration_decision(spark, d):
+    """ST6: review decisions with a per-thread counter in state."""
+    src = _replay(reviews(spark, d), "reviews", order="turn")
+    return drain(so.stream_iteration_decision(src), "st6")
+
+
+@register("stream_trend", """SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start,
+  CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end, CAST(count(*) AS BIGINT) AS n
+FROM events GROUP BY ALL""")
+def q_stream_trend(spark, d):
+    """ST7: daily tumbling-window counts per event type (complete mode)."""
+    e = load(spark, d, "events").select("event_type", "ts")
+    return drain(so.stream_trend(_replay(e, "trend", order="ts"), "event_type"), "st7", mode="complete")
+
+
+@register("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+    IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk,
+    event_id FROM events),
+s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM g)
+SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 30 MINUTE AS window_end, CAST(count(*) AS BIGINT) AS n
+FROM s GROUP BY user_id, sid""")
+def q_stream_sessions(spark, d):
+    """ST7: per-user session windows (30-minute gap, complete mode)."""
+    e = load(spark, d, "events").select("user_id", "ts")
+    return drain(so.stream_trend(_replay(e, "sessions", order="ts"), "user_id", session_gap="30 minutes"),
+                 "st7s", mode="complete")
+
+
+@register("stream_messages")
+def q_stream_messages(spark, d):
+    """Continuous intake of agent messages (rows-only: the replayed table)."""
+    m = load(spark, d, "conversations")
+    return drain(_replay(m, "intake", order="turn"), "s5")
+
+
+_ = sp  # oracle helpers are shared through q_transcripts
