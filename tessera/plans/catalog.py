@@ -30,4 +30,4 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     # Import side effects populate the registry.
     from tessera.plans import (q_retrieval, q_quality, q_reports, q_transcripts,  # noqa: F401
-                               q_streaming)
+                               q_streaming, q_surface)
