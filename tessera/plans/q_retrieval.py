@@ -225,3 +225,10 @@ FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""")
 def q_source_balance(spark, d):
     """Language balance (largest share)."""
     return dd.balance(load(spark, d, "documents").select("lang"), "lang")
+
+
+@register("near_duplicates")
+def q_near_duplicates(spark, d):
+    """D3: near-duplicate documents (MinHash LSH, exact verification);
+    rows-only check, tested against brute force on a fixture."""
+    return dd.near_duplicates(load(spark, d, "documents"))
