@@ -107,8 +107,10 @@ def theme_sources(df: DataFrame, theme: str, source: str) -> DataFrame:
     """M8: sources per theme with their share of the theme's evidence
     (one row per pair, so no unbounded list is collected)."""
     per = df.groupBy(theme, source).agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    tot = Window.partitionBy(theme)
-    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(tot), 4))
+    # theme totals by a second (partial) aggregate joined back, not a window:
+    # a theme with millions of sources would otherwise sit in one task
+    tot = df.groupBy(theme).agg(F.count(F.lit(1)).alias("_tot"))
+    return per.join(tot, theme).select(theme, source, "n", F.round(F.col("n") / F.col("_tot"), 4).alias("share"))
 
 
 def extract_quotes(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

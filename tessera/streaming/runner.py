@@ -61,10 +61,12 @@ def drain(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = sdf.sparkSession
     sink = _path(spark, "sink", name)
     ckpt = _path(spark, "ckpt", name)
-    write_mode = "overwrite" if mode == "complete" else "append"
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode(write_mode).parquet(sink)
+        # Idempotent on retry: a re-run micro-batch overwrites its own folder
+        # (append mode) or the whole result (complete mode), never appends twice.
+        target = sink if mode == "complete" else f"{sink}/epoch={epoch}"
+        batch.write.mode("overwrite").parquet(target)
 
     q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(write_batch).trigger(availableNow=True).start())
@@ -72,6 +74,7 @@ def drain(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     try:
-        return spark.read.parquet(sink)
+        out = spark.read.parquet(sink)
     except Exception:  # noqa: BLE001 - no batch produced any row
         return spark.createDataFrame([], sdf.schema)
+    return out.drop("epoch") if "epoch" in out.columns else out
