@@ -62,12 +62,14 @@ def tier_sources(df: DataFrame, domain_col: str = "domain", tiers=TIERS) -> Data
 
 
 def tier_sources_table(df: DataFrame, tiers: DataFrame, row_key: str,
-                       domain_col: str = "domain", broadcast_tiers: bool = True) -> DataFrame:
+                       domain_col: str = "domain", broadcast_tiers: bool = False) -> DataFrame:
     """C1 with a tier *table* (suffix, tier) of arbitrary content.
 
     Each host is exploded into its label suffixes (bounded by the label
     count of one host) and equi-joined with the table; the best tier per row
-    is a grouped ``min`` with map-side partial aggregation.
+    is a grouped ``min`` with map-side partial aggregation.  The tier table
+    is broadcast only when the caller vouches for its size
+    (``broadcast_tiers``); otherwise AQE decides from its measured size.
     """
     labels = F.split(host_of(F.col(domain_col)), r"\.")
     n = F.size(labels)

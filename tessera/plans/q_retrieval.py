@@ -232,3 +232,35 @@ def q_near_duplicates(spark, d):
     """D3: near-duplicate documents (MinHash LSH, exact verification);
     rows-only check, tested against brute force on a fixture."""
     return dd.near_duplicates(load(spark, d, "documents"))
+
+
+# --- Q2-Q6 ------------------------------------------------------------------------------
+def _case_time_range() -> str:
+    widths = {"day": 1, "week": 7, "month": 30, "year": 365}
+    parts = ", ".join(f"CASE WHEN list_contains(t, {sp.q(c)}) THEN {widths.get(r, 10 ** 6)} END"
+                      for c, r in rq.TIME_CUES)
+    back = " ".join(f"WHEN {w} THEN {sp.q(r)}" for r, w in widths.items())
+    return f"CASE least({parts}) {back} END"
+
+
+@register("expand_queries", sp.sql(sp.params(), """SELECT query_id, a.angle, CAST(a.pos AS BIGINT) AS angle_pos,
+  query || a.suffix AS query FROM params CROSS JOIN (VALUES ('primary', 0, ''), ('aspect', 1, ' analysis'),
+  ('alternative', 2, ' overview')) a(angle, pos, suffix)"""))
+def q_expand_queries(spark, d):
+    """Q2: primary / aspect / alternative wording per request."""
+    return rq.expand_queries(dv.params(spark, d).select("query_id", "query")).select(
+        "query_id", "angle", "angle_pos", "query")
+
+
+@register("infer_request_rules", sp.sql(sp.requests(), f"""SELECT query_id, {_case_time_range()} AS inferred_time_range,
+  CASE {' '.join(f"WHEN list_contains(t, {sp.q(c)}) THEN {sp.q(v)}" for c, v in rq.TOPIC_CUES)} ELSE 'general' END
+    AS inferred_topic,
+  coalesce(include_images, FALSE) OR list_has_any(t, [{', '.join(sp.q(c) for c in rq.VISUAL_CUES)}]) AS wants_images,
+  CASE WHEN regexp_matches(query, '\\p{{Han}}') THEN 'zh' ELSE 'en' END AS report_lang
+FROM (SELECT *, {sp.tokens('query')} AS t FROM requests)"""))
+def q_infer_request_rules(spark, d):
+    """Q3-Q6: time range, topic, image need and report language inferred
+    from every request's text."""
+    r = dv.requests(spark, d)
+    out = rq.detect_script(rq.wants_images(rq.infer_topic(rq.infer_time_range(r))))
+    return out.select("query_id", "inferred_time_range", "inferred_topic", "wants_images", "report_lang")
