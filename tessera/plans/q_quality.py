@@ -184,7 +184,9 @@ def q_rank_in_theme(spark, d):
 
 def _summary(spark, d):
     hits = dv.doc_search(spark, d).select("query_id", "rank", "doc_id")
-    sents = sm.sentences(_docs(spark, d, "text"), "doc_id")
+    # split sentences only for documents that are hits
+    docs = _docs(spark, d, "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    sents = sm.sentences(docs, "doc_id")
     return sm.extractive_summary(hits.join(sents, "doc_id"), "query_id", ["rank", "sent_pos"])
 
 
