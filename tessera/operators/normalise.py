@@ -46,16 +46,21 @@ def normalise_results(raw: DataFrame, keep_crawled_at: bool = True) -> DataFrame
     return raw.select(*sel)
 
 
-def attach_images(results: DataFrame, images: DataFrame, key: str = "query_id") -> DataFrame:
+def attach_images(results: DataFrame, images: DataFrame, key: str = "query_id",
+                  params: DataFrame | None = None) -> DataFrame:
     """Keep images with non-empty url and description, build the markdown,
     and attach the ordered list to the first result (rank 1) of each query.
 
     ``images``: (key, img_pos, url, description).  Other results get null;
-    queries without surviving images are left untouched.  The per-query
+    queries without surviving images are left untouched.  With ``params``,
+    only requests whose ``include_images`` is true get images.  The per-query
     image list is bounded by the response's image count.
     """
     ok = images.filter((F.coalesce(F.col("url"), F.lit("")) != "")
                        & (F.coalesce(F.col("description"), F.lit("")) != ""))
+    if params is not None:
+        # the gate: images are processed only for requests that asked for them
+        ok = ok.join(params.filter(F.col("include_images") == F.lit(True)).select(key), key, "left_semi")
     lists = (ok.groupBy(key)
              .agg(F.array_sort(F.collect_list(F.struct(
                  F.col("img_pos"), F.col("url"), F.col("description"),

@@ -141,7 +141,9 @@ def q_coverage_gaps(spark, d):
     qt = rt.query_terms(dv.params(spark, d))
     hits = dv.doc_search(spark, d).select("query_id", "doc_id")
     from tessera.functions.text import explode_rows, tokenize
-    dt = (explode_rows(_docs(spark, d, "text"), ["doc_id"], F.array_distinct(tokenize("text")), "term")
+    # tokenize only documents that are hits of some request
+    hit_docs = _docs(spark, d, "text").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    dt = (explode_rows(hit_docs, ["doc_id"], F.array_distinct(tokenize("text")), "term")
           .join(qt.select("term").distinct(), "term", "left_semi"))
     found = hits.join(dt, "doc_id").select("query_id", "term").distinct()
     return cr.coverage_gaps(qt, found)

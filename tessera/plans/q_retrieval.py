@@ -135,9 +135,8 @@ FROM web_results w LEFT JOIN (
   GROUP BY query_id) i ON i.query_id = w.query_id AND i.rank = w.rank"""))
 def q_attach_images(spark, d):
     """Images of image-enabled requests attached to their first result."""
-    asked = dv.params(spark, d).filter(F.col("include_images") == F.lit(True)).select("query_id")
-    imgs = dv.web_images(spark, d).join(asked, "query_id", "left_semi")
-    out = nz.attach_images(dv.web_results(spark, d).select("query_id", "rank", "page_id"), imgs)
+    out = nz.attach_images(dv.web_results(spark, d).select("query_id", "rank", "page_id"),
+                           dv.web_images(spark, d), params=dv.params(spark, d))
     return out.select("query_id", "rank", "page_id",
                       F.when(F.col("images").isNotNull(), F.size("images").cast("bigint")).alias("n_images"),
                       F.array_join(F.transform("images", lambda x: x["markdown"]), "\n").alias("images_md"))

@@ -56,18 +56,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be set by the platform to shared storage.  Only
-    when it is unset (local tests) do we create a private scratch folder.
+    when it is unset (local tests) do we create a private scratch folder;
+    it is registered with ``SparkContext.setCheckpointDir`` (the conf itself
+    cannot be changed at run time).
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+         or _LOCAL_CKPT.get(sc.applicationId))
     if not d:
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        _LOCAL_CKPT[sc.applicationId] = d
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
 
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it
     back: cuts lineage (an executor loss re-reads files instead of

@@ -67,3 +67,12 @@ def test_result_count_and_profile(spark):
     assert chk == {1: (25, False), 2: (0, True)}
     prof = nz.field_profile(res).first()
     assert prof.n_results == 25 and prof.n_titled == 25 and prof.avg_snippet_len == 3.0 and prof.n_raw_null == 25
+
+
+def test_images_off_gate(spark):
+    res = spark.createDataFrame([(1, 1), (2, 1)], "query_id long, rank long")
+    imgs = spark.createDataFrame([(1, 1, "http://i/1", "one"), (2, 1, "http://i/2", "two")],
+                                 "query_id long, img_pos long, url string, description string")
+    params = spark.createDataFrame([(1, True), (2, None)], "query_id long, include_images boolean")
+    out = {r.query_id: r.images for r in nz.attach_images(res, imgs, params=params).collect()}
+    assert [i.url for i in out[1]] == ["http://i/1"] and out[2] is None
