@@ -15,7 +15,7 @@ from tessera.plans.catalog import register
 from tessera.plans.q_transcripts import _DECISION_SQL, _POLL_ID, reviews
 from tessera.sources.tables import load
 from tessera.streaming import operators as so
-from tessera.streaming.runner import drain, read_stream, stage
+from tessera.streaming.runner import drain, read_stream, side_path, stage
 
 
 def _replay(df, name, n_files=4, order=None, scatter=None):
@@ -47,9 +47,10 @@ def q_stream_assemble_chunks(spark, d):
                                         F.col("event_type").alias("content"),
                                         (F.col("event_type") == "purchase").alias("is_final"))
     chunks = sq.sequence_number(e, ["stream_id"], ["ts", "event_id"], out="seq").select(
-        "stream_id", "seq", "content", "is_final")
+        "stream_id", "seq", "content", "is_final", "ts")
     src = _replay(chunks, "chunks", n_files=4, scatter=F.col("seq") % 4)
-    return drain(so.stream_assemble_chunks(src), "st2")
+    # watermark far behind the data span: out-of-order chunks are never late
+    return drain(so.stream_assemble_chunks(src, ts="ts", delay="31 days", abandon_ms=31 * 86_400_000), "st2")
 
 
 @register("stream_last_message", """SELECT conv_id AS thread_id, max(turn) AS turn, arg_max(role, turn) AS role,
@@ -88,7 +89,9 @@ def q_stream_run_monitor(spark, d):
     runs = e.select(F.col("user_id").alias("run_id"), "ts", "event_id", st.alias("status"),
                     F.when(F.col("event_type") == "error", F.col("props")).alias("last_error"))
     s = so.stream_run_monitor(_replay(runs, "runs", order="ts"))
-    return drain(s, "st5", mode="complete").select("run_id", "status", "last_error", "n_events")
+    failed = side_path(spark, "st5-failed")          # failed runs, written from the same batches
+    return drain(s, "st5", mode="complete", side=(failed, F.col("status") == "failed")).select(
+        "run_id", "status", "last_error", "n_events")
 
 
 @register("stream_iteration_decision", f"""WITH {_DECISION_SQL}

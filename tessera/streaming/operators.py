@@ -37,16 +37,27 @@ CHUNK_STATE = T.StructType([T.StructField("next_seq", T.LongType()), T.StructFie
                             T.StructField("finals", T.ArrayType(T.BooleanType()))])
 
 
-def _assemble_group(key, pdfs, state):
+def _assemble_group(key, pdfs, state, abandon_ms: int = 3_600_000):
     import pandas as pd
+    empty = pd.DataFrame([], columns=["stream_id", "msg_no", "n_chunks", "content"])
+    if state.hasTimedOut:
+        # no chunk for this stream within the abandon window: drop the
+        # unfinished message's buffer (it is never emitted)
+        state.remove()
+        yield empty
+        return
     if state.exists:
         next_seq, msg_no, seqs, contents, finals = state.get
         buf = {int(s): (c, bool(f)) for s, c, f in zip(seqs, contents, finals)}
     else:
         next_seq, msg_no, buf = 1, 1, {}
+    latest = None
     for pdf in pdfs:
         for s, c, f in zip(pdf["seq"], pdf["content"], pdf["is_final"]):
             buf[int(s)] = (c, bool(f))
+        if "ts" in pdf.columns and len(pdf):
+            m = pd.Timestamp(pdf["ts"].max())
+            latest = m if latest is None or m > latest else latest
     out = []
     while True:
         ends = sorted(s for s, (_, f) in buf.items() if f and s >= next_seq)
@@ -60,16 +71,26 @@ def _assemble_group(key, pdfs, state):
         next_seq, msg_no = end + 1, msg_no + 1
     keys = sorted(buf)
     state.update((int(next_seq), int(msg_no), keys, [buf[s][0] for s in keys], [buf[s][1] for s in keys]))
-    yield pd.DataFrame(out, columns=["stream_id", "msg_no", "n_chunks", "content"])
+    if latest is not None:
+        state.setTimeoutTimestamp(int(latest.value // 1_000_000) + abandon_ms)
+    yield pd.DataFrame(out, columns=["stream_id", "msg_no", "n_chunks", "content"]) if out else empty
 
 
-def stream_assemble_chunks(chunks: DataFrame) -> DataFrame:
+def stream_assemble_chunks(chunks: DataFrame, ts: str | None = None, delay: str = "1 hour",
+                           abandon_ms: int = 3_600_000) -> DataFrame:
     """ST2: H6 with keyed state.  ``chunks``: (stream_id, seq, content,
-    is_final), seq contiguous from 1 per stream.  Out-of-order chunks wait
-    in state until every chunk up to the final one has arrived."""
-    return (chunks.groupBy("stream_id")
-            .applyInPandasWithState(_assemble_group, CHUNK_OUT, CHUNK_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+    is_final[, ts]), seq contiguous from 1 per stream.  Out-of-order chunks
+    wait in state until every chunk up to the final one has arrived.  With
+    ``ts``, a watermark bounds state: a stream silent for ``abandon_ms``
+    past its latest chunk (event time) drops its unfinished buffer."""
+    import functools
+    fn = functools.partial(_assemble_group, abandon_ms=abandon_ms)
+    if ts is None:
+        return (chunks.groupBy("stream_id")
+                .applyInPandasWithState(fn, CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.NoTimeout))
+    src = event_time(chunks, ts).withWatermark(ts, delay)
+    return (src.groupBy("stream_id")
+            .applyInPandasWithState(fn, CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def stream_last_message(messages: DataFrame, thread: str = "thread_id", turn: str = "turn") -> DataFrame:

@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from tessera.session import checkpoint_dir
 
 
+def side_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for a side sink under the checkpoint folder."""
+    return _path(spark, "side", name)
+
+
 def _path(spark: SparkSession, kind: str, name: str) -> str:
     base = checkpoint_dir(spark).rstrip("/")
     if "://" not in base and not base.startswith("/"):
@@ -56,8 +61,12 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> D
             .parquet(path))
 
 
-def drain(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run ``sdf`` to completion (availableNow) into a parquet sink."""
+def drain(sdf: DataFrame, name: str, mode: str = "append", side=None) -> DataFrame:
+    """Run ``sdf`` to completion (availableNow) into a parquet sink.
+
+    ``side`` = (path, predicate Column): rows of each micro-batch matching
+    the predicate are also written to ``path`` (e.g. failed runs), from the
+    same batch and with the same retry-safe overwrite per epoch."""
     spark = sdf.sparkSession
     sink = _path(spark, "sink", name)
     ckpt = _path(spark, "ckpt", name)
@@ -67,6 +76,10 @@ def drain(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
         # (append mode) or the whole result (complete mode), never appends twice.
         target = sink if mode == "complete" else f"{sink}/epoch={epoch}"
         batch.write.mode("overwrite").parquet(target)
+        if side is not None:
+            side_path, pred = side
+            side_target = side_path if mode == "complete" else f"{side_path}/epoch={epoch}"
+            batch.filter(pred).write.mode("overwrite").parquet(side_target)
 
     q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(write_batch).trigger(availableNow=True).start())
