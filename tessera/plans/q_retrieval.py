@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from tessera.functions.text import extract_domain, truncate_text
 from tessera.operators import normalise as nz
 from tessera.operators import requests as rq
-from tessera.operators import retrieve as rt
 from tessera.plans import derived as dv
 from tessera.plans import sqlparts as sp
 from tessera.plans.catalog import register

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import sequence as sq
-from tessera.plans import sqlparts as sp
 from tessera.plans.catalog import register
 from tessera.plans.q_transcripts import _DECISION_SQL, _POLL_ID, reviews
 from tessera.sources.tables import load
@@ -130,6 +129,3 @@ def q_stream_messages(spark, d):
     """Continuous intake of agent messages (rows-only: the replayed table)."""
     m = load(spark, d, "conversations")
     return drain(_replay(m, "intake", order="turn"), "s5")
-
-
-_ = sp  # oracle helpers are shared through q_transcripts

@@ -1,5 +1,4 @@
 """H5, H6, H7, H11, H12, L11, M1 rules (FIXTURES.md §2)."""
-from pyspark.sql import functions as F
 
 from tessera.operators import summarise as sm
 from tessera.operators import transcript as tr
