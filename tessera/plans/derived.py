@@ -55,7 +55,11 @@ def _memo(spark: SparkSession, name: str, d: str, build):
     """One materialized result per (application, input folder, name): the
     driver tables are immutable files, so a written result stays valid for
     the whole application."""
-    key = (spark.sparkContext.applicationId, name, d)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext view (e.g. Spark Connect)
+        app = id(spark)
+    key = (app, name, d)
     if key not in _MEMO:
         _MEMO[key] = build()
     return _MEMO[key]
