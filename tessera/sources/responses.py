@@ -14,16 +14,23 @@ from pyspark.sql import functions as F
 # --- fixed values ------------------------------------------------------------
 ERR_BAD_JSON = "search failed: invalid JSON response"
 ERR_NOT_OBJECT = "search failed: unexpected response type"
+ERR_NOT_ITERABLE = "search failed: results is not iterable"
 RESULT_FIELDS = ("url", "title", "content", "score", "published_date", "raw_content")
 # -----------------------------------------------------------------------------
 
 
 def _classify(df: DataFrame, json_col: str) -> DataFrame:
+    """_kind: bad (not JSON), other (not an object), scalar_results
+    (``results`` is a number or boolean: iterating it fails), object."""
     v = F.try_parse_json(F.col(json_col))
+    res_type = F.schema_of_variant(F.try_variant_get(F.col("_v"), "$.results", "variant"))
+    scalar = ~(res_type.startswith("ARRAY") | res_type.startswith("OBJECT") | (res_type == "STRING")
+               | (res_type == "VOID"))
     return (df.withColumn("_v", v)
             .withColumn("_kind", F.when(F.col("_v").isNull(), F.lit("bad"))
-                        .when(F.schema_of_variant("_v").startswith("OBJECT"), F.lit("object"))
-                        .otherwise(F.lit("other"))))
+                        .when(~F.schema_of_variant("_v").startswith("OBJECT"), F.lit("other"))
+                        .when(F.coalesce(scalar, F.lit(False)), F.lit("scalar_results"))
+                        .otherwise(F.lit("object"))))
 
 
 def parse_errors(df: DataFrame, json_col: str = "response", key: str = "query_id") -> DataFrame:
@@ -31,6 +38,7 @@ def parse_errors(df: DataFrame, json_col: str = "response", key: str = "query_id
     c = _classify(df, json_col)
     return (c.filter(F.col("_kind") != "object")
             .select(key, F.when(F.col("_kind") == "bad", F.lit(ERR_BAD_JSON))
+                    .when(F.col("_kind") == "scalar_results", F.lit(ERR_NOT_ITERABLE))
                     .otherwise(F.lit(ERR_NOT_OBJECT)).alias("error")))
 
 

@@ -76,3 +76,11 @@ def test_images_off_gate(spark):
     params = spark.createDataFrame([(1, True), (2, None)], "query_id long, include_images boolean")
     out = {r.query_id: r.images for r in nz.attach_images(res, imgs, params=params).collect()}
     assert [i.url for i in out[1]] == ["http://i/1"] and out[2] is None
+
+
+def test_results_field_types(spark):
+    df = _resp(spark, [(1, '{"results": 5}'), (2, '{"results": "abc"}'), (3, '{"results": true}'),
+                       (4, '{"results": {"a": 1}}'), (5, '{"other": 1}')])
+    assert rs.parse_results(df).count() == 0
+    errs = {r.query_id: r.error for r in rs.parse_errors(df).collect()}
+    assert errs == {1: rs.ERR_NOT_ITERABLE, 3: rs.ERR_NOT_ITERABLE}
