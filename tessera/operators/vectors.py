@@ -29,6 +29,10 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+# cosine divisions use try_divide: a zero vector gives a null similarity
+# instead of failing the job under ANSI mode
+
+
 def _check_bound(ref: DataFrame, what: str, limit: int) -> None:
     n = ref.count()
     if n > limit:
@@ -63,7 +67,7 @@ def theme_clusters(vectors: DataFrame, label: str = "label", vec: str = "embeddi
                        _ref_array(cents, label, "centroid").alias("_refs"))
     v = F.col("_v")
     nv = norm(v)
-    sims = F.transform("_refs", lambda r: F.struct((dot(v, r["v"]) / (nv * r["n"])).alias("s"),
+    sims = F.transform("_refs", lambda r: F.struct(F.try_divide(dot(v, r["v"]), nv * r["n"]).alias("s"),
                                                    (-r["k"]).alias("neg_k"), r["k"].alias("k")))
     best = F.array_max(sims)
     return t.select(id_col, label, best["k"].alias("theme"),
@@ -95,7 +99,7 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str
     v = F.col("_v")
     nv = norm(v)
     scored = t.select(id_col, F.explode(F.transform("_refs", lambda r: F.struct(
-        r["k"].alias(qid), F.round(dot(v, r["v"]) / (nv * r["n"]), SIM_DIGITS).alias("score")))).alias("x"))
+        r["k"].alias(qid), F.round(F.try_divide(dot(v, r["v"]), nv * r["n"]), SIM_DIGITS).alias("score")))).alias("x"))
     scored = scored.select(F.col(f"x.{qid}").alias(qid), id_col, F.col("x.score").alias("score"))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(id_col))
     return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= min(k, 50))
