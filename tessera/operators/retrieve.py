@@ -191,3 +191,70 @@ def rerank(results: DataFrame, as_of=None, date_col: str | None = None,
     adj = F.round(F.col("score") * tier_weight(F.col("tier")) * decay, SCORE_DIGITS)
     return top_k_per_query(results.withColumn("rerank_score", adj).drop("rank"), None,
                            score="rerank_score", tie=id_col)
+
+
+# --- exact top-k with pruning (MaxScore-style) ---------------------------------
+HOT_DF_FRACTION = 0.05      # a term in more than 5% of documents is "hot"
+PRUNE_MARGIN = 1e-4         # safety margin for float sums and 4-place rounding
+
+
+def bm25_weights(index: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Query-independent BM25 weight of every posting of an index from
+    :func:`build_index`: (term, _id, w, df)."""
+    lens = index.filter(F.col("term").isNull())
+    post = index.filter(F.col("term").isNotNull())
+    stats = lens.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
+                              F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    idf = F.ln(F.lit(1.0) + (stats["n"] - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    w = (idf * (F.col("tf") * F.lit(k1 + 1.0))
+         / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / stats["avgdl"])))
+    return post.join(dfreq, "term").select("term", "_id", w.alias("w"), "df")
+
+
+def search_topk(corpus: DataFrame, params: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                query_col: str = "query", hot_df_fraction: float = HOT_DF_FRACTION) -> DataFrame:
+    """R1 + R6 with MaxScore pruning: the same result as :func:`search`.
+
+    Phase 1: documents holding a non-hot query term are scored in full;
+    theta0, the k-th best of those real scores, is a lower bound of the
+    final k-th score.  Phase 2: the query's lowest-impact terms whose summed
+    maximum weights stay below theta0 (minus a margin) are non-essential --
+    a document holding only those cannot reach the top k -- so only
+    documents holding an essential term are scored.  Exact for every
+    request (theta0 = 0 when phase 1 has fewer than k candidates, which makes
+    every term essential).
+    """
+    from tessera.session import materialize
+    qterms = query_terms(params, query_col)
+    index = materialize(build_index(corpus, qterms.select("term").distinct(), id_col, text_col), "bm25-index")
+    n_docs = index.filter(F.col("term").isNull()).select(F.count(F.lit(1)).cast("double")).scalar()
+    weights = materialize(bm25_weights(index), "bm25-weights")
+    tstats = weights.groupBy("term").agg(F.max("w").alias("maxw"), F.max("df").alias("df"))
+    qt = (qterms.join(tstats, "term")
+          .withColumn("hot", F.col("df") > F.greatest(F.lit(1.0), n_docs * F.lit(hot_df_fraction))))
+    k = params.select("query_id", F.least(F.col("max_results"), F.lit(RESULT_CAP)).alias("k"))
+    post = weights.select("term", "_id", "w")
+
+    def scored_topk(terms: DataFrame) -> DataFrame:
+        """Top-k over documents holding any of ``terms`` (query_id, term),
+        each scored over all of the query's terms."""
+        pairs = terms.join(post.select("term", "_id"), "term").select("query_id", "_id").distinct()
+        qd = pairs.join(qt.select("query_id", "term"), "query_id")
+        sc = (qd.join(post, ["term", "_id"]).groupBy("query_id", "_id")
+              .agg(F.round(F.sum("w"), SCORE_DIGITS).alias("score")))
+        return top_k_per_query(sc.join(k, "query_id"), F.col("k"), tie="_id")
+
+    phase1 = scored_topk(qt.filter(~F.col("hot")).select("query_id", "term"))
+    theta0 = (k.join(phase1.filter(F.col("rank") == F.col("k")).select("query_id", F.col("score").alias("t")),
+                     "query_id", "left")
+              .select("query_id", F.coalesce(F.col("t"), F.lit(0.0)).alias("theta0")))
+    # cumulative max weight of the query's terms, lowest impact first (one
+    # small window per request over its own terms)
+    from pyspark.sql import Window
+    w = Window.partitionBy("query_id").orderBy(F.col("maxw").asc(), F.col("term").asc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    ess = (qt.join(theta0, "query_id").withColumn("cum", F.sum("maxw").over(w))
+           .filter(F.col("cum") + F.lit(PRUNE_MARGIN) >= F.col("theta0") - F.lit(PRUNE_MARGIN))
+           .select("query_id", "term"))
+    return scored_topk(ess).drop("k").withColumnRenamed("_id", id_col)

@@ -64,3 +64,14 @@ def test_request_rules(spark):
     assert got[1].inferred_time_range == "day" and got[1].inferred_topic == "news"
     assert got[2].inferred_time_range is None and got[2].wants_images is True and got[2].report_lang == "zh"
     assert rq.expand_queries(df).count() == 6
+
+
+def test_search_topk_equals_exhaustive(spark):
+    from tessera.plans import derived as dv
+    from tessera.sources.tables import load
+    d = "/root/testdata/sf0.001"
+    p = dv.params(spark, d)
+    docs = load(spark, d, "documents")
+    a = sorted(map(tuple, rt.search(docs, p).select("query_id", "doc_id", "score", "rank").collect()))
+    b = sorted(map(tuple, rt.search_topk(docs, p).select("query_id", "doc_id", "score", "rank").collect()))
+    assert a == b and len(a) > 0
