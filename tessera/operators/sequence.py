@@ -7,7 +7,9 @@ huge thread) then becomes one giant sort.  These helpers split each key
 into order-contiguous *buckets* instead:
 
 1. exact per-key stats (count, min, max of the leading order column) come
-   from one grouped aggregate with map-side partial aggregation;
+   from one grouped aggregate with map-side partial aggregation, written
+   once; when no key holds more than ``rows_per_bucket`` rows, a plain
+   window per key is used (it is bounded, and needs one shuffle);
 2. ``bucket = floor((v - min) / (max - min) * nb)`` with
    ``nb = ceil(count / rows_per_bucket)`` is monotone in the order, so all
    rows of bucket b precede those of bucket b + 1.  It is a pure function
@@ -41,12 +43,23 @@ def _numeric(df: DataFrame, c) -> Column:
     return col.cast("double")
 
 
-def _bucketed(df: DataFrame, keys, order, rows_per_bucket: int | None) -> DataFrame:
+def _bucketed(df: DataFrame, keys, order, rows_per_bucket: int | None):
+    """Bucketed copy of ``df`` (column ``_b``), or None when no key holds
+    more than ``rows_per_bucket`` rows -- then a plain window per key is
+    already bounded and cheaper (one shuffle instead of three).
+
+    The per-key stats are written once (one row per key) and their largest
+    count is read with a single-number action; the bucketed path then joins
+    the written stats instead of recomputing them."""
+    from tessera.session import materialize
     rpb = rows_per_bucket or ROWS_PER_BUCKET
     v = _numeric(df, order[0])
     t = df.withColumn("_v", v)
-    stats = t.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                                 F.count(F.lit(1)).alias("_n"))
+    stats = materialize(t.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+                                             F.count(F.lit(1)).alias("_n")), "seq-stats")
+    biggest = stats.agg(F.max("_n")).first()[0]
+    if biggest is None or biggest <= rpb:
+        return None
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(float(rpb))))
     frac = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     bucket = F.when(F.col("_hi") > F.col("_lo"),
@@ -71,6 +84,9 @@ def sequence_number(df: DataFrame, keys, order, out: str = "seq",
     """1-based position of each row within its key by ``order`` (which must
     end in a unique tiebreak; its first column must be numeric or a time)."""
     t = _bucketed(df, keys, order, rows_per_bucket)
+    if t is None:
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
+        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
     t = t.withColumn("_lrn", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*_order_cols(order))))
     cnt = t.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,6 +102,9 @@ def running_sum(df: DataFrame, keys, order, value: str, out: str, inclusive: boo
     current row, or of the preceding rows only); 0 when nothing precedes."""
     t = _bucketed(df, keys, order, rows_per_bucket)
     hi = 0 if inclusive else -1
+    if t is None:
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     local = Window.partitionBy(*keys, "_b").orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
     t = t.withColumn("_lsum", F.coalesce(F.sum(value).over(local), F.lit(0)))
     tot = t.groupBy(*keys, "_b").agg(F.sum(value).alias("_tot"))
@@ -102,6 +121,9 @@ def running_max(df: DataFrame, keys, order, value: str, out: str, inclusive: boo
     earlier value exists.  Used for "last non-null before" lookups."""
     t = _bucketed(df, keys, order, rows_per_bucket)
     hi = 0 if inclusive else -1
+    if t is None:
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
+        return df.withColumn(out, F.max(value).over(w))
     local = Window.partitionBy(*keys, "_b").orderBy(*_order_cols(order)).rowsBetween(Window.unboundedPreceding, hi)
     t = t.withColumn("_lmax", F.max(value).over(local))
     tot = t.groupBy(*keys, "_b").agg(F.max(value).alias("_tot"))
