@@ -85,10 +85,15 @@ def validate_batches(requests: DataFrame, raw: DataFrame, key: str = "query_id")
 
 
 def quarantine(raw: DataFrame) -> DataFrame:
-    """Row-level split of N5: status valid/rejected with the first missing field as reason."""
+    """Row-level split of N5: status valid/rejected with the first
+    problem as reason.  A present-but-null url is rejected here too: in the
+    reference it makes the whole query fail (deliberate deviation: only the
+    row is quarantined, the rest of the batch is kept)."""
     reason = F.when(~F.col("has_url"), F.lit("missing url")) \
         .when(~F.col("has_title"), F.lit("missing title")) \
         .when(~F.col("has_snippet"), F.lit("missing snippet"))
+    if "url" in raw.columns:
+        reason = reason.when(F.col("url").isNull(), F.lit("null url"))
     return raw.withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNull(), F.lit("valid")).otherwise(F.lit("rejected")))
 

@@ -84,3 +84,10 @@ def test_results_field_types(spark):
     assert rs.parse_results(df).count() == 0
     errs = {r.query_id: r.error for r in rs.parse_errors(df).collect()}
     assert errs == {1: rs.ERR_NOT_ITERABLE, 3: rs.ERR_NOT_ITERABLE}
+
+
+def test_null_url_quarantined_not_whole_batch(spark):
+    df = _resp(spark, [(1, json.dumps({"results": [{"url": None, "title": "t", "content": "c"},
+                                                   {"url": "http://a.org/x", "title": "t", "content": "c"}]}))])
+    q = {r.rank: (r.status, r.reason) for r in nz.quarantine(rs.parse_results(df)).collect()}
+    assert q == {1: ("rejected", "null url"), 2: ("valid", None)}
