@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import sequence as sq
 from tessera.plans.catalog import register
-from tessera.plans.q_transcripts import _DECISION_SQL, _POLL_ID, reviews
+from tessera.functions.text import TOKEN_PATTERN
+from tessera.plans.q_transcripts import _DECISION_SQL, _POLL_ID
 from tessera.sources.tables import load
 from tessera.streaming import operators as so
 from tessera.streaming.runner import drain, read_stream, side_path, stage
@@ -97,8 +98,14 @@ def q_stream_run_monitor(spark, d):
 SELECT thread_id, turn, quality, iteration, CAST(threshold AS DOUBLE) AS threshold, approved,
   CAST(emitted_quality AS DOUBLE) AS emitted_quality FROM decisions""")
 def q_stream_iteration_decision(spark, d):
-    """ST6: review decisions with a per-thread counter in state."""
-    src = _replay(reviews(spark, d), "reviews", order="turn")
+    """ST6: review decisions with a per-thread counter in state; the
+    messages are replayed out of order (hash-split by sequence number)."""
+    words = F.size(F.regexp_extract_all(F.col("text"), F.lit(TOKEN_PATTERN), 0))
+    m = load(spark, d, "conversations").select(
+        F.col("conv_id").alias("thread_id"), "turn", (F.col("role") == "assistant").alias("is_review"),
+        F.when(F.col("role") == "assistant", F.round(F.least(F.lit(1.0), words / F.lit(250.0)), 4)).alias("quality"))
+    msgs = sq.sequence_number(m, ["thread_id"], ["turn"], out="seq")
+    src = _replay(msgs, "reviews", n_files=4, scatter=F.col("seq") % 4)
     return drain(so.stream_iteration_decision(src), "st6")
 
 

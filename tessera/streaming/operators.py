@@ -120,30 +120,50 @@ DECISION_OUT = T.StructType([T.StructField("thread_id", T.LongType()), T.StructF
                              T.StructField("quality", T.DoubleType()), T.StructField("iteration", T.LongType()),
                              T.StructField("threshold", T.DoubleType()), T.StructField("approved", T.BooleanType()),
                              T.StructField("emitted_quality", T.DoubleType())])
-DECISION_STATE = T.StructType([T.StructField("reviews", T.LongType())])
+DECISION_STATE = T.StructType([T.StructField("next_seq", T.LongType()), T.StructField("reviews", T.LongType()),
+                               T.StructField("seqs", T.ArrayType(T.LongType())),
+                               T.StructField("turns", T.ArrayType(T.LongType())),
+                               T.StructField("is_review", T.ArrayType(T.BooleanType())),
+                               T.StructField("qualities", T.ArrayType(T.DoubleType()))])
 
 
 def _decide_group(key, pdfs, state):
     import pandas as pd
-    seen = state.get[0] if state.exists else 0
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values("turn")
+    if state.exists:
+        next_seq, seen, seqs, turns, revs, quals = state.get
+        buf = {int(s): (int(t), bool(r), q) for s, t, r, q in zip(seqs, turns, revs, quals)}
+    else:
+        next_seq, seen, buf = 1, 0, {}
+    for pdf in pdfs:
+        for s, t, r, q in zip(pdf["seq"], pdf["turn"], pdf["is_review"], pdf["quality"]):
+            buf[int(s)] = (int(t), bool(r), None if pd.isna(q) else float(q))
     th = dict(ITERATION_THRESHOLDS)
     out = []
-    for turn, quality in zip(rows["turn"], rows["quality"]):
+    # decide only over the contiguous prefix of the thread: a review's
+    # iteration counts every earlier review, so nothing may be missing
+    while next_seq in buf:
+        turn, is_review, quality = buf.pop(next_seq)
+        next_seq += 1
+        if not is_review:
+            continue
         seen += 1
         t = th.get(seen)
         forced = seen > MAX_REVISIONS
-        out.append((int(key[0]), int(turn), float(quality), int(seen), t,
-                    bool(forced or (t is not None and quality >= t)),
-                    float(FORCED_QUALITY) if forced else float(quality)))
-    state.update((int(seen),))
+        out.append((int(key[0]), turn, quality, int(seen), t,
+                    bool(forced or (t is not None and quality is not None and quality >= t)),
+                    float(FORCED_QUALITY) if forced else quality))
+    keys = sorted(buf)
+    state.update((int(next_seq), int(seen), keys, [buf[k][0] for k in keys], [buf[k][1] for k in keys],
+                  [buf[k][2] for k in keys]))
     yield pd.DataFrame(out, columns=[f.name for f in DECISION_OUT.fields])
 
 
-def stream_iteration_decision(reviews: DataFrame) -> DataFrame:
-    """ST6: L11 with one review counter per thread (reviews of a thread
-    arrive in turn order)."""
-    return (reviews.groupBy("thread_id")
+def stream_iteration_decision(messages: DataFrame) -> DataFrame:
+    """ST6: L11 with a per-thread review counter.  ``messages``: (thread_id,
+    seq, turn, is_review, quality) with seq contiguous from 1 per thread.
+    Messages may arrive in any order; a review is decided once every earlier
+    message of its thread has arrived, so its iteration is exact."""
+    return (messages.groupBy("thread_id")
             .applyInPandasWithState(_decide_group, DECISION_OUT, DECISION_STATE, "append",
                                     GroupStateTimeout.NoTimeout))
 
