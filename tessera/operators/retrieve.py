@@ -80,7 +80,8 @@ def score_index(index: DataFrame, qterms: DataFrame, k1: float = BM25_K1, b: flo
 
 def keyword_search(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text", query_col: str = "query",
-                   k1: float = BM25_K1, b: float = BM25_B, materialize: bool = True) -> DataFrame:
+                   k1: float = BM25_K1, b: float = BM25_B, materialize: bool = True,
+                   index: DataFrame | None = None) -> DataFrame:
     """BM25 relevance of every matching document for every request.
 
     Returns (query_id, <id_col>, score) with score rounded to 4 places; rows
@@ -92,10 +93,13 @@ def keyword_search(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id
     shared checkpoint folder so the text is tokenized exactly once.
     """
     qterms = query_terms(requests, query_col)
-    index = build_index(corpus, qterms.select("term").distinct(), id_col, text_col)
-    if materialize:
-        from tessera.session import materialize as _mat
-        index = _mat(index, "bm25-index")
+    if index is None:
+        # an index built for a superset of these terms may be passed in:
+        # df, N and avgdl do not depend on the vocabulary restriction
+        index = build_index(corpus, qterms.select("term").distinct(), id_col, text_col)
+        if materialize:
+            from tessera.session import materialize as _mat
+            index = _mat(index, "bm25-index")
     return score_index(index, qterms, k1, b).withColumnRenamed("_id", id_col)
 
 
@@ -124,9 +128,10 @@ def top_k_per_query(df: DataFrame, k: Column | int | None = None, key: str = "qu
     return ranked.filter(cond).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def search(corpus: DataFrame, params: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def search(corpus: DataFrame, params: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+           index: DataFrame | None = None) -> DataFrame:
     """R1 + R6: BM25 results capped by each request's ``max_results``."""
-    scores = keyword_search(corpus, params, id_col=id_col, text_col=text_col)
+    scores = keyword_search(corpus, params, id_col=id_col, text_col=text_col, index=index)
     with_k = scores.join(params.select("query_id", "max_results"), "query_id")
     return top_k_per_query(with_k, F.col("max_results"), tie=id_col).drop("max_results")
 

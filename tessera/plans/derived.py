@@ -72,7 +72,19 @@ def doc_search(spark: SparkSession, d: str) -> DataFrame:
     they are written once to the checkpoint folder instead of re-scored."""
     from tessera.session import materialize
     return _memo(spark, "doc-search", d, lambda: materialize(
-        rt.search(load(spark, d, "documents"), params(spark, d)), "doc-search"))
+        rt.search(load(spark, d, "documents"), params(spark, d), index=doc_index(spark, d)), "doc-search"))
+
+
+def doc_index(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 index of ``documents`` for the vocabulary of the requests and
+    their expansions (Q2), shared by every document search of the
+    application."""
+    from tessera.session import materialize
+
+    def build():
+        vocab = rt.query_terms(rq.expand_queries(params(spark, d))).select("term").distinct()
+        return materialize(rt.build_index(load(spark, d, "documents"), vocab), "doc-index")
+    return _memo(spark, "doc-index", d, build)
 
 
 def web_search(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +159,7 @@ def expanded_search(spark: SparkSession, d: str) -> DataFrame:
     The variant key is query_id * 10 + angle position (3 angles)."""
     ex = rq.expand_queries(params(spark, d))
     vreq = ex.select((F.col("query_id") * 10 + F.col("angle_pos")).alias("query_id"), "query")
-    s = rt.keyword_search(load(spark, d, "documents"), vreq)
+    s = rt.keyword_search(load(spark, d, "documents"), vreq, index=doc_index(spark, d))
     return s.withColumn("query_id", F.expr("query_id div 10"))
 
 
