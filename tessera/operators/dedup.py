@@ -112,18 +112,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     duplicate when some representative with a smaller id reaches the
     threshold.  Returns (id, dup_of, jaccard) with the smallest such rep.
     Candidate generation is probabilistic (classic LSH recall); verified
-    pairs are exact.  Shingle sets feed three branches and are written once
-    to the checkpoint folder.
+    pairs are exact.  Signatures are computed on the fly over the corpus;
+    shingle sets are rebuilt (and written once) only for the documents that
+    appear in a candidate pair, so the corpus-sized shingle table is never
+    stored.
     """
     from tessera.session import materialize
-    sets = materialize(shingle_sets(df, id_col, text_col), "shingles")
-    sig = minhash_signatures(sets, id_col)
+    sig = minhash_signatures(shingle_sets(df, id_col, text_col), id_col)
     band_keys = F.array(*[F.xxhash64(F.slice(F.col("sig"), b * ROWS_PER_BAND + 1, ROWS_PER_BAND), F.lit(b))
                           for b in range(BANDS)])
     bands = sig.select(id_col, F.posexplode(band_keys).alias("band", "bkey"))
     reps = bands.groupBy("band", "bkey").agg(F.min(id_col).alias("rep"))
-    cand = (bands.join(reps, ["band", "bkey"]).filter(F.col("rep") < F.col(id_col))
-            .select(id_col, "rep").distinct())
+    cand = materialize(bands.join(reps, ["band", "bkey"]).filter(F.col("rep") < F.col(id_col))
+                       .select(id_col, "rep").distinct(), "near-dup-candidates")
+    needed = cand.select(id_col).union(cand.select(F.col("rep").alias(id_col))).distinct()
+    sets = materialize(shingle_sets(df.join(needed, id_col, "left_semi"), id_col, text_col), "shingles")
     a = sets.withColumnRenamed("shingles", "_a")
     b = sets.select(F.col(id_col).alias("rep"), F.col("shingles").alias("_b"))
     scored = cand.join(a, id_col).join(b, "rep").select(

@@ -206,3 +206,46 @@ def revision_delta(revisions: DataFrame, key: str = "thread_id", seq: str = "rev
     return r.select(key, seq, "score", F.round(F.col("score") - F.col("prev_score"), 4).alias("delta"),
                     F.array_join(F.array_sort(F.array_except(prev_issues, F.col("issues"))), ",").alias("fixed"),
                     F.array_join(F.array_sort(F.array_except(F.col("issues"), prev_issues)), ",").alias("introduced"))
+
+
+def report_checks(reports: DataFrame, report: str = "report_id", body: str = "body") -> DataFrame:
+    """Every per-report input of L9 in one row-local pass (no explode, no
+    join, no shuffle): word count, distinct cited numbers and orphans,
+    references present / unlinked, structure and image checks.  Same values
+    as aggregating L1-L7, which the registered lint queries do one by one."""
+    b = F.col(body)
+    txt = body_part(b)
+    cited = F.array_distinct(F.transform(
+        F.concat(F.regexp_extract_all(txt, F.lit(CITATION_PATTERN), 1),
+                 F.regexp_extract_all(txt, F.lit(MARKER_PATTERN), 2)), lambda x: x.cast("bigint")))
+    lines = F.split(references_part(b), "\n")
+
+    def ref_no(line, i):
+        return (F.when(line == "", F.lit(None).cast("bigint"))
+                .when(line.rlike(NUMBERED_REF), F.regexp_extract(line, NUMBERED_REF, 1).cast("bigint"))
+                .when(line.rlike(BULLET_REF), (i + 1).cast("bigint"))
+                .when(line.rlike(UNLINKED_REF), F.regexp_extract(line, UNLINKED_REF, 1).cast("bigint")))
+    refs = F.filter(F.transform(lines, ref_no), lambda x: x.isNotNull())
+    unlinked = F.filter(lines, lambda l: (l != "") & ~l.rlike(NUMBERED_REF) & ~l.rlike(BULLET_REF)
+                        & l.rlike(UNLINKED_REF))
+    titles = F.size(F.regexp_extract_all(b, F.lit(r"(?m)^# [^\n]*"), 0))
+    present = F.regexp_extract_all(b, F.lit(r"(?m)^## ([^\n]*)"), 1)
+    missing = F.array_except(F.array(*[F.lit(x) for x in REQUIRED_SECTIONS]), present)
+    kf = F.split_part(F.split_part(b, F.lit("## Key Findings\n"), F.lit(2)), F.lit("\n## "), F.lit(1))
+    sub = (F.instr(b, "## Key Findings\n") > 0) & (F.instr(F.concat(F.lit("\n"), kf), "\n### ") > 0)
+    n_sec = F.size(present)
+
+    def count(p):
+        return F.size(F.regexp_extract_all(b, F.lit(p), 0)).cast("bigint")
+    return reports.select(
+        report,
+        F.size(F.regexp_extract_all(txt, F.lit(TOKEN_PATTERN), 0)).cast("bigint").alias("n_words"),
+        F.size(cited).cast("bigint").alias("n_cited"),
+        F.size(F.array_except(cited, refs)).cast("bigint").alias("n_orphans"),
+        (F.instr(b, "\n" + REFERENCES_HEADING) > 0).alias("has_references"),
+        F.size(unlinked).cast("bigint").alias("n_unlinked"),
+        ((titles == 1) & (F.size(missing) == 0) & n_sec.between(6, 8) & sub).alias("structure_ok"),
+        titles.cast("bigint").alias("n_titles"),
+        count(IMAGE_PATTERN).alias("n_images"), count(EMPTY_ALT_IMAGE).alias("n_empty_alt"),
+        count(CAPTIONED_IMAGE).alias("n_captioned"),
+        F.array_join(missing, ",").alias("missing_sections"))

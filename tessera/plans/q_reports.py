@@ -228,27 +228,9 @@ def q_uncited_sentences(spark, d):
 
 
 def checks(spark, d):
-    """Per-report lint results feeding L9.  The assembled reports feed five
-    branches, so they are written once to the checkpoint folder."""
-    from tessera.session import materialize
-    r = materialize(_reports(spark, d), "reports")
-    cites = ln.extract_citations(r)
-    refs = ln.parse_references(r)
-    n_cited = cites.groupBy("report_id").agg(F.count_distinct("n").cast("bigint").alias("n_cited"))
-    orph = (ln.orphan_citations(cites, refs).groupBy("report_id")
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n_orphans")))
-    unl = (refs.filter(~F.col("linked")).groupBy("report_id")
-           .agg(F.count(F.lit(1)).cast("bigint").alias("n_unlinked")))
-    zero = F.lit(0).cast("bigint")
-    base = r.select("report_id", (F.instr(F.col("body"), "\n## References") > 0).alias("has_references"))
-    return (base.join(ln.length_check(r).select("report_id", "n_words"), "report_id")
-            .join(n_cited, "report_id", "left").join(orph, "report_id", "left").join(unl, "report_id", "left")
-            .join(ln.structure_check(r).select("report_id", "structure_ok", "n_titles"), "report_id")
-            .join(ln.image_check(r).select("report_id", "n_images", "n_empty_alt", "n_captioned"), "report_id")
-            .select("report_id", "n_words", F.coalesce("n_cited", zero).alias("n_cited"),
-                    F.coalesce("n_orphans", zero).alias("n_orphans"), "has_references",
-                    F.coalesce("n_unlinked", zero).alias("n_unlinked"), "structure_ok", "n_titles",
-                    "n_images", "n_empty_alt", "n_captioned"))
+    """Per-report lint results feeding L9, in one row-local pass over the
+    assembled reports (no materialization, no joins)."""
+    return ln.report_checks(_reports(spark, d))
 
 
 _SCORE_COLS = "report_id, content_score, citation_score, writing_score, visual_score, quality"
@@ -257,7 +239,7 @@ _SCORE_COLS = "report_id, content_score, citation_score, writing_score, visual_s
 @register("quality_score", sp.sql(_LINT, f"SELECT {_SCORE_COLS} FROM scored"))
 def q_quality_score(spark, d):
     """Weighted quality with deductions."""
-    return ln.quality_score(checks(spark, d)).select(*_SCORE_COLS.split(", "))
+    return ln.quality_score(checks(spark, d).drop("missing_sections")).select(*_SCORE_COLS.split(", "))
 
 
 _BAND_SQL = """CASE WHEN quality >= 0.9 THEN 'exceptional' WHEN quality >= 0.8 THEN 'excellent'
@@ -272,8 +254,6 @@ def q_quality_band(spark, d):
 
 def issues(spark, d):
     c = checks(spark, d)
-    st = ln.structure_check(_reports(spark, d)).select("report_id", "missing_sections")
-    c = c.join(st, "report_id")
     rows = [
         (F.col("n_orphans") > 0, "citations", F.concat(F.lit("orphan citations: "), F.col("n_orphans").cast("string"))),
         (~F.col("has_references"), "citations", F.lit("missing references section")),

@@ -105,3 +105,19 @@ def test_batch_generate_attempts(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "flaky")], "id long, p string")
     got = {r.id: (r.output, r.error, r.attempts) for r in batch_generate(df, "id", "p", fn).collect()}
     assert got == {1: ("OK", None, 1), 2: (None, "ValueError: no", 3), 3: ("FLAKY", None, 3)}
+
+
+def test_report_checks_equal_operator_path(spark):
+    body = ("# T\n\n## Introduction\n\nA [1] and 【4:2†source】 [5]\n\n## Key Findings\n\n### S\n\nK [3]\n\n"
+            "![a](http://i/1.png)\n*Figure 1: a*\n\n![](http://i/2.png)\n\n## References\n\n"
+            "1. [S](http://s) - Pub, 2024-01-01\n- [B](http://b)\n3. Plain - X, 2024\n")
+    rep = spark.createDataFrame([(7, body)], "report_id long, body string")
+    got = ln.report_checks(rep).first()
+    cites, refs = ln.extract_citations(rep), ln.parse_references(rep)
+    assert got.n_cited == cites.select("n").distinct().count() == 4
+    assert got.n_orphans == ln.orphan_citations(cites, refs).count()
+    assert got.n_unlinked == refs.filter(~F.col("linked")).count() == 1
+    st, im = ln.structure_check(rep).first(), ln.image_check(rep).first()
+    assert (got.structure_ok, got.n_titles, got.missing_sections) == (st.structure_ok, st.n_titles, st.missing_sections)
+    assert (got.n_images, got.n_empty_alt, got.n_captioned) == (im.n_images, im.n_empty_alt, im.n_captioned) == (2, 1, 1)
+    assert got.has_references is True and got.n_words == ln.length_check(rep).first().n_words
