@@ -136,3 +136,16 @@ def q_stream_messages(spark, d):
     """Continuous intake of agent messages (rows-only: the replayed table)."""
     m = load(spark, d, "conversations")
     return drain(_replay(m, "intake", order="turn"), "s5")
+
+
+@register("stream_trend_sliding", """SELECT event_type, window_start, window_end, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT event_type, CAST(date_trunc('day', ts) - INTERVAL 1 DAY AS TIMESTAMP) AS window_start,
+    CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS window_end FROM events
+  UNION ALL
+  SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP), CAST(date_trunc('day', ts) + INTERVAL 2 DAY AS TIMESTAMP)
+  FROM events) GROUP BY ALL""")
+def q_stream_trend_sliding(spark, d):
+    """ST7: two-day windows sliding by one day per event type (complete mode)."""
+    e = load(spark, d, "events").select("event_type", "ts")
+    return drain(so.stream_trend(_replay(e, "trend2", order="ts"), "event_type", size="2 days", slide="1 day"),
+                 "st7w", mode="complete")
