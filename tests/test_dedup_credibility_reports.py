@@ -121,3 +121,19 @@ def test_report_checks_equal_operator_path(spark):
     assert (got.structure_ok, got.n_titles, got.missing_sections) == (st.structure_ok, st.n_titles, st.missing_sections)
     assert (got.n_images, got.n_empty_alt, got.n_captioned) == (im.n_images, im.n_empty_alt, im.n_captioned) == (2, 1, 1)
     assert got.has_references is True and got.n_words == ln.length_check(rep).first().n_words
+
+
+def test_near_duplicates_match_brute_force_on_driver_table(spark):
+    from tessera.sources.tables import load
+    docs = load(spark, "/root/testdata/sf0.001", "documents")
+    got = {r.doc_id: r.dup_of for r in dd.near_duplicates(docs).collect()}
+    sets = {r.doc_id: set(r.shingles) for r in dd.shingle_sets(docs).collect()}
+    ids = sorted(sets)
+    brute = {}
+    for i, b in enumerate(ids):
+        for a in ids[:i]:
+            inter = len(sets[a] & sets[b])
+            if inter / (len(sets[a]) + len(sets[b]) - inter) >= dd.NEAR_DUP_THRESHOLD:
+                brute[b] = a
+                break
+    assert got == brute
