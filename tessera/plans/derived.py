@@ -247,3 +247,49 @@ def reports(spark: SparkSession, d: str) -> DataFrame:
            .otherwise(F.lit("")))
     return body0.join(docs, "report_id").select("report_id", "lang", "source",
                                                 F.concat(F.col("body"), img, refs).alias("body"))
+
+
+def reports_rowlocal(spark: SparkSession, d: str) -> DataFrame:
+    """The same reports as :func:`reports`, assembled inside each document
+    row with array functions -- no shuffle of the corpus text.  (Possible
+    here because each derived report comes from one document; W5 itself
+    assembles sections that may come from anywhere.)"""
+    from tessera.operators.report import SECTION_ORDER
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("report_id"), "lang", "source", "text")
+    i = F.col("report_id")
+    sid = i.cast("string")
+    lines = F.split(F.col("text"), "\n")
+    paras = F.filter(F.transform(lines, lambda l, k: F.struct(
+        F.least(k + 1, F.lit(6)).alias("sec"), (k + 1).alias("pos"), l.alias("line"),
+        F.concat(l, F.lit(" ["), (k % 3 + 1).cast("string"), F.lit("]")).alias("para"))),
+        lambda p: p["line"] != "")
+    def in_section(n):
+        return lambda p: p["sec"] == n
+
+    blocks = []
+    for n, name in enumerate(SECTION_ORDER[:6], start=1):
+        body = F.array_join(F.transform(F.filter(paras, in_section(n)), lambda p: p["para"]), "\n\n")
+        has = F.exists(paras, in_section(n))
+        if name == "Key Findings":
+            has_line3 = F.exists(paras, lambda p: p["pos"] == 3)
+            body = F.when(has_line3 & (i % 6 != 0), F.concat(F.lit("### Highlights\n\n"), body)).otherwise(body)
+        blocks.append(F.when(has, F.concat(F.lit(f"## {name}\n\n"), body)))
+    sections = F.array_join(F.array_compact(F.array(*blocks)), "\n\n")
+    body0 = F.concat(F.lit("# Report "), sid, F.lit("\n\n"), sections)
+    n_refs = F.when(i % 5 == 0, 0).when(i % 5 == 1, 2).when(i % 5 == 2, 4).otherwise(3)
+
+    def ref_line(n):
+        ns = n.cast("string")
+        tail = F.concat(F.lit(" - "), F.col("source"), F.lit(", 2024-01-0"), ns)
+        linked = F.concat(ns, F.lit(". [Source "), ns, F.lit("](https://"), F.col("source"), F.lit(".example.org/"),
+                          sid, F.lit("/"), ns, F.lit(")"), tail)
+        return F.when(i % 7 == 0, F.concat(ns, F.lit(". Source "), ns, tail)).otherwise(linked)
+    refs = F.when(n_refs > 0, F.concat(F.lit("\n\n## References\n\n"),
+                                       F.array_join(F.transform(F.sequence(F.lit(1), n_refs), ref_line), "\n"))) \
+        .otherwise(F.lit(""))
+    img = (F.when(i % 8 == 4, F.concat(F.lit("\n\n![](https://img.example.org/"), sid, F.lit(".png)")))
+           .when(i % 4 == 0, F.concat(F.lit("\n\n![Figure for "), sid, F.lit("](https://img.example.org/"), sid,
+                                      F.lit(".png)\n*Figure 1: Overview of report "), sid, F.lit("*")))
+           .otherwise(F.lit("")))
+    return (docs.filter(F.exists(paras, lambda p: F.lit(True)))
+            .select("report_id", "lang", "source", F.concat(body0, img, refs).alias("body")))

@@ -157,7 +157,9 @@ _LINT = sp.reports() + [_CITES, _REFS, _STRUCT, _LEN, _IMG, _CHECKS, _SCORED]
 
 
 def _reports(spark, d):
-    return dv.reports(spark, d)
+    """Lint input: the derived reports, assembled row-locally (no shuffle);
+    ``assemble_report`` checks the W5 path produces the same bodies."""
+    return dv.reports_rowlocal(spark, d)
 
 
 @register("extract_citations", sp.sql(sp.reports() + [_CITES], "SELECT report_id, cite_pos, n, kind FROM cites"))

@@ -137,3 +137,12 @@ def test_near_duplicates_match_brute_force_on_driver_table(spark):
                 brute[b] = a
                 break
     assert got == brute
+
+
+def test_rowlocal_reports_equal_w5_assembly(spark):
+    from tessera.plans import derived as dv
+    d = "/root/testdata/sf0.001"
+    a = dv.reports(spark, d).select("report_id", "body")
+    b = dv.reports_rowlocal(spark, d).select("report_id", "body")
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
