@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # joins of a selective side (search hits, candidate ids) with a huge one
+    # (the corpus) get a runtime bloom filter on the huge side before its shuffle
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
 }
 
 
