@@ -47,14 +47,41 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply DEFAULT_CONF where unset and make sure a checkpoint dir exists."""
+    """Apply DEFAULT_CONF where unset, make sure a checkpoint dir exists and
+    ship this package to the Python workers."""
     for k, v in DEFAULT_CONF.items():
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in Python workers (the functions given to
+    ``applyInPandasWithState`` / ``mapInPandas`` live in it), whatever the
+    driver's working directory: the runtime form of ``--py-files``.  Skipped
+    when the package is installed on the workers already (then nothing is
+    needed) -- detected by the application having shipped it once."""
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext view: rely on the install
+        return
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tessera-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "tessera"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 

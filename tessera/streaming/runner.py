@@ -81,8 +81,20 @@ def drain(sdf: DataFrame, name: str, mode: str = "append", side=None) -> DataFra
             side_target = side_path if mode == "complete" else f"{side_path}/epoch={epoch}"
             batch.filter(pred).write.mode("overwrite").parquet(side_target)
 
-    q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(write_batch).trigger(availableNow=True).start())
+    # State-store partitions are fixed when a stream first starts: size them
+    # to the cluster (at most 2 x its cores), never above the session value.
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        cap = 2 * spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext view
+        cap = int(before)
+    spark.conf.set(key, str(min(int(before), cap)))
+    try:
+        q = (sdf.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+             .foreachBatch(write_batch).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
