@@ -24,7 +24,7 @@ CAPACITY = 1024
 GROUP = 4096
 END_ID = 2
 # distinct pieces whose ids a worker remembers; beyond it the memory starts anew
-REMEMBER = 600_000
+REMEMBER = 800_000
 
 _L, _N, _W, _O = 1, 2, 3, 4
 _CLASS = np.full(256, _O, np.uint8)
@@ -62,7 +62,10 @@ class Encoder:
         self.flat = np.zeros(0, np.int32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        out = []
+        for lo in range(0, len(texts), 2000):
+            out += [np.array(e.ids, np.int32) for e in self.tok.encode_batch(texts[lo:lo + 2000], add_special_tokens=False)]
+        return out
 
     @staticmethod
     def hard(t: tn.Texts) -> np.ndarray:
@@ -150,6 +153,16 @@ class Encoder:
         return np.concatenate(ids) if ids else np.zeros(0, np.int32), counts
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept between tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32), one row per piece of each row of ``docs``.
 
@@ -158,7 +171,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, toke
     path = tokenizer or default_tokenizer()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for rb in batches:
             for t in tn.chunks(rb.column(1)):
                 ids, counts = encode(t)

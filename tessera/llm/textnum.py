@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # bytes of text handled at once inside a task (one longer text is handled alone)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 19
 
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[[32, 9, 10, 11, 12, 13]] = True
