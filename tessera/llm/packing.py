@@ -9,8 +9,10 @@ the weighted norm of what would remain.  The waste is a fraction of a sequence f
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ class Encoder:
     ids are the same."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # Spark's tasks are the parallel units
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self._clear()
@@ -61,11 +64,31 @@ class Encoder:
         self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, ids per text), by the tokenizer alone."""
+        flat, count = [], np.zeros(len(texts), np.int64)
         for lo in range(0, len(texts), 2000):
-            out += [np.array(e.ids, np.int32) for e in self.tok.encode_batch(texts[lo:lo + 2000], add_special_tokens=False)]
-        return out
+            ids = [e.ids for e in self.tok.encode_batch(texts[lo:lo + 2000], add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            count[lo:lo + len(ids)] = n
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())))
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), count
+
+    def words(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``whole`` for pieces of a blank and letters: run together they are a text that the
+        tokenizer splits into the same pieces, and it says which piece each id belongs to."""
+        flat, count = [], np.zeros(len(pieces), np.int64)
+        for lo in range(0, len(pieces), 1000):
+            part = pieces[lo:lo + 1000]
+            e = self.tok.encode("".join(part), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            if len(of) and of[-1] + 1 == len(part):
+                flat.append(np.array(e.ids, np.int32))
+                count[lo:lo + len(part)] = np.bincount(of, minlength=len(part))
+            else:
+                ids, count[lo:lo + len(part)] = self.whole(part)
+                flat.append(ids)
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), count
 
     @staticmethod
     def hard(t: tn.Texts) -> np.ndarray:
@@ -114,15 +137,18 @@ class Encoder:
         new = self.known[at] != u if len(self.known) else np.ones(len(u), bool)
         if new.any():
             raw = t.buf.tobytes()
-            i = first[new]
-            ids = self.whole([raw[s:e].decode() for s, e in zip(starts[i].tolist(), ends[i].tolist())])
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            place = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate([self.flat, *ids])
-            at = np.searchsorted(self.known, u[new])
-            self.known = np.insert(self.known, at, u[new])
-            self.place = np.insert(self.place, at, place)
-            self.count = np.insert(self.count, at, count)
+            new = np.flatnonzero(new)
+            s, e = starts[first[new]], ends[first[new]]
+            word = (t.buf[s] == 32) & (_CLASS[t.buf[np.minimum(s + 1, len(t.buf) - 1)]] == _L) & (e > s + 1)
+            for mask, encode in ((word, self.words), (~word, self.whole)):
+                fresh = u[new[mask]]
+                ids, count = encode([raw[a:b].decode() for a, b in zip(s[mask].tolist(), e[mask].tolist())])
+                place = len(self.flat) + np.cumsum(count) - count
+                self.flat = np.concatenate([self.flat, ids])
+                at = np.searchsorted(self.known, fresh)
+                self.known = np.insert(self.known, at, fresh)
+                self.place = np.insert(self.place, at, place)
+                self.count = np.insert(self.count, at, count)
         at = np.searchsorted(self.known, u)[inverse]
         count = self.count[at]
         total = int(count.sum())
@@ -144,9 +170,8 @@ class Encoder:
             s, e = t.offs[lo], t.offs[hi]
             if hard[lo]:
                 raw = t.buf[s:e].tobytes()
-                own = self.whole([raw[a - s:b - s].decode() for a, b in zip(t.offs[lo:hi], t.offs[lo + 1:hi + 1])])
-                counts[lo:hi] = [len(x) for x in own]
-                ids += own
+                own, counts[lo:hi] = self.whole([raw[a - s:b - s].decode() for a, b in zip(t.offs[lo:hi], t.offs[lo + 1:hi + 1])])
+                ids.append(own)
             elif e > s:
                 part, counts[lo:hi] = self.pieces(tn.Texts(0, hi - lo, t.buf[s:e], t.offs[lo:hi + 1] - s))
                 ids.append(part)
