@@ -48,3 +48,9 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (shard(table(spark, sf_dir, "documents"), 24)
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard")))
+
+
+@query("op10_embedding_near_duplicates")
+def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
