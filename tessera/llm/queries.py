@@ -6,6 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,3 +56,14 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_url_filter")
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "log_odds")
+
+
+@query("op4_hierarchical_mixing", mixing.SQL)
+def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"))
