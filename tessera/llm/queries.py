@@ -67,3 +67,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_hierarchical_mixing", mixing.SQL)
 def op4_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.select(table(spark, sf_dir, "documents"))
+
+
+@query("op9_cotrained_quality")
+def op9_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_text", "p_meta", "score", "kept")
+
+
+@query("op8_pii_spans")
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, train
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, train(docs))

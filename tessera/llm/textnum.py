@@ -84,13 +84,14 @@ def chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[Texts]:
         lo = hi
 
 
-def word_spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, words per text) of every word, byte positions in ``t.buf``."""
+def word_spans(t: Texts, separator: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, words per text) of every word, byte positions in ``t.buf``; ``separator`` says
+    which of the 256 bytes part words."""
     n = len(t.buf)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(t.n, np.int64)
-    word = ~_IS_SEP[t.buf]
+    word = ~separator[t.buf]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]
