@@ -109,6 +109,30 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.
     return own, label[own]
 
 
+def rounds(rows: np.ndarray, others: np.ndarray, same: bool, pairs: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of two blocks (or within one), some rows against all others at a time: few rows
+    first, so that what is much alike is connected early."""
+    k, step = 0, 8
+    while k < len(rows):
+        part = rows[k:k + step]
+        i, j = np.repeat(part, len(others)), np.tile(others, len(part))
+        if same:
+            i, j = i[i < j], j[i < j]
+        yield i, j
+        k += step
+        step = min(2 * step, max(8, pairs // max(1, len(others))))
+
+
+def apart(n: int, left: list, right: list, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose ends the edges so far do not connect (and the edges, made a forest)."""
+    label = np.arange(n)
+    a, b = forest(n, np.concatenate(left), np.concatenate(right))
+    left[:], right[:] = [a], [b]
+    label[a] = b
+    ok = label[i] != label[j]
+    return i[ok], j[ok]
+
+
 def bucket_links(rows: DataFrame, bucket: list[str], node: str, payload: list[str],
                  link: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray],
                  block: int = BLOCK) -> DataFrame:
@@ -156,15 +180,13 @@ def bucket_links(rows: DataFrame, bucket: list[str], node: str, payload: list[st
                 else:
                     first = cols["blk"][at] == cols["p"][s]
                     sides = (at[first], at[~first])
-                for k in range(0, len(sides[0]), 256):
-                    i = np.repeat(sides[0][k:k + 256], len(sides[1]))
-                    j = np.tile(sides[1], len(sides[0][k:k + 256]))
-                    if own_pair[s]:
-                        i, j = i[i < j], j[i < j]
+                for i, j in rounds(*sides, own_pair[s]):
+                    # what earlier rounds connect needs no comparison
+                    if left:
+                        i, j = apart(t.num_rows, left, right, i, j)
                     ok = link(cols, i, j)
-                    a, b = forest(int(e - s), i[ok] - s, j[ok] - s)
-                    left.append(a + s)
-                    right.append(b + s)
+                    left.append(i[ok])
+                    right.append(j[ok])
             if left:
                 a, b = forest(t.num_rows, np.concatenate(left), np.concatenate(right))
                 yield pa.record_batch({"a": pa.array(cols[node][a], pa.int64()),

@@ -81,3 +81,15 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find, train
     docs = table(spark, sf_dir, "documents")
     return find(docs, train(docs))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
