@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     read = lambda r, k: np.frombuffer(r[k], np.int32).astype(np.int64)
     known = [r for r in rows if r["y"] is not None]
     other = [r for r in rows if r["y"] is None]
-    meta = lambda part: np.array([read(r, "meta") for r in part], np.int64).reshape(len(part), -1)
+    meta = lambda part: np.stack([read(r, "meta") for r in part]) if part else np.zeros((0, 0), np.int64)
     return fit([read(r, "text") for r in known], meta(known), np.array([r["y"] for r in known], np.int64),
                [read(r, "text") for r in other], meta(other))
 
