@@ -55,8 +55,9 @@ def extract_citations(reports: DataFrame, report: str = "report_id", body: str =
                           pos="cite_pos").withColumn("kind", F.lit("inline"))
     marks = explode_rows(reports, [report], F.regexp_extract_all(txt, F.lit(MARKER_PATTERN), 2), "n",
                          pos="cite_pos").withColumn("kind", F.lit("marker"))
+    # a run of digits beyond a bigint is no citation number
     return inline.unionByName(marks).select(report, (F.col("cite_pos") + 1).cast("bigint").alias("cite_pos"),
-                                            F.col("n").cast("bigint").alias("n"), "kind")
+                                            F.col("n").try_cast("bigint").alias("n"), "kind").filter("n is not null")
 
 
 def parse_references(reports: DataFrame, report: str = "report_id", body: str = "body") -> DataFrame:
@@ -72,7 +73,7 @@ def parse_references(reports: DataFrame, report: str = "report_id", body: str =
     return ex.filter(is_num | is_bul | is_unl).select(
         report, (F.col("line_no") + 1).cast("bigint").alias("line_no"),
         F.when(is_num, num).when(is_unl, F.regexp_extract(F.col("line"), UNLINKED_REF, 1))
-         .otherwise(F.col("line_no") + 1).cast("bigint").alias("n"),
+         .otherwise((F.col("line_no") + 1).cast("string")).try_cast("bigint").alias("n"),
         F.when(is_num, F.regexp_extract(F.col("line"), NUMBERED_REF, 2)).when(is_bul, bul_t)
          .otherwise(F.regexp_extract(F.col("line"), UNLINKED_REF, 2)).alias("title"),
         F.when(is_num, F.regexp_extract(F.col("line"), NUMBERED_REF, 3))
@@ -110,12 +111,19 @@ def structure_check(reports: DataFrame, report: str = "report_id", body: str = "
         ((titles == 1) & (F.size(missing) == 0) & n_sec.between(6, 8) & sub).alias("structure_ok"))
 
 
+def body_length(txt: Column) -> Column:
+    """Length in the unit of the dominant script: Han characters, else words."""
+    return F.greatest(F.size(F.regexp_extract_all(txt, F.lit(r"\p{IsHan}"), 0)),
+                      F.size(F.regexp_extract_all(txt, F.lit(TOKEN_PATTERN), 0)))
+
+
 def length_check(reports: DataFrame, report: str = "report_id", body: str = "body") -> DataFrame:
-    """1200-1500 words in the body (Han characters counted for Chinese)."""
+    """1200-1500 words in the body; a body with more Han characters than
+    words is Chinese and counted in characters."""
     txt = body_part(F.col(body))
     han = F.size(F.regexp_extract_all(txt, F.lit(r"\p{IsHan}"), 0))
     words = F.size(F.regexp_extract_all(txt, F.lit(TOKEN_PATTERN), 0))
-    n = F.when(han > 0, han).otherwise(words)
+    n = body_length(txt)
     return reports.select(report, words.cast("bigint").alias("n_words"), han.cast("bigint").alias("n_han"),
                           n.between(MIN_WORDS, MAX_WORDS).alias("length_ok"))
 
@@ -217,14 +225,15 @@ def report_checks(reports: DataFrame, report: str = "report_id", body: str = "bo
     txt = body_part(b)
     cited = F.array_distinct(F.transform(
         F.concat(F.regexp_extract_all(txt, F.lit(CITATION_PATTERN), 1),
-                 F.regexp_extract_all(txt, F.lit(MARKER_PATTERN), 2)), lambda x: x.cast("bigint")))
+                 F.regexp_extract_all(txt, F.lit(MARKER_PATTERN), 2)), lambda x: x.try_cast("bigint")))
+    cited = F.filter(cited, lambda x: x.isNotNull())
     lines = F.split(references_part(b), "\n")
 
     def ref_no(line, i):
         return (F.when(line == "", F.lit(None).cast("bigint"))
-                .when(line.rlike(NUMBERED_REF), F.regexp_extract(line, NUMBERED_REF, 1).cast("bigint"))
+                .when(line.rlike(NUMBERED_REF), F.regexp_extract(line, NUMBERED_REF, 1).try_cast("bigint"))
                 .when(line.rlike(BULLET_REF), (i + 1).cast("bigint"))
-                .when(line.rlike(UNLINKED_REF), F.regexp_extract(line, UNLINKED_REF, 1).cast("bigint")))
+                .when(line.rlike(UNLINKED_REF), F.regexp_extract(line, UNLINKED_REF, 1).try_cast("bigint")))
     refs = F.filter(F.transform(lines, ref_no), lambda x: x.isNotNull())
     unlinked = F.filter(lines, lambda l: (l != "") & ~l.rlike(NUMBERED_REF) & ~l.rlike(BULLET_REF)
                         & l.rlike(UNLINKED_REF))
@@ -239,7 +248,7 @@ def report_checks(reports: DataFrame, report: str = "report_id", body: str = "bo
         return F.size(F.regexp_extract_all(b, F.lit(p), 0)).cast("bigint")
     return reports.select(
         report,
-        F.size(F.regexp_extract_all(txt, F.lit(TOKEN_PATTERN), 0)).cast("bigint").alias("n_words"),
+        body_length(txt).cast("bigint").alias("n_words"),
         F.size(cited).cast("bigint").alias("n_cited"),
         F.size(F.array_except(cited, refs)).cast("bigint").alias("n_orphans"),
         (F.instr(b, "\n" + REFERENCES_HEADING) > 0).alias("has_references"),

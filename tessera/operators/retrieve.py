@@ -114,14 +114,15 @@ def match_counts(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id",
 
 
 def top_k_per_query(df: DataFrame, k: Column | int | None = None, key: str = "query_id",
-                    score: str = "score", tie: str = "doc_id", cap: int = RESULT_CAP) -> DataFrame:
-    """Rank <= k (a column or literal) and rank <= 50, ties broken by id.
+                    score: str = "score", tie: str = "doc_id", cap: int | None = RESULT_CAP) -> DataFrame:
+    """Rank <= k (a column or literal) and rank <= ``cap``, ties broken by id.
 
-    Adds ``rank`` (bigint, 1-based).
+    The cap is that of one search call; ``cap=None`` ranks without it (merged
+    and reranked results).  Adds ``rank`` (bigint, 1-based).
     """
     w = Window.partitionBy(key).orderBy(F.col(score).desc(), F.col(tie).asc())
     ranked = df.withColumn("rank", F.row_number().over(w))
-    cond = F.col("rank") <= F.lit(cap)
+    cond = F.lit(True) if cap is None else F.col("rank") <= F.lit(cap)
     if k is not None:
         kc = k if isinstance(k, Column) else F.lit(k)
         cond = cond & (F.col("rank") <= kc)
@@ -167,13 +168,14 @@ def topic_filter(df: DataFrame, topic_col: str, wanted_col: str) -> DataFrame:
 def merge_searches(*results: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Union of several searches; best score per (query_id, id), re-ranked.
 
-    Partial aggregation collapses duplicates map-side before the shuffle.
+    Each search is cut by its own ``max_results`` before; the merged list is
+    not cut and may hold more rows than one search.  Partial aggregation collapses duplicates map-side before the shuffle.
     """
     u = results[0]
     for r in results[1:]:
         u = u.unionByName(r, allowMissingColumns=True)
     best = u.groupBy("query_id", id_col).agg(F.max("score").alias("score"))
-    return top_k_per_query(best, None, tie=id_col)
+    return top_k_per_query(best, None, tie=id_col, cap=None)
 
 
 def tier_weight(tier: Column) -> Column:
@@ -185,7 +187,7 @@ def tier_weight(tier: Column) -> Column:
 
 def rerank(results: DataFrame, as_of=None, date_col: str | None = None,
            id_col: str = "doc_id") -> DataFrame:
-    """Score x tier weight x recency decay (undated rows neutral), re-ranked.
+    """Score x tier weight x recency decay (undated rows neutral), re-ranked; no row is cut.
 
     Expects a ``tier`` column (see ``credibility.tier_sources``).
     """
@@ -195,7 +197,7 @@ def rerank(results: DataFrame, as_of=None, date_col: str | None = None,
         decay = F.coalesce(F.pow(F.lit(0.5), F.greatest(age, F.lit(0)) / F.lit(RECENCY_HALF_LIFE_DAYS)), F.lit(1.0))
     adj = F.round(F.col("score") * tier_weight(F.col("tier")) * decay, SCORE_DIGITS)
     return top_k_per_query(results.withColumn("rerank_score", adj).drop("rank"), None,
-                           score="rerank_score", tie=id_col)
+                           score="rerank_score", tie=id_col, cap=None)
 
 
 # --- exact top-k with pruning (MaxScore-style) ---------------------------------

@@ -245,9 +245,10 @@ def escalations(decisions: DataFrame, thread: str = "thread_id", turn: str = "tu
 
 
 def iteration_marker(messages: DataFrame, text: str = "text") -> DataFrame:
-    """The ``ITERATION_COUNT:X`` marker as a number (null when absent)."""
+    """The ``ITERATION_COUNT:X`` marker as a number (null when absent, or
+    when the number does not fit a bigint)."""
     raw = F.regexp_extract(F.col(text), ITERATION_MARKER, 1)
-    return messages.withColumn("marker", F.when(raw != "", raw.cast("bigint")))
+    return messages.withColumn("marker", F.when(raw != "", raw.try_cast("bigint")))
 
 
 def deliverable(coverage: DataFrame, decisions: DataFrame, key: str) -> DataFrame:

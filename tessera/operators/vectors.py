@@ -1,11 +1,10 @@
 """Vector operators: theme clusters (M2) and semantic search.
 
-Both compare every vector with a *bounded* set of reference vectors (theme
-centroids, query vectors).  That set is first checked against a size bound
-(one count), then carried as a one-row scalar subquery holding an array of
-(id, vector) -- evaluated once and shipped with the plan like a broadcast --
-so each corpus vector is scored row-locally: no join, no shuffle of the
-corpus.  Ranking uses ``row_number() <= k`` with a literal bound (partial
+Both compare every vector with a set of reference vectors (theme centroids,
+query vectors).  The set is counted and taken in blocks of bounded size; a
+block is a one-row scalar subquery holding an array of (id, vector) --
+evaluated once and shipped with the plan like a broadcast -- so each corpus
+vector is scored row-locally: no join, no shuffle of the corpus.  Ranking uses ``row_number() <= k`` with a literal bound (partial
 WindowGroupLimit).
 """
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_REFERENCE_VECTORS = 4096     # bound on centroids / query vectors carried per plan
+MAX_REFERENCE_VECTORS = 4096     # centroids / query vectors carried in one block
 SIM_DIGITS = 4
 
 
@@ -33,11 +32,13 @@ def norm(a: Column) -> Column:
 # instead of failing the job under ANSI mode
 
 
-def _check_bound(ref: DataFrame, what: str, limit: int) -> None:
-    n = ref.count()
-    if n > limit:
-        raise ValueError(f"{what}: {n} reference vectors exceed the bound {limit}; "
-                         f"process them in batches of at most {limit}")
+def _blocks(ref: DataFrame, key: str, limit: int) -> list[DataFrame]:
+    """The reference set in blocks of about ``limit`` rows (by the hash of
+    their key): one block's array is what a task holds at a time."""
+    n = max(1, -(-ref.count() // limit))
+    if n == 1:
+        return [ref]
+    return [ref.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -59,8 +60,17 @@ def theme_clusters(vectors: DataFrame, label: str = "label", vec: str = "embeddi
                    id_col: str = "vec_id", max_themes: int = MAX_REFERENCE_VECTORS) -> DataFrame:
     """M2 (deterministic variant): each vector joins the theme whose label
     centroid is most cosine-similar (ties -> smaller label)."""
-    cents = centroids(vectors, label, vec)
-    _check_bound(cents, "theme_clusters", max_themes)
+    parts = [_nearest_theme(vectors, c, label, vec, id_col) for c in _blocks(centroids(vectors, label, vec), label, max_themes)]
+    best = parts[0]
+    if len(parts) > 1:
+        for p in parts[1:]:
+            best = best.unionByName(p)
+        # one row per vector: the best of its blocks, ties to the smaller label
+        best = best.groupBy(id_col, label).agg(F.max("best").alias("best"))
+    return best.select(id_col, label, F.col("best.k").alias("theme"), F.round("best.s", SIM_DIGITS).alias("similarity"))
+
+
+def _nearest_theme(vectors: DataFrame, cents: DataFrame, label: str, vec: str, id_col: str) -> DataFrame:
     # the scalar subquery is projected first: Spark allows no subquery
     # inside a higher-order function, but a column computed from one is fine
     t = vectors.select(id_col, label, as_double(F.col(vec)).alias("_v"),
@@ -69,9 +79,7 @@ def theme_clusters(vectors: DataFrame, label: str = "label", vec: str = "embeddi
     nv = norm(v)
     sims = F.transform("_refs", lambda r: F.struct(F.try_divide(dot(v, r["v"]), nv * r["n"]).alias("s"),
                                                    (-r["k"]).alias("neg_k"), r["k"].alias("k")))
-    best = F.array_max(sims)
-    return t.select(id_col, label, best["k"].alias("theme"),
-                    F.round(best["s"], SIM_DIGITS).alias("similarity"))
+    return t.select(id_col, label, F.array_max(sims).alias("best"))
 
 
 def kmeans_themes(vectors: DataFrame, k: int, vec: str = "embedding", id_col: str = "vec_id",
@@ -90,10 +98,17 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str
                     max_queries: int = MAX_REFERENCE_VECTORS) -> DataFrame:
     """Cosine top-k corpus vectors per query vector (ties -> smaller id).
 
-    Query vectors are the bounded side (checked); every corpus vector is
-    scored against all of them in-row, then exploded to (query, vector,
-    score) and cut to k per query with a partial WindowGroupLimit."""
-    _check_bound(queries, "semantic_search", max_queries)
+    Query vectors are taken in blocks of about ``max_queries``; every corpus
+    vector is scored in-row against a block, and the rows are cut to k per
+    query with a partial WindowGroupLimit, block by block."""
+    parts = [_block_search(vectors, q, k, vec, id_col, qid, qvec) for q in _blocks(queries, qid, max_queries)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _block_search(vectors: DataFrame, queries: DataFrame, k: int, vec: str, id_col: str, qid: str, qvec: str) -> DataFrame:
     refs = _ref_array(queries.select(qid, as_double(F.col(qvec)).alias("_qv")), qid, "_qv")
     t = vectors.select(id_col, as_double(F.col(vec)).alias("_v"), refs.alias("_refs"))
     v = F.col("_v")
@@ -102,5 +117,5 @@ def semantic_search(vectors: DataFrame, queries: DataFrame, k: int = 5, vec: str
         r["k"].alias(qid), F.round(F.try_divide(dot(v, r["v"]), nv * r["n"]), SIM_DIGITS).alias("score")))).alias("x"))
     scored = scored.select(F.col(f"x.{qid}").alias(qid), id_col, F.col("x.score").alias("score"))
     w = Window.partitionBy(qid).orderBy(F.col("score").desc(), F.col(id_col))
-    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= min(k, 50))
+    return (scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumn("rank", F.col("rank").cast("bigint")))

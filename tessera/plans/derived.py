@@ -154,12 +154,13 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expanded_search(spark: SparkSession, d: str) -> DataFrame:
-    """Q2 + R1: one BM25 search per (request, angle) -> (query_id, doc_id, score).
+    """Q2 + R1 + R6: one BM25 search per (request, angle), each cut at the
+    request's ``max_results`` -> (query_id, doc_id, score).
 
     The variant key is query_id * 10 + angle position (3 angles)."""
     ex = rq.expand_queries(params(spark, d))
-    vreq = ex.select((F.col("query_id") * 10 + F.col("angle_pos")).alias("query_id"), "query")
-    s = rt.keyword_search(load(spark, d, "documents"), vreq, index=doc_index(spark, d))
+    vreq = ex.select((F.col("query_id") * 10 + F.col("angle_pos")).alias("query_id"), "query", "max_results")
+    s = rt.search(load(spark, d, "documents"), vreq, index=doc_index(spark, d)).drop("rank")
     return s.withColumn("query_id", F.expr("query_id div 10"))
 
 

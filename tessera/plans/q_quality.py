@@ -56,7 +56,7 @@ def q_topic_filter(spark, d):
 
 @register("merge_searches", sp.sql(sp.expanded_search(), """SELECT query_id, doc_id, score, rank FROM (
   SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS BIGINT) AS rank
-  FROM (SELECT query_id, doc_id, max(score) AS score FROM exp_search GROUP BY query_id, doc_id)) WHERE rank <= 50"""))
+  FROM (SELECT query_id, doc_id, max(score) AS score FROM exp_search GROUP BY query_id, doc_id))"""))
 def q_merge_searches(spark, d):
     """Q2 + R7: primary/aspect/alternative searches merged, best score per document."""
     return rt.merge_searches(dv.expanded_search(spark, d)).select("query_id", "doc_id", "score", "rank")
@@ -66,7 +66,7 @@ def q_merge_searches(spark, d):
   SELECT query_id, page_id, tier, rerank_score, CAST(row_number() OVER (PARTITION BY query_id
          ORDER BY rerank_score DESC, page_id) AS BIGINT) AS rank
   FROM (SELECT query_id, page_id, tier, round(score * {sp.tier_weight('tier')} * 1.0, 4) AS rerank_score
-        FROM web_tiered)) WHERE rank <= 50"""))
+        FROM web_tiered))"""))
 def q_rerank(spark, d):
     """Relevance x tier weight x recency (pages are undated: neutral)."""
     return rt.rerank(dv.web_tiered(spark, d), id_col="page_id").select(
@@ -126,10 +126,10 @@ def q_corroboration(spark, d):
 
 @register("find_conflicts", f"""WITH kf AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, {sp.q(sm.KEYED_FACT_PATTERN)}, 1))) AS key,
   unnest(regexp_extract_all(text, {sp.q(sm.KEYED_FACT_PATTERN)}, 2)) AS value FROM documents)
-SELECT doc_id, key, value FROM kf WHERE key IN (SELECT key FROM kf GROUP BY key HAVING count(DISTINCT value) > 1)""")
+SELECT doc_id, key, value FROM kf WHERE key IN (SELECT key FROM kf GROUP BY key HAVING count(DISTINCT value) > 1 AND count(DISTINCT doc_id) > 1)""")
 def q_find_conflicts(spark, d):
-    """Keyed facts whose key carries different values."""
-    return cr.find_conflicts(sm.keyed_facts(_docs(spark, d, "text"), "doc_id")).select("doc_id", "key", "value")
+    """Keyed facts whose key carries different values in different documents."""
+    return cr.find_conflicts(sm.keyed_facts(_docs(spark, d, "text"), "doc_id"), source="doc_id").select("doc_id", "key", "value")
 
 
 @register("coverage_gaps", sp.sql(sp.doc_search(), f"""SELECT DISTINCT query_id, term FROM

@@ -128,7 +128,7 @@ _IMG = f"""imgs AS (SELECT report_id, CAST(len(regexp_extract_all(body, {Q(ln.IM
   CAST(len(regexp_extract_all(body, {Q(ln.EMPTY_ALT_IMAGE)})) AS BIGINT) AS n_empty_alt,
   CAST(len(regexp_extract_all(body, {Q(ln.CAPTIONED_IMAGE)})) AS BIGINT) AS n_captioned FROM reports)"""
 D = sp.dbl
-_CHECKS = f"""checks AS (SELECT r.report_id, l.n_words,
+_CHECKS = f"""checks AS (SELECT r.report_id, greatest(l.n_words, l.n_han) AS n_words,
   (SELECT CAST(count(DISTINCT n) AS BIGINT) FROM cites c WHERE c.report_id = r.report_id) AS n_cited,
   (SELECT CAST(count(DISTINCT c.n) AS BIGINT) FROM cites c WHERE c.report_id = r.report_id
      AND c.n NOT IN (SELECT f.n FROM refs f WHERE f.report_id = r.report_id)) AS n_orphans,
@@ -198,7 +198,7 @@ def q_structure_check(spark, d):
 
 
 @register("length_check", sp.sql(sp.reports() + [_LEN], """SELECT report_id, n_words, n_han,
-  CASE WHEN n_han > 0 THEN n_han ELSE n_words END BETWEEN 1200 AND 1500 AS length_ok FROM lens"""))
+  CASE WHEN n_han > n_words THEN n_han ELSE n_words END BETWEEN 1200 AND 1500 AS length_ok FROM lens"""))
 def q_length_check(spark, d):
     """Report length."""
     return ln.length_check(_reports(spark, d))

@@ -262,7 +262,7 @@ def q_escalations(spark, d):
 
 @register("iteration_marker", f"""SELECT conv_id AS thread_id, turn,
   CASE WHEN regexp_extract(text, {sp.q(tr.ITERATION_MARKER)}, 1) <> ''
-       THEN CAST(regexp_extract(text, {sp.q(tr.ITERATION_MARKER)}, 1) AS BIGINT) END AS marker
+       THEN TRY_CAST(regexp_extract(text, {sp.q(tr.ITERATION_MARKER)}, 1) AS BIGINT) END AS marker
 FROM conversations""")
 def q_iteration_marker(spark, d):
     """Iteration markers written into messages."""

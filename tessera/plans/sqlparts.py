@@ -173,10 +173,13 @@ def parsed_results() -> list[str]:
 
 
 def expanded_search() -> list[str]:
-    return params() + ["""expanded AS (SELECT query_id * 10 + a.pos AS query_id, query || a.suffix AS query
+    return params() + ["""expanded AS (SELECT query_id * 10 + a.pos AS query_id, query || a.suffix AS query, max_results
   FROM params CROSS JOIN (VALUES (0, ''), (1, ' analysis'), (2, ' overview')) a(pos, suffix))"""] + \
         bm25("exp_bm25", "documents", "doc_id", "text", reqs="expanded") + \
-        ["exp_search AS (SELECT query_id // 10 AS query_id, doc_id, score FROM exp_bm25)"]
+        ["""exp_search AS (SELECT query_id // 10 AS query_id, doc_id, score FROM (
+  SELECT b.query_id, b.doc_id, b.score, e.max_results,
+         row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.doc_id) AS rank
+  FROM exp_bm25 b JOIN expanded e ON e.query_id = b.query_id) WHERE rank <= max_results AND rank <= 50)"""]
 
 
 def host(expr: str) -> str:

@@ -88,12 +88,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this must be set by the platform to shared storage.  Only
     when it is unset (local tests) do we create a private scratch folder;
     it is registered with ``SparkContext.setCheckpointDir`` (the conf itself
-    cannot be changed at run time).
+    cannot be changed at run time).  On a cluster such a folder would lie on
+    one machine only, so there an unset folder is an error.
     """
     sc = spark.sparkContext
     d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
          or _LOCAL_CKPT.get(sc.applicationId))
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         _LOCAL_CKPT[sc.applicationId] = d
     if sc.getCheckpointDir() is None:
@@ -116,14 +119,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{base}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (written to the shared checkpoint dir).
-
-    Used where a plan is reused by several branches and recomputation after
-    an executor loss would be expensive.  Never ``localCheckpoint``: its
-    blocks die with the executor.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)

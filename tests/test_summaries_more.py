@@ -21,8 +21,11 @@ def test_facts_corroboration_conflicts(spark):
     assert kinds[(1, "12%")] == "percent" and kinds[(1, "2024-01-05")] == "date" and kinds[(2, "3")] == "number"
     cor = {r.fact: r.corroborated for r in cr.corroboration(facts.join(docs, "doc_id"), "fact", "source").collect()}
     assert cor["12%"] is True and cor["3"] is False
-    conf = sorted((r.key, r.value) for r in cr.find_conflicts(sm.keyed_facts(docs, "doc_id")).collect())
-    assert conf == [("version", "3"), ("version", "4")]
+    # one document that names two versions does not conflict with itself
+    assert cr.find_conflicts(sm.keyed_facts(docs, "doc_id"), source="doc_id").count() == 0
+    more = docs.unionByName(spark.createDataFrame([(3, "s3", "version 3 only")], docs.schema))
+    conf = sorted((r.doc_id, r.key, r.value) for r in cr.find_conflicts(sm.keyed_facts(more, "doc_id"), source="doc_id").collect())
+    assert conf == [(2, "version", "3"), (2, "version", "4"), (3, "version", "3")]
     q = sm.extract_quotes(docs, "doc_id").collect()
     assert [(r.doc_id, r.quote) for r in q] == [(1, "Quoted words here")]
 
