@@ -123,6 +123,22 @@ def rounds(rows: np.ndarray, others: np.ndarray, same: bool, pairs: int = 1 << 2
         step = min(2 * step, max(8, pairs // max(1, len(others))))
 
 
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (the smallest member of each part) after the edges i-j are added."""
+    while len(i):
+        a, b = label[i], label[j]
+        new = a != b
+        if not new.any():
+            break
+        i, j = i[new], j[new]
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(a, b)[new], np.minimum(a, b)[new])
+        while not np.array_equal(hop := root[root], root):
+            root = hop
+        label = root[label]
+    return label
+
+
 def apart(n: int, left: list, right: list, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose ends the edges so far do not connect (and the edges, made a forest)."""
     label = np.arange(n)
