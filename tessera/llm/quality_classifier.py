@@ -252,10 +252,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
               .unionByName(ids.where("y is null").orderBy("h", "doc_id").limit(UNLABELLED)))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(F.broadcast(chosen), "doc_id")
     rows = sorted(_featured(sample).collect(), key=lambda r: (r["h"], bytes(r["text"])))
-    read = lambda r, k: np.frombuffer(r[k], np.int32).astype(np.int64)
+    read = lambda r, k: np.frombuffer(r[k], np.int32)
     known = [r for r in rows if r["y"] is not None]
     other = [r for r in rows if r["y"] is None]
-    meta = lambda part: np.stack([read(r, "meta") for r in part]) if part else np.zeros((0, 0), np.int64)
+    meta = lambda part: np.stack([read(r, "meta") for r in part]) if part else np.zeros((0, 0), np.int32)
     return fit([read(r, "text") for r in known], meta(known), np.array([r["y"] for r in known], np.int64),
                [read(r, "text") for r in other], meta(other))
 
