@@ -56,13 +56,11 @@ def last_message_by_role(messages: DataFrame, role: str | None = None, thread: s
 def new_message_polls(polls: DataFrame, thread: str, order, msg_id: str = "msg_id") -> DataFrame:
     """H2: a poll emits when its message id is non-null and differs from the
     last non-null id seen before it in the same thread."""
-    seq = sq.sequence_number(polls, [thread], order, out="_seq")
-    seq = seq.withColumn("_nn", F.when(F.col(msg_id).isNotNull(), F.col("_seq")))
-    lastpos = sq.running_max(seq, [thread], ["_seq"], "_nn", "_last_pos", inclusive=False)
-    ids = seq.select(thread, F.col("_seq").alias("_last_pos"), F.col(msg_id).alias("prev_msg_id"))
-    out = lastpos.join(ids, [thread, "_last_pos"], "left")
+    seen = F.when(F.col(msg_id).isNotNull(), F.struct(*order, F.col(msg_id).alias("_id")))
+    out = (sq.running_max(polls, [thread], order, seen, "_last", inclusive=False)
+           .withColumn("prev_msg_id", F.col("_last._id")))
     emitted = F.col(msg_id).isNotNull() & (F.col("prev_msg_id").isNull() | (F.col(msg_id) != F.col("prev_msg_id")))
-    return out.withColumn("emitted", emitted).drop("_seq", "_nn", "_last_pos")
+    return out.withColumn("emitted", emitted).drop("_last")
 
 
 def message_by_id(keys: DataFrame, messages: DataFrame, on) -> DataFrame:
@@ -139,11 +137,10 @@ def round_robin_conformance(messages: DataFrame, members, thread: str = "thread_
 
 def transitions(df: DataFrame, thread: str, order, state: str) -> DataFrame:
     """Consecutive (source, target) pairs per thread, skew-safe."""
-    s = sq.sequence_number(df, [thread], order, out="_seq")
-    return (sq.with_next(s, [thread], "_seq", [state])
+    return (sq.with_next_row(df, [thread], order, [state])
             .filter(F.col(f"next_{state}").isNotNull())
             .withColumnRenamed(state, "source").withColumnRenamed(f"next_{state}", "target")
-            .drop("_seq"))
+            .drop("has_next"))
 
 
 def handoff_conformance(trans: DataFrame, edges: DataFrame) -> DataFrame:
