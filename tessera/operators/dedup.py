@@ -100,37 +100,70 @@ def minhash_signatures(sets: DataFrame, id_col: str = "doc_id", num_perm: int =
     return ex.groupBy(id_col).agg(*aggs).select(id_col, F.array(*[F.col(f"h{j}") for j in range(num_perm)]).alias("sig"))
 
 
+def _verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(id, rep, jaccard) of the pairs whose exact shingle Jaccard reaches the
+    threshold; shingle sets are built (and written once) only for documents
+    that appear in a pair."""
+    from tessera.session import materialize
+    needed = pairs.select(id_col).union(pairs.select(F.col("rep").alias(id_col))).distinct()
+    sets = materialize(shingle_sets(df.join(needed, id_col, "left_semi"), id_col, text_col), "shingles")
+    a = sets.withColumnRenamed("shingles", "_a")
+    b = sets.select(F.col(id_col).alias("rep"), F.col("shingles").alias("_b"))
+    common = F.size(F.array_intersect("_a", "_b"))
+    return (pairs.join(a, id_col).join(b, "rep")
+            .select(id_col, "rep", (common / (F.size("_a") + F.size("_b") - common)).alias("jaccard"))
+            .filter(F.col("jaccard") >= threshold))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = NEAR_DUP_THRESHOLD) -> DataFrame:
-    """D3: documents that are near copies of an earlier one.
-
-    LSH banding proposes candidates, but a bucket never expands into all of
-    its pairs: every member is compared only with the bucket's smallest id
-    (its representative), so work is linear in documents x bands even when
-    one bucket holds a third of the corpus.  Each proposed (doc, rep) pair
-    is verified with the exact shingle Jaccard; a document is a near
-    duplicate when some representative with a smaller id reaches the
-    threshold.  Returns (id, dup_of, jaccard) with the smallest such rep.
-    Candidate generation is probabilistic (classic LSH recall); verified
-    pairs are exact.  Signatures are computed on the fly over the corpus;
-    shingle sets are rebuilt (and written once) only for the documents that
-    appear in a candidate pair, so the corpus-sized shingle table is never
-    stored.
+    """D3: documents that are near copies of an earlier one.  Returns
+    (id, dup_of, jaccard), ``dup_of`` the smallest earlier id that shares an
+    LSH band and reaches the threshold by exact shingle Jaccard.
+
+    * Copies (equal normalized texts) form one class; its smallest id stands
+      for it, so a group of copies is never compared within itself.
+    * Each member of a band bucket is compared with the bucket's smallest id.
+      A match there is the smallest this bucket can give: the member is done
+      in it.  This settles nearly all members of a large group of near
+      copies at a cost linear in the group.
+    * Members that do not match it are compared with the bucket's other
+      earlier members, as far as these are earlier than a match they have
+      already.  Pairs whose signatures agree in less than half of the
+      minima are not verified (at Jaccard 0.8 that befalls less than one pair
+      in a million).
+
+    Proposals are probabilistic (a pair of Jaccard 0.8 shares a band with
+    probability 0.9998); verified pairs are exact.  Signatures and matches
+    are written tables; documents without a word have no row.
     """
     from tessera.session import materialize
-    sig = minhash_signatures(shingle_sets(df, id_col, text_col), id_col)
+    norm = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " "))
+    hashed = df.select(id_col, F.when(norm != "", F.sha2(norm, 256)).alias("_h")).filter("_h IS NOT NULL")
+    classes = hashed.groupBy("_h").agg(F.min(id_col).alias("_first"))
+    copies = materialize(hashed.join(classes, "_h").select(id_col, "_first"), "near-dup-copies")
+    firsts = df.join(copies.filter(F.col(id_col) == F.col("_first")), id_col, "left_semi").select(id_col, text_col)
+
+    sig = materialize(minhash_signatures(shingle_sets(firsts, id_col, text_col), id_col), "near-dup-signatures")
     band_keys = F.array(*[F.xxhash64(F.slice(F.col("sig"), b * ROWS_PER_BAND + 1, ROWS_PER_BAND), F.lit(b))
                           for b in range(BANDS)])
-    bands = sig.select(id_col, F.posexplode(band_keys).alias("band", "bkey"))
+    bands = sig.select(id_col, "sig", F.posexplode(band_keys).alias("band", "bkey"))
     reps = bands.groupBy("band", "bkey").agg(F.min(id_col).alias("rep"))
-    cand = materialize(bands.join(reps, ["band", "bkey"]).filter(F.col("rep") < F.col(id_col))
-                       .select(id_col, "rep").distinct(), "near-dup-candidates")
-    needed = cand.select(id_col).union(cand.select(F.col("rep").alias(id_col))).distinct()
-    sets = materialize(shingle_sets(df.join(needed, id_col, "left_semi"), id_col, text_col), "shingles")
-    a = sets.withColumnRenamed("shingles", "_a")
-    b = sets.select(F.col(id_col).alias("rep"), F.col("shingles").alias("_b"))
-    scored = cand.join(a, id_col).join(b, "rep").select(
-        id_col, "rep", (F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))).alias("jaccard"))
-    hits = scored.filter(F.col("jaccard") >= threshold)
-    return (hits.groupBy(id_col).agg(F.min(F.struct("rep", "jaccard")).alias("m"))
-            .select(id_col, F.col("m.rep").alias("dup_of"), F.round(F.col("m.jaccard"), 4).alias("jaccard")))
+    with_rep = bands.join(reps, ["band", "bkey"]).filter(F.col("rep") < F.col(id_col))
+    proposed = materialize(with_rep.select(id_col, "rep").distinct(), "near-dup-candidates")
+    hits = materialize(_verified(firsts, proposed, id_col, text_col, threshold), "near-dup-matches")
+
+    best = hits.groupBy(id_col).agg(F.min("rep").alias("_best"))
+    rest = with_rep.join(hits.select(id_col, "rep"), [id_col, "rep"], "left_anti").join(best, id_col, "left")
+    other = bands.select("band", "bkey", F.col(id_col).alias("_other"), F.col("sig").alias("_sig"))
+    agreeing = F.aggregate(F.zip_with("sig", "_sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+    earlier = (F.col("_other") > F.col("rep")) & (F.col("_other") < F.coalesce(F.col("_best"), F.col(id_col)))
+    more = materialize(rest.join(other, ["band", "bkey"]).filter(earlier & (agreeing >= NUM_PERM // 2))
+                       .select(id_col, F.col("_other").alias("rep")).distinct(), "near-dup-candidates")
+    found = hits.unionByName(_verified(firsts, more, id_col, text_col, threshold))
+    m = found.groupBy(F.col(id_col).alias("_first")).agg(F.min(F.struct("rep", "jaccard")).alias("m"))
+    copy = F.when(F.col(id_col) != F.col("_first"), F.col("_first"))
+    return (copies.join(m, "_first", "left")
+            .select(id_col, F.coalesce(F.col("m.rep"), copy).alias("dup_of"),
+                    F.round(F.coalesce(F.col("m.jaccard"), F.lit(1.0)), 4).alias("jaccard"))
+            .filter(F.col("dup_of").isNotNull()))

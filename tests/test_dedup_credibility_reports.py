@@ -34,6 +34,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute == {2: 1, 3: 1}
 
 
+def test_near_duplicates_complete_on_templates(spark):
+    """Families of texts that differ in two or three words: links between members
+    that are not near the family's first text count too, and copies of each."""
+    import random
+    rnd, rows = random.Random(5), []
+    for fam in range(20):
+        words = [f"f{fam}w{i}" for i in range(100)]
+        for _ in range(15):
+            text = list(words)
+            for at in rnd.sample(range(100), rnd.choice((2, 3))):
+                text[at] = f"x{rnd.randrange(10**6)}"
+            rows += [" ".join(text)] * rnd.choice((1, 1, 1, 3))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.dup_of for r in dd.near_duplicates(docs).collect()}
+    sets = {r.doc_id: set(r.shingles) for r in dd.shingle_sets(docs).collect()}
+    brute = {}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        inter = len(sets[a] & sets[b])
+        if inter / (len(sets[a]) + len(sets[b]) - inter) >= dd.NEAR_DUP_THRESHOLD and b not in brute:
+            brute[b] = a
+    assert len(brute) > 200 and set(got) <= set(brute)
+    assert sum(got.get(b) == a for b, a in brute.items()) >= 0.99 * len(brute)
+
+
 def test_tiers_label_boundary(spark):
     df = spark.createDataFrame([("www.reuters.com",), ("notreuters.com",), ("U:P@News.BBC.co.uk:443",), ("mit.edu",),
                                 ("example.org",)], "domain string")
