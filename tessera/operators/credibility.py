@@ -139,3 +139,12 @@ def scope_profile(df: DataFrame, ts: str = "ts", dim: str = "event_type", actor:
         F.count_distinct(F.to_date(ts)).cast("bigint").alias("n_days"),
         F.round(F.avg(F.when(recent, 1.0).otherwise(0.0)), 4).alias("recent_share"))
         .withColumn("span_days", F.datediff(F.col("last_ts"), F.col("first_ts")).cast("bigint")))
+
+
+def language_profile(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """Documents, sources and share of the whole per language (null
+    languages are one group)."""
+    total = df.select(F.count(F.lit(1)).cast("double")).scalar()
+    return (df.groupBy(lang).agg(F.count(F.lit(1)).cast("bigint").alias("n"),
+                                 F.count_distinct(source).cast("bigint").alias("n_sources"))
+            .withColumn("share", F.round(F.col("n") / total, 4)))

@@ -25,8 +25,9 @@ DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$|^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}$
 # Keyed facts: a word, separators, then a number.
 KEYED_FACT_PATTERN = r"(\p{L}+)[ :=]+([0-9]+(?:[.,][0-9]+)*)"
 QUOTE_PATTERN = r'"([^"\n]{3,})"'
-# Sections of a rendered summary, in order.
-SUMMARY_SECTIONS = ("themes", "trends", "visual content", "gaps")
+# Sections of a rendered summary that follow its themes, in order.
+EXTRA_SECTIONS = (("trends", "Emerging Trends and Patterns"), ("visual", "Visual Content Summary"),
+                  ("gaps", "Data Gaps and Limitations"))
 # -----------------------------------------------------------------------------
 
 
@@ -131,6 +132,42 @@ def render_summary(summary: DataFrame, key: str, order_cols, text: str = "senten
                     .alias("summary_md")))
 
 
+def source_attribution(df: DataFrame, theme: str, url: str = "url", tier: str = "tier",
+                       date: str = "published_date") -> DataFrame:
+    """M8: one row per (theme, url): times used, reliability tier (the best
+    seen; null = untiered) and latest publication date (null when not known)."""
+    return (df.groupBy(theme, url).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.min(tier).cast("bigint").alias("tier"),
+        F.max(F.nullif(F.col(date), F.lit(""))).alias("published_date")))
+
+
+def render_themes(summary: DataFrame, key: str, theme: str, order_cols, extra: DataFrame,
+                  text: str = "sentence", evidence: str = "evidence") -> DataFrame:
+    """The whole summary as markdown: a heading per theme (in order of its
+    first sentence) with the findings and their evidence (array of strings)
+    as sub-bullets, then the fixed sections.  ``extra``: (key, section, pos,
+    line), section one of ``EXTRA_SECTIONS``; a section without a line says
+    "none".  Keys without a sentence have no row.  The sentences are capped by
+    the token budget (M4) and the lines by what one request has."""
+    order = [F.col(c) for c in order_cols]
+    finding = F.concat(F.lit("\u2022 "), F.col(text),
+                       F.array_join(F.transform(evidence, lambda e: F.concat(F.lit("\n  \u25e6 "), e)), ""))
+    themes = (summary.groupBy(key, theme)
+              .agg(F.array_sort(F.collect_list(F.struct(*order, finding.alias("_f")))).alias("_a"))
+              .select(key, F.struct(F.col("_a")[0].alias("_o"), F.col(theme).alias("_t"),
+                                    F.array_join(F.transform("_a", lambda x: x["_f"]), "\n").alias("_b")).alias("_s"))
+              .groupBy(key).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+              .select(key, F.array_join(F.transform("_s", lambda x, i: F.concat(
+                  F.lit("## Major Theme "), (i + 1).cast("string"), F.lit(": "), x["_t"], F.lit("\n"), x["_b"])), "\n\n")
+                  .alias("_md")))
+    lines = lambda s: F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("pos", "line"))))
+    more = extra.groupBy(key).agg(*[lines(s).alias(f"_x{i}") for i, (s, _) in enumerate(EXTRA_SECTIONS)])
+    parts = [F.concat(F.lit(f"\n\n## {title}\n"), F.coalesce(F.nullif(
+        F.array_join(F.transform(f"_x{i}", lambda x: F.concat(F.lit("\u2022 "), x["line"])), "\n"), F.lit("")), F.lit("\u2022 none")))
+        for i, (_, title) in enumerate(EXTRA_SECTIONS)]
+    return themes.join(more, key, "left").select(key, F.concat("_md", *parts).alias("summary_md"))
+
+
 def visual_inventory(results_with_images: DataFrame, key: str = "query_id") -> DataFrame:
     """M9: one row per attached image with its request and source result."""
     return (results_with_images.filter(F.col("images").isNotNull())

@@ -248,6 +248,13 @@ def iteration_marker(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.withColumn("marker", F.when(raw != "", raw.try_cast("bigint")))
 
 
+def compare_iterations(reviews: DataFrame, thread: str = "thread_id", turn: str = "turn", text: str = "text") -> DataFrame:
+    """Each review's marker beside its counted iteration (L11's count,
+    which is the one that holds); ``agrees`` is null where no marker is."""
+    counted = sq.sequence_number(reviews, [thread], [turn], out="iteration")
+    return iteration_marker(counted, text).withColumn("agrees", F.col("marker") == F.col("iteration"))
+
+
 def deliverable(coverage: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """Both gates met: coverage >= 0.75 and the last review approved."""
     last = decisions.groupBy(key).agg(F.max_by(F.col("approved"), F.col("iteration")).alias("approved"))

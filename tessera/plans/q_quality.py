@@ -159,6 +159,31 @@ def q_scope_profile(spark, d):
     return cr.scope_profile(load(spark, d, "events"))
 
 
+@register("scope_languages", """SELECT lang, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(DISTINCT source) AS BIGINT) AS n_sources,
+  round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM documents), 4) AS share FROM documents GROUP BY lang""")
+def q_scope_languages(spark, d):
+    """Languages of the corpus."""
+    return cr.language_profile(load(spark, d, "documents").select("lang", "source"))
+
+
+@register("scope_regions", """WITH o AS (SELECT r_name AS region, o_orderdate AS ts, o_custkey FROM orders
+  JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT region, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_actors, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS n_days,
+  round(avg(CASE WHEN ts > (SELECT max(ts) FROM o) - INTERVAL 30 DAY THEN 1.0 ELSE 0.0 END), 4) AS recent_share,
+  CAST(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) AS BIGINT) AS span_days
+FROM o GROUP BY ROLLUP (region)""")
+def q_scope_regions(spark, d):
+    """Span, recency and actors by region (orders of each region's customers)."""
+    t = {n: load(spark, d, n) for n in ("orders", "customer", "nation", "region")}
+    o = (t["orders"].select("o_custkey", F.col("o_orderdate").alias("ts"))
+         .join(t["customer"].select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")), "o_custkey")
+         .join(t["nation"].select("n_nationkey", F.col("n_regionkey").alias("r_regionkey")), "n_nationkey")
+         .join(t["region"].select("r_regionkey", F.col("r_name").alias("region")), "r_regionkey"))
+    return cr.scope_profile(o, dim="region", actor="o_custkey", recent_days=30)
+
+
 # --- M1, M3-M8, M10, M11 ------------------------------------------------------------
 @register("size_route", sp.sql(sp.params(), f"""SELECT p.query_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_matches,
   CASE WHEN coalesce(m.n, 0) > 50 THEN 'summarise' ELSE 'credibility' END AS route
@@ -255,3 +280,50 @@ FROM (SELECT doc_id, regexp_extract_all(text, {sp.q(sm.QUOTE_PATTERN)}, 1) AS qs
 def q_extract_quotes(spark, d):
     """Quoted spans with their document."""
     return sm.extract_quotes(_docs(spark, d, "text"), "doc_id")
+
+
+@register("source_attribution", sp.sql(sp.web_tiered(), """SELECT query_id, url, CAST(count(*) AS BIGINT) AS n,
+  CAST(min(tier) AS BIGINT) AS tier, max(nullif(published_date, '')) AS published_date
+FROM web_tiered GROUP BY query_id, url"""))
+def q_source_attribution(spark, d):
+    """M8: urls behind each request's results with tier and date."""
+    return sm.source_attribution(dv.web_tiered(spark, d), "query_id")
+
+
+@register("render_themes", sp.sql(sp.doc_search() + sp.doc_sentences() + [_SUMMARY_SQL] + sp.web_images(), f"""SELECT t.query_id,
+  t.md || chr(10) || chr(10) || '## Emerging Trends and Patterns' || chr(10) || coalesce(tr.md, '• none')
+  || chr(10) || chr(10) || '## Visual Content Summary' || chr(10) || coalesce(v.md, '• none')
+  || chr(10) || chr(10) || '## Data Gaps and Limitations' || chr(10) || coalesce(g.md, '• none') AS summary_md
+FROM (SELECT query_id, string_agg('## Major Theme ' || CAST(k AS VARCHAR) || ': ' || source || chr(10) || b, chr(10) || chr(10) ORDER BY k) AS md
+  FROM (SELECT query_id, source, b, row_number() OVER (PARTITION BY query_id ORDER BY r, p) AS k FROM (
+    SELECT s.query_id, d.source, min(s.rank) AS r, arg_min(s.sent_pos, s.rank * 1000000 + s.sent_pos) AS p,
+      string_agg('• ' || s.sentence || array_to_string(list_transform(
+        regexp_extract_all(s.sentence, '[0-9]+(?:[.,:/-][0-9]+)*%?'), lambda f: chr(10) || '  ◦ ' || f), ''),
+        chr(10) ORDER BY s.rank, s.sent_pos) AS b
+    FROM summary s JOIN documents d ON d.doc_id = s.doc_id GROUP BY s.query_id, d.source)) GROUP BY query_id) t
+LEFT JOIN (SELECT query_id, string_agg('• ' || fact || ' (' || CAST(n AS VARCHAR) || ' documents)', chr(10) ORDER BY n DESC, fact) AS md FROM (
+  SELECT query_id, fact, count(DISTINCT doc_id) AS n FROM (SELECT query_id, doc_id,
+    unnest(regexp_extract_all(sentence, '[0-9]+(?:[.,:/-][0-9]+)*%?')) AS fact FROM summary) GROUP BY ALL HAVING n >= 2)
+  GROUP BY query_id) tr ON tr.query_id = t.query_id
+LEFT JOIN (SELECT query_id, string_agg('• ' || description || ' <' || url || '>', chr(10) ORDER BY img_pos, url) AS md
+  FROM web_images GROUP BY query_id) v ON v.query_id = t.query_id
+LEFT JOIN (SELECT query_id, string_agg('• ' || term, chr(10) ORDER BY term) AS md FROM (SELECT DISTINCT query_id, term FROM
+    (SELECT query_id, unnest({sp.tokens('query')}) AS term FROM params) e
+  WHERE NOT EXISTS (SELECT 1 FROM doc_search s JOIN documents d ON d.doc_id = s.doc_id
+    WHERE s.query_id = e.query_id AND list_contains({sp.tokens('d.text')}, e.term))) GROUP BY query_id) g ON g.query_id = t.query_id"""))
+def q_render_themes(spark, d):
+    """Themes (sources) with evidence (facts), repeated facts as trends,
+    the pages' images and the query terms without evidence."""
+    s = _summary(spark, d).join(_docs(spark, d, "source"), "doc_id")
+    s = s.withColumn("evidence", F.regexp_extract_all("sentence", F.lit(sm.FACT_PATTERN), 0))
+    told = (s.select("query_id", "doc_id", F.explode("evidence").alias("fact"))
+            .groupBy("query_id", "fact").agg(F.count_distinct("doc_id").alias("n")).filter("n >= 2"))
+    section = lambda df, name, pos, line: df.select("query_id", F.lit(name).alias("section"),
+                                                    F.struct(*pos).alias("pos"), line.alias("line"))
+    extra = section(told, "trends", [(-F.col("n")).alias("a"), F.col("fact").alias("b")],
+                    F.format_string("%s (%d documents)", "fact", "n"))
+    extra = extra.unionByName(section(dv.web_images(spark, d), "visual", [F.col("img_pos").alias("a"), F.col("url").alias("b")],
+                                      F.concat("description", F.lit(" <"), "url", F.lit(">"))))
+    extra = extra.unionByName(section(q_coverage_gaps(spark, d), "gaps", [F.lit(0).cast("bigint").alias("a"), F.col("term").alias("b")],
+                                      F.col("term")))
+    return sm.render_themes(s, "query_id", "source", ["rank", "sent_pos"], extra)

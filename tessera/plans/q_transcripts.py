@@ -149,6 +149,28 @@ def q_handoff_conformance(spark, d):
         "user_id", "event_id", "source", "target")
 
 
+_HANDOFF_SQL = """handoffs AS (SELECT conv_id AS thread_id, turn, agent AS source,
+  lead(agent) OVER (PARTITION BY conv_id ORDER BY turn) AS target FROM (SELECT conv_id, turn,
+  (['ManagerAgent', 'DataFeederAgent', 'SummarizerAgent', 'CredibilityCriticAgent', 'ReportWriterAgent',
+    'ReflectionCriticAgent', 'TranslatorAgent'])[length(text) % 7 + 1] AS agent FROM conversations))"""
+
+
+@register("agent_handoff_conformance", f"""WITH {_HANDOFF_SQL}
+SELECT thread_id, turn, source, target FROM handoffs WHERE target IS NOT NULL AND (source, target) NOT IN (
+  SELECT (a, b) FROM (VALUES ('ManagerAgent', 'DataFeederAgent'), ('DataFeederAgent', 'CredibilityCriticAgent'),
+    ('DataFeederAgent', 'SummarizerAgent'), ('CredibilityCriticAgent', 'ReportWriterAgent'),
+    ('ReportWriterAgent', 'ReflectionCriticAgent'), ('SummarizerAgent', 'CredibilityCriticAgent'),
+    ('ReflectionCriticAgent', 'ReportWriterAgent'), ('ReflectionCriticAgent', 'TranslatorAgent')) v(a, b))""")
+def q_agent_handoffs(spark, d):
+    """H9: agent handoffs outside the workflow's graph; a message's agent is
+    derived from its length."""
+    agent = F.element_at(F.array(*[F.lit(a) for a in ROSTER]), (F.length("text") % 7 + 1).cast("int"))
+    m = messages(spark, d).select("thread_id", "turn", agent.alias("agent"))
+    edges = spark.createDataFrame(list(tr.HANDOFF_EDGES), "source string, target string")
+    return tr.handoff_conformance(tr.transitions(m, "thread_id", ["turn"], "agent"), F.broadcast(edges)).select(
+        "thread_id", "turn", "source", "target")
+
+
 @register("handoff_counts", f"""WITH {_TRANS_SQL}
 SELECT source, target, CAST(count(*) AS BIGINT) AS n,
   round(count(*) / sum(count(*)) OVER (PARTITION BY source), 4) AS share
@@ -269,6 +291,22 @@ def q_iteration_marker(spark, d):
     return tr.iteration_marker(messages(spark, d)).select("thread_id", "turn", "marker")
 
 
+@register("iteration_comparison", """SELECT thread_id, turn, iteration, marker, marker = iteration AS agrees FROM (
+  SELECT conv_id AS thread_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS iteration,
+    TRY_CAST(nullif(regexp_extract(text || CASE WHEN length(text) % 3 > 0
+      THEN ' ITERATION_COUNT: ' || CAST(turn // 2 + 1 AS VARCHAR) ELSE '' END,
+      'ITERATION_COUNT:\\s*([0-9]+)', 1), '') AS BIGINT) AS marker
+  FROM conversations WHERE role = 'assistant')""")
+def q_iteration_comparison(spark, d):
+    """The markers against the counted iteration (two of three critic
+    messages are given a marker, derived from their turn)."""
+    mark = F.when(F.length("text") % 3 > 0,
+                  F.concat(F.lit(" ITERATION_COUNT: "), (F.floor(F.col("turn") / 2) + 1).cast("string"))).otherwise("")
+    m = messages(spark, d).filter(F.col("role") == "assistant").select(
+        "thread_id", "turn", F.concat("text", mark).alias("text"))
+    return tr.compare_iterations(m).select("thread_id", "turn", "iteration", "marker", "agrees")
+
+
 @register("deliverable", sp.sql(sp.web_tiered(), f"""SELECT c.query_id, c.coverage, l.approved,
   c.coverage >= 0.75 AND l.approved AS deliverable FROM (
   SELECT query_id, round(0.5 * least(1.0, CAST(count(DISTINCT domain) AS DOUBLE) / 5.0)
