@@ -30,7 +30,7 @@ def q_stream_new_messages(spark, d):
     polls = load(spark, d, "events").select(
         "user_id", "event_id", "ts",
         F.when(F.col("event_type") != "error", F.floor(F.col("value") / 10).cast("bigint")).alias("msg_id"))
-    s = so.stream_new_messages(_replay(polls, "polls", order="ts"), "user_id", "msg_id")
+    s = so.stream_new_messages(_replay(polls, "polls", order="ts"), "user_id", "msg_id", "31 days")
     return drain(s.select("user_id", "msg_id"), "st1").select("user_id", "msg_id")
 
 

@@ -21,9 +21,11 @@ def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def stream_new_messages(polls: DataFrame, thread: str, msg_id: str, ts: str = "ts",
-                        delay: str = "31 days") -> DataFrame:
-    """ST1: each (thread, message id) once; state expires with the watermark."""
+def stream_new_messages(polls: DataFrame, thread: str, msg_id: str, delay: str,
+                        ts: str = "ts") -> DataFrame:
+    """ST1: each (thread, message id) once within ``delay`` of event time; an id
+    that comes again later than that is emitted again, and rows later than the
+    watermark are dropped, so ``delay`` must cover how long ids recur."""
     return (event_time(polls, ts).filter(F.col(msg_id).isNotNull())
             .withWatermark(ts, delay)
             .dropDuplicatesWithinWatermark([thread, msg_id]))
@@ -58,17 +60,16 @@ def _assemble_group(key, pdfs, state, abandon_ms: int = 3_600_000):
         if "ts" in pdf.columns and len(pdf):
             m = pd.Timestamp(pdf["ts"].max())
             latest = m if latest is None or m > latest else latest
-    out = []
-    while True:
-        ends = sorted(s for s, (_, f) in buf.items() if f and s >= next_seq)
-        if not ends or any(s not in buf for s in range(next_seq, ends[0] + 1)):
-            break
-        end = ends[0]
-        text = "".join((buf[s][0] or "") for s in range(next_seq, end + 1))
-        out.append((int(key[0]), int(msg_no), int(end - next_seq + 1), text))
-        for s in range(next_seq, end + 1):
-            del buf[s]
-        next_seq, msg_no = end + 1, msg_no + 1
+    out, parts, at = [], [], next_seq
+    while at in buf:                 # one walk over the chunks that follow without a gap
+        content, final = buf[at]
+        parts.append(content or "")
+        at += 1
+        if final:
+            out.append((int(key[0]), int(msg_no), len(parts), "".join(parts)))
+            for s in range(next_seq, at):
+                del buf[s]
+            next_seq, msg_no, parts = at, msg_no + 1, []
     keys = sorted(buf)
     state.update((int(next_seq), int(msg_no), keys, [buf[s][0] for s in keys], [buf[s][1] for s in keys]))
     if latest is not None:

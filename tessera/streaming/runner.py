@@ -11,7 +11,6 @@
 from __future__ import annotations
 
 import os
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,22 +32,24 @@ def _path(spark: SparkSession, kind: str, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str, n_files: int = 4, order=None, scatter=None) -> str:
-    """Write ``df`` as ``n_files`` parquet files; returns the folder.
+    """Write ``df`` as parquet files that a file stream replays; returns the folder.
 
-    ``order`` range-splits by that column (ordered arrival); ``scatter``
-    hash-splits by that expression (out-of-order arrival)."""
+    ``order`` (a number or time) replays ``n_files`` steps of about equal
+    counts in that order: each is written by as many tasks as hold its rows.
+    ``scatter`` hash-splits into ``n_files`` by that expression (out-of-order
+    arrival)."""
     path = _path(df.sparkSession, "stage", name)
     if order is not None:
-        # One append per range, in order: the file source replays files by
-        # modification time, so ranges must be written one after another.
+        # the file source replays files by modification time: steps are written one after another
         tmp = _path(df.sparkSession, "stage-parts", name)
-        (df.repartitionByRange(n_files, F.col(order)).withColumn("_part", F.spark_partition_id())
-         .write.partitionBy("_part").parquet(tmp))
+        shares = [i / n_files for i in range(1, n_files)]
+        cuts = df.agg(F.percentile_approx(order, shares).alias("cuts")).scalar()
+        above = [F.when(F.col(order) > F.col("_cuts")[i], 1).otherwise(0) for i in range(n_files - 1)]
+        step = sum(above, F.lit(0))
+        df.withColumn("_cuts", cuts).withColumn("_part", step).drop("_cuts").write.partitionBy("_part").parquet(tmp)
         parts = df.sparkSession.read.parquet(tmp)
         for i in range(n_files):
-            piece = parts.filter(F.col("_part") == i).drop("_part")
-            piece.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
-            time.sleep(0.01)
+            parts.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(path)
         return path
     out = df.repartition(n_files, scatter) if scatter is not None else df.repartition(n_files)
     out.write.mode("overwrite").parquet(path)
@@ -71,15 +72,17 @@ def drain(sdf: DataFrame, name: str, mode: str = "append", side=None) -> DataFra
     sink = _path(spark, "sink", name)
     ckpt = _path(spark, "ckpt", name)
 
+    written: list[int] = []          # epochs, on the driver: foreachBatch calls back into this process
+
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        # Idempotent on retry: a re-run micro-batch overwrites its own folder
-        # (append mode) or the whole result (complete mode), never appends twice.
-        target = sink if mode == "complete" else f"{sink}/epoch={epoch}"
-        batch.write.mode("overwrite").parquet(target)
+        # Idempotent on retry: a re-run micro-batch overwrites its own folder.  In complete mode each
+        # epoch is a whole result of its own, and the last one finished is what is read.
+        batch.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
         if side is not None:
             side_path, pred = side
             side_target = side_path if mode == "complete" else f"{side_path}/epoch={epoch}"
             batch.filter(pred).write.mode("overwrite").parquet(side_target)
+        written.append(epoch)
 
     # State-store partitions are fixed when a stream first starts: size them
     # to the cluster (at most 2 x its cores), never above the session value.
@@ -98,8 +101,8 @@ def drain(sdf: DataFrame, name: str, mode: str = "append", side=None) -> DataFra
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    try:
-        out = spark.read.parquet(sink)
-    except Exception:  # noqa: BLE001 - no batch produced any row
+    if not written:
         return spark.createDataFrame([], sdf.schema)
-    return out.drop("epoch") if "epoch" in out.columns else out
+    if mode == "complete":
+        return spark.read.parquet(f"{sink}/epoch={max(written)}")
+    return spark.read.option("basePath", sink).parquet(sink).drop("epoch")
