@@ -131,9 +131,9 @@ def q_stream_sessions(spark, d):
                  "st7s", mode="complete")
 
 
-@register("stream_messages")
+@register("stream_messages", "SELECT conv_id, turn, role, text FROM conversations")
 def q_stream_messages(spark, d):
-    """Continuous intake of agent messages (rows-only: the replayed table)."""
+    """Continuous intake of agent messages: every message once."""
     m = load(spark, d, "conversations")
     return drain(_replay(m, "intake", order="turn"), "s5")
 
