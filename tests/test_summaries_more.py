@@ -146,3 +146,22 @@ def test_diversify_mix_merge_rerank(spark):
     tiered = spark.createDataFrame([(1, 1, 1.0, None), (1, 2, 0.5, 1)], "query_id long, page_id long, score double, tier long")
     rr = [(r.page_id, r.rerank_score) for r in rt.rerank(tiered, id_col="page_id").orderBy("rank").collect()]
     assert rr == [(2, 0.5), (1, 0.2)]
+
+
+def test_themes_attribution_and_iterations(spark):
+    from tessera.operators import transcript as tr
+    s = spark.createDataFrame([(1, "s2", 1, 1, "a 5.", ["5"]), (1, "s1", 2, 1, "b.", []), (1, "s2", 3, 1, "c.", [])],
+                              "query_id long, source string, rank long, sent_pos long, sentence string, evidence array<string>")
+    extra = spark.createDataFrame([(1, "gaps", 2, "y"), (1, "gaps", 1, "x")], "query_id long, section string, pos long, line string")
+    md = sm.render_themes(s, "query_id", "source", ["rank", "sent_pos"], extra).first().summary_md
+    assert md == ("## Major Theme 1: s2\n• a 5.\n  ◦ 5\n• c.\n\n## Major Theme 2: s1\n• b.\n\n## Emerging Trends and Patterns\n• none"
+                  "\n\n## Visual Content Summary\n• none\n\n## Data Gaps and Limitations\n• x\n• y")
+    none = sm.render_themes(s, "query_id", "source", ["rank", "sent_pos"], extra.limit(0)).first().summary_md
+    assert none.endswith("## Data Gaps and Limitations\n• none")
+    used = spark.createDataFrame([(1, "u", None, ""), (1, "u", 2, "2024-01-02")],
+                                 "query_id long, url string, tier long, published_date string")
+    assert tuple(sm.source_attribution(used, "query_id").first()) == (1, "u", 2, 2, "2024-01-02")
+    m = spark.createDataFrame([(1, 1, "ITERATION_COUNT: 1"), (1, 3, "ITERATION_COUNT:1"), (1, 5, "none"),
+                               (1, 7, "ITERATION_COUNT:" + "9" * 20)], "thread_id long, turn long, text string")
+    got = [(r.iteration, r.marker, r.agrees) for r in tr.compare_iterations(m).orderBy("turn").collect()]
+    assert got == [(1, 1, True), (2, 1, False), (3, None, None), (4, None, None)]
