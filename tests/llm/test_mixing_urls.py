@@ -127,3 +127,34 @@ def test_seed_hosts_are_blocked_and_clean_ones_are_not(spark):
             bad = bool(set(re.findall("[a-z]+", r.host)) & set(url_filter.SEEDS))
             assert (r.verdict == "block") == bad, (r.host, r.path, r.log_odds)
         assert math.isfinite(r.log_odds)
+
+
+def test_words_beyond_the_held_vocabulary_count_too(spark):
+    urls = ["http://warez%s.example.net/en/%d" % (w, i) for i, w in enumerate(("", "", "depot", "files"))]
+    urls += ["http://shop.example.net/%s/garden/%d" % (w, i) for i, w in enumerate(["rose", "tulip", "lily", "poppy"] * 20)]
+    urls += ["http://gardenrose.example.net/", "http://warez-depot.example.net/x", "http://a.b/" + "tulip" * 30, None]
+    df = spark.createDataFrame([(i % 50, u, "<p>warez depot files %s</p>" % ("garden rose " * (i % 3))) for i, u in enumerate(urls)],
+                               "page_id long, url string, html string")
+    key = lambda r: (r.page_id, r.host, r.path, r.rule or "", r.verdict, r.tokens)
+    whole = sorted(url_filter.filter_urls(df).collect(), key=key)
+    small = sorted(url_filter.filter_urls(df, vocabulary=3).collect(), key=key)
+    assert [key(r) for r in small] == [key(r) for r in whole] and len(whole) == len(urls)
+    assert [r.log_odds for r in small] == pytest.approx([r.log_odds for r in whole])
+    verdicts = {r.host: r.verdict for r in small}
+    assert verdicts["warez.example.net"] == verdicts["warezdepot.example.net"] == "block"
+    assert verdicts["gardenrose.example.net"] == "allow"
+
+
+def test_a_rare_seed_below_the_default_vocabulary_counts_in_full(spark):
+    rare = 60_000
+    word = lambda i: "".join(chr(97 + i // 26 ** k % 26) for k in range(6)) + "q"
+    pages = [(i, "http://%s.example.net/" % word(i), "%s " % word(i) * 3) for i in range(rare)]
+    pages += [(rare, "http://warez.example.net/", "warez"), (rare + 1, "http://warez.example.net/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(8)
+    nb, na = 3 * 2 + rare + 3, 3 * rare + rare + 3                # tokens of each class, and all words once
+    odds = lambda b, n: math.log((b + 1) / nb) - math.log((n - b + 1) / na)
+    both = math.log(2 / rare) + 2 * odds(2, rare + 2)             # prior, example, net
+    for r in url_filter.filter_urls(df).where("page_id >= %d or page_id < 100" % rare).collect():
+        own = "warez" if r.page_id >= rare else word(r.page_id)
+        assert r.tokens == [own, "example", "net"]
+        assert r.log_odds == pytest.approx(both + (odds(2, 2) if own == "warez" else odds(0, 1))), own
