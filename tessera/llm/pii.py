@@ -4,7 +4,7 @@ The patterns (email, ip, card, phone) run over whole texts.  A bidirectional LST
 with CRF transitions is trained in numpy from labelled spans: pattern matches in a bounded sample of
 documents, also written in ways that the patterns do not take.  It reads overlapping windows around
 every digit and every at sign (a span of any kind holds one, so other text cannot matter); each
-window is decoded, and the spans of all windows of a text are reconciled at once: the set without
+window is decoded, a span that a window's edge cuts is read again in a wide window, and the spans of all windows of a text are reconciled at once: the set without
 overlaps that has the highest total score, next to the patterns' spans, which always stay.
 """
 from __future__ import annotations
@@ -27,6 +27,9 @@ _PATTERN = {
 }
 WINDOW = 64
 STRIDE = 32
+#: spans up to this length are seen whole, with CONTEXT characters around them
+LONGEST, CONTEXT = 144, 16
+WIDE = 2 * (LONGEST + CONTEXT)
 #: sample of documents the tagger is trained on, at most (smallest hashes of doc_id)
 SAMPLE = 2_000
 TRAIN_WINDOWS = 1_600
@@ -214,8 +217,8 @@ class Tagger:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows: every digit and at sign is at least a stride inside one of them
-    (text ends aside), so each span is seen whole with context."""
+    """Starts of the windows: every digit and at sign is inside one of them.  Spans that an edge
+    cuts are left to wide_windows."""
     out: list[int] = []
     done = -1
     for m in _ANCHOR.finditer(text):
@@ -229,6 +232,17 @@ def windows(text: str) -> list[int]:
     return out
 
 
+def wide_windows(cut: list[tuple[int, int]]) -> list[int]:
+    """Starts of windows of WIDE characters; each piece of a cut span is in one that holds all spans
+    of LONGEST characters around it, with context."""
+    out: list[int] = []
+    for a, b in sorted(cut, key=lambda c: c[1]):
+        s = max(0, b - LONGEST - CONTEXT)
+        if not out or a + LONGEST + CONTEXT > out[-1] + WIDE:
+            out.append(s)
+    return sorted(set(out))
+
+
 def _padded(text: str, starts: list[int]) -> np.ndarray:
     c = np.concatenate([_codes(text), np.zeros(WINDOW, np.int64)])
     return c[np.asarray(starts, np.int64)[:, None] + np.arange(WINDOW)]
@@ -248,36 +262,51 @@ def _plausible(kind: str, s: str) -> bool:
 
 def tagged(tagger: Tagger, texts: list[str], sure: float = SURE, batch: int = 256) -> list[list[tuple[int, int, int, float]]]:
     """(start, end, kind, score) of the reconciled spans of each text."""
-    where = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+    cut: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for i, whole, *span in _decoded(tagger, texts, [(i, s) for i, t in enumerate(texts) for s in windows(t)], WINDOW, batch):
+        if not whole:
+            cut[i].append((span[0], span[1]))
+        elif span[3] >= sure:
+            found[i].append(tuple(span))
+    # what a neighbour does not see whole is read again
+    for i, part in enumerate(cut):
+        cut[i] = [(a, b) for a, b in part if not any(x <= a and b <= y for x, y, *_ in found[i])]
+    for i, whole, *span in _decoded(tagger, texts, [(i, s) for i, part in enumerate(cut) for s in wide_windows(part)], WIDE, batch // 4):
+        if whole and span[3] >= sure and span[1] - span[0] <= LONGEST:
+            found[i].append(tuple(span))
+    return [reconcile(f) for f in found]
+
+
+def _decoded(tagger: Tagger, texts: list[str], where: list[tuple[int, int]], width: int, batch: int) -> Iterator[tuple]:
+    """(text, whole, start, end, kind, score) of the spans in windows (text, start) of ``width``;
+    not whole: it touches an edge of the window, so it may be cut off."""
     coded: dict[int, np.ndarray] = {}
     for lo in range(0, len(where), batch):
         part = where[lo:lo + batch]
         for i, _ in part:
             if i not in coded:
                 coded = {k: v for k, v in coded.items() if k >= part[0][0]}
-                coded[i] = np.concatenate([_codes(texts[i]), np.zeros(WINDOW, np.int64)])
-        em = tagger.emissions(np.stack([coded[i][s:s + WINDOW] for i, s in part]))
+                coded[i] = np.concatenate([_codes(texts[i]), np.zeros(width, np.int64)])
+        em = tagger.emissions(np.stack([coded[i][s:s + width] for i, s in part]))
         tags, p = tagger.decode(em), tagger.marginals(em)[1]
         sure_of = np.take_along_axis(p, tags[:, :, None], 2)[:, :, 0]
         for row, (i, s) in enumerate(part):
             if not tags[row].any():
                 continue
             y, at = tags[row], 0
-            while at < WINDOW:
-                if y[at] == 0 or y[at] % 2 == 0:
+            while at < width:
+                # a window may begin inside a span
+                if y[at] == 0 or (y[at] % 2 == 0 and at):
                     at += 1
                     continue
-                end = at + 1
-                while end < WINDOW and y[end] == y[at] + 1:
+                end, inner = at + 1, y[at] + y[at] % 2
+                while end < width and y[end] == inner:
                     end += 1
-                # a span that touches an edge of the window may be cut off: a neighbour sees it whole
-                whole = (at > 0 or s == 0) and (end < WINDOW or s + WINDOW >= len(texts[i]))
-                score = float(sure_of[row, at:end].mean())
-                if whole and score >= sure and s + end <= len(texts[i]):
-                    found[i].append((s + at, s + end, (int(y[at]) - 1) // 2, score))
+                whole = y[at] % 2 == 1 and (at > 0 or s == 0) and (end < width or s + width >= len(texts[i]))
+                if s + end <= len(texts[i]) or not whole:
+                    yield i, whole, s + at, min(s + end, len(texts[i])), (int(inner) - 2) // 2, float(sure_of[row, at:end].mean())
                 at = end
-    return [reconcile(f) for f in found]
 
 
 def reconcile(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:

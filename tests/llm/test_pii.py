@@ -118,3 +118,29 @@ def test_rows(spark, edge_docs, small_docs, model):
 def test_redaction():
     assert pii.redact("ab a@b.c 1.2.3.4 z", [(0, 3, 8), (1, 9, 16)]) == "ab <EMAIL> <IP> z"
     assert pii.redact("0123456789", [(2, 2, 6), (3, 4, 8)]) == "01<CARD>89"
+
+
+def test_wide_windows_hold_every_span_around_a_cut_piece():
+    r = random.Random(5)
+    for _ in range(300):
+        cut = [(a, a + r.randint(1, pii.WINDOW)) for a in (r.randint(0, 900) for _ in range(r.randint(0, 12)))]
+        starts = pii.wide_windows(cut)
+        assert starts == sorted(set(starts))
+        for a, b in cut:
+            assert any(s <= max(0, b - pii.LONGEST - pii.CONTEXT) and a + pii.LONGEST + pii.CONTEXT <= s + pii.WIDE for s in starts)
+
+
+def test_long_spaced_emails_are_seen_whole(model):
+    r = random.Random(6)
+    texts, spans = [], []
+    for n in range(30, 121, 2):           # written as the tagger has learned emails, but longer
+        mail = "restin.%d @ " % r.randint(10, 99)
+        while len(mail) < n - 15:
+            mail += "mail%d." % r.randint(1, 9)
+        mail += "example.com"
+        before = "words of plain text that hold nothing at all " * 2
+        texts.append(before + mail + " and some more plain text after it " * 3)
+        spans.append((len(before), len(before) + len(mail), 0))
+    seen = [{(a, b, k) for k, a, b in pii.all_spans(t, f)[1]} for t, f in zip(texts, pii.tagged(model, texts))]
+    hit = [b - a for (a, b, k), got in zip(spans, seen) if (k, a, b) in {(g[2], g[0], g[1]) for g in got}]
+    assert len(hit) >= 0.8 * len(spans) and max(hit) > 110, hit
