@@ -87,6 +87,19 @@ def doc_index(spark: SparkSession, d: str) -> DataFrame:
     return _memo(spark, "doc-index", d, build)
 
 
+def doc_vectors(spark: SparkSession, d: str):
+    """(vector index, TF-IDF frequencies) of the documents' words, written once per application."""
+    from tessera.operators.routed import text_index
+    return _memo(spark, "doc-vectors", d, lambda: text_index(load(spark, d, "documents")))
+
+
+def doc_themes(spark: SparkSession, d: str, **how) -> DataFrame:
+    """Documents with their learned theme, written once per application."""
+    from tessera.operators.themes import text_themes
+    from tessera.session import materialize
+    return _memo(spark, "doc-themes", d, lambda: materialize(text_themes(load(spark, d, "documents"), "doc_id", "text", **how)[0], "doc-themes"))
+
+
 def web_search(spark: SparkSession, d: str) -> DataFrame:
     """R1 + R6 over the page adapter: (query_id, page_id, score, rank),
     written once like :func:`doc_search`."""

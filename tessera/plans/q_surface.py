@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from tessera.functions.sql import register_scalar_functions, register_search_function
 from tessera.operators import normalise as nz
 from tessera.operators import summarise as sm
+from tessera.operators import vector_index as vi
 from tessera.operators import vectors as vc
 from tessera.operators.generate import batch_generate
+from tessera.operators.routed import routed_search
+from tessera.operators.themes import theme_terms
 from tessera.plans import derived as dv
 from tessera.plans import sqlparts as sp
 from tessera.plans.catalog import register
@@ -87,7 +90,29 @@ def q_kmeans_themes(spark, d):
     return vc.kmeans_themes(load(spark, d, "embeddings"), k=10)
 
 
-@register("semantic_search", """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+_THEMES = {"k": 8, "seed": 7, "iterations": 5}
+_THEMES_SQL = sp.crc_table() + sp.tfidf("docs_w", "documents", "doc_id", "text", 512) + sp.kmeans("themes", "docs_w", "doc_id", **_THEMES)
+
+
+@register("text_themes", sp.sql(_THEMES_SQL, """SELECT d.doc_id, t.theme, round(t.similarity, 4) AS similarity
+FROM documents d LEFT JOIN themes t ON d.doc_id = t.doc_id"""))
+def q_text_themes(spark, d):
+    """M2, learned: documents grouped by k-means over their words."""
+    return dv.doc_themes(spark, d, **_THEMES)
+
+
+@register("theme_terms", sp.sql(_THEMES_SQL + [
+    f"theme_tok AS (SELECT DISTINCT doc_id, unnest({sp.tokens('text')}) AS term FROM documents)",
+    "theme_per AS (SELECT t.theme, k.term, count(*) AS docs FROM theme_tok k JOIN themes t ON k.doc_id = t.doc_id GROUP BY ALL)"],
+    """SELECT theme, rank, term, docs FROM (SELECT theme, term, docs, CAST(row_number() OVER (PARTITION BY theme
+  ORDER BY docs * docs / all_docs DESC, term) AS BIGINT) AS rank
+  FROM (SELECT *, sum(docs) OVER (PARTITION BY term) AS all_docs FROM theme_per)) WHERE rank <= 5"""))
+def q_theme_terms(spark, d):
+    """M2: the five terms that mark each learned theme."""
+    return theme_terms(load(spark, d, "documents"), dv.doc_themes(spark, d, **_THEMES), "doc_id", "text")
+
+
+_SEMANTIC_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 c AS (SELECT label, list(m ORDER BY i) AS cv FROM (
   SELECT label, i, avg(x) AS m FROM (SELECT label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM e)
   GROUP BY label, i) GROUP BY label)
@@ -96,7 +121,10 @@ SELECT query_id, vec_id, score, rank FROM (
     (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.cv, c.cv))), 4) AS score,
     CAST(row_number() OVER (PARTITION BY c.label ORDER BY round(list_dot_product(e.v, c.cv) /
     (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(c.cv, c.cv))), 4) DESC, e.vec_id) AS BIGINT) AS rank
-  FROM e CROSS JOIN c) WHERE rank <= 5""")
+  FROM e CROSS JOIN c) WHERE rank <= 5"""
+
+
+@register("semantic_search", _SEMANTIC_SQL)
 def q_semantic_search(spark, d):
     """Top-5 vectors by cosine for each query vector (the label centroids)."""
     emb = load(spark, d, "embeddings")
@@ -105,6 +133,31 @@ def q_semantic_search(spark, d):
                                                         "vec_id", "score", "rank")
 
 
+@register("semantic_search_indexed", _SEMANTIC_SQL)
+def q_semantic_search_indexed(spark, d):
+    """The same rows from the inverted-file index, cells ruled out by their bounds."""
+    emb = load(spark, d, "embeddings")
+    queries = vc.centroids(emb).select(F.col("label").cast("bigint").alias("query_id"), F.col("centroid").alias("query_vec"))
+    return vi.search(vi.build_index(emb), queries, k=5, exact=True)
+
+
+@register("routed_search", sp.sql(
+    sp.params() + ["basic AS (SELECT * FROM params WHERE search_depth <> 'advanced')",
+                   "deep AS (SELECT * FROM params WHERE search_depth = 'advanced')"]
+    + sp.bm25("route_bm25", "documents", "doc_id", "text", reqs="basic") + sp.topk("route_basic", "route_bm25", "doc_id", reqs="basic")
+    + sp.crc_table() + sp.tfidf("docs_w", "documents", "doc_id", "text", 512)
+    + sp.tfidf("deep_w", "deep", "query_id", "query", 512, like="docs_w")
+    + ["""route_cos AS (SELECT q.query_id, d.doc_id, round(sum(q.w * d.w), 4) AS score
+  FROM deep_w q JOIN docs_w d ON q.dim = d.dim GROUP BY ALL)"""] + sp.topk("route_deep", "route_cos", "doc_id", reqs="deep"),
+    """SELECT query_id, 'basic' AS search_depth, doc_id, score, rank FROM route_basic
+UNION ALL SELECT query_id, 'advanced', doc_id, score, rank FROM route_deep"""))
+def q_routed_search(spark, d):
+    """R1 and R5 routed by search_depth: basic requests by BM25, advanced ones by word vectors over
+    the inverted-file index (all neighbours, so that rows can be compared)."""
+    index, model = dv.doc_vectors(spark, d)
+    return routed_search(load(spark, d, "documents"), dv.params(spark, d), postings=dv.doc_index(spark, d), index=index, model=model, exact=True)
+
+
 @register("visual_inventory", sp.sql(sp.web_results() + sp.web_images(), """SELECT w.query_id, w.rank, w.url AS source_url,
   CAST(row_number() OVER (PARTITION BY i.query_id ORDER BY i.img_pos) AS BIGINT) AS img_no,
   i.url AS image_url, i.description

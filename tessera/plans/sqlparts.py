@@ -268,3 +268,57 @@ def reports() -> list[str]:
 FROM (SELECT *, CASE report_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 3 END AS nr FROM rep_body0) r
 JOIN (SELECT doc_id, lang, source FROM documents) d ON d.doc_id = r.report_id)""",
     ]
+
+
+def crc32(expr: str, table: str = "crc") -> str:
+    """CRC-32 of a string's UTF-8 bytes; ``table`` is the list of :func:`crc_table`."""
+    h = f"hex(encode({expr}))"
+    bytes_ = f"list_transform(range(0, (length({h}) // 2)), lambda i: ('0x' || substr({h}, 2 * i::INT + 1, 2))::BIGINT)"
+    return (f"xor(list_reduce(list_prepend(4294967295, {bytes_}), "
+            f"lambda a, b: xor(a >> 8, {table}[(xor(a, b) & 255) + 1])), 4294967295)")
+
+
+def crc_table() -> list[str]:
+    """``crc_table``: one row with the list ``crc`` of the 256 remainders, from the polynomial."""
+    step = "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END"
+    out = ["crc_0 AS (SELECT range AS i, range AS v FROM range(256))"]
+    out += [f"crc_{k} AS (SELECT i, {step} AS v FROM crc_{k - 1})" for k in range(1, 9)]
+    return [*out, "crc_table AS (SELECT list(v ORDER BY i) AS crc FROM crc_8)"]
+
+
+def tfidf(name: str, corpus: str, id_col: str, text_col: str, dims: int, like: str | None = None) -> list[str]:
+    """CTE ``name``: (<id_col>, dim, w), the non-zero weights of unit hashed TF-IDF vectors.  ``like``:
+    an earlier corpus of this function, whose document frequencies are used."""
+    p, ref = name, like or name
+    ctes = [
+        f"{p}_tok AS (SELECT {id_col} AS id, unnest({tokens(text_col)}) AS term FROM {corpus})",
+        f"{p}_dim AS (SELECT term, CAST({crc32('term')} % {dims} AS INT) AS dim FROM (SELECT DISTINCT term FROM {p}_tok), crc_table)",
+        f"{p}_tf AS (SELECT t.id, d.dim, count(*) AS tf FROM {p}_tok t JOIN {p}_dim d ON t.term = d.term GROUP BY ALL)",
+    ]
+    if like is None:
+        ctes += [f"{p}_idf AS (SELECT dim, ln(((SELECT count(*) FROM {corpus}) + 1) / (count(*) + 1)) AS idf FROM {p}_tf GROUP BY dim)"]
+    # a dimension that no document of the corpus has weighs most
+    none = f"(SELECT ln(CAST(count(*) + 1 AS DOUBLE)) FROM {'documents' if like else corpus})"
+    return ctes + [
+        f"{p}_raw AS (SELECT t.id, t.dim, (1 + ln(t.tf)) * coalesce(i.idf, {none}) AS w FROM {p}_tf t LEFT JOIN {ref}_idf i ON t.dim = i.dim)",
+        f"{p}_norm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM {p}_raw GROUP BY id HAVING sum(w * w) > 0)",
+        f"{p} AS (SELECT r.id AS {id_col}, r.dim, r.w / n.norm AS w FROM {p}_raw r JOIN {p}_norm n ON r.id = n.id)",
+    ]
+
+
+def kmeans(name: str, weights: str, id_col: str, k: int, seed: int, iterations: int) -> list[str]:
+    """CTE ``name``: (<id_col>, theme, similarity) by spherical k-means over weights (<id_col>, dim, w)."""
+    p = name
+
+    def joined(i: int) -> str:
+        return (f"{p}_at{i} AS MATERIALIZED (SELECT {id_col}, arg_max(theme, struct_pack(s := s, neg := -theme)) AS theme, max(s) AS s FROM ("
+                f"SELECT d.{id_col}, c.theme, round(sum(d.w * c.w), 9) AS s FROM {weights} d JOIN {p}_c{i} c ON d.dim = c.dim GROUP BY ALL) GROUP BY {id_col})")
+    ctes = [f"""{p}_seeds AS MATERIALIZED (SELECT {id_col}, CAST(row_number() OVER (ORDER BY md5('{seed}:' || CAST({id_col} AS VARCHAR)), {id_col}) - 1 AS BIGINT) AS theme
+  FROM (SELECT DISTINCT {id_col} FROM {weights}) ORDER BY theme LIMIT {k})""",
+            f"{p}_c0 AS MATERIALIZED (SELECT s.theme, w.dim, w.w FROM {weights} w JOIN {p}_seeds s ON w.{id_col} = s.{id_col})"]
+    for i in range(iterations):
+        ctes += [joined(i),
+                 f"{p}_sum{i} AS MATERIALIZED (SELECT a.theme, w.dim, sum(w.w) AS w FROM {weights} w JOIN {p}_at{i} a ON w.{id_col} = a.{id_col} GROUP BY ALL)",
+                 f"""{p}_c{i + 1} AS MATERIALIZED (SELECT theme, dim, w / sqrt(sum(w * w) OVER (PARTITION BY theme)) AS w FROM {p}_sum{i}
+  UNION ALL SELECT theme, dim, w FROM {p}_c{i} WHERE theme NOT IN (SELECT theme FROM {p}_sum{i}))"""]
+    return [*ctes, joined(iterations), f"{p} AS (SELECT {id_col}, theme, s AS similarity FROM {p}_at{iterations})"]
