@@ -1,19 +1,17 @@
 """Streaming forms of the transcript operators (ST1-ST7).
 
 The reference polls and prints; here the same rules run as Structured
-Streaming queries.  State is bounded by watermarks (ST1, ST7), by one
-message's pending chunks (ST2) or by one counter per thread (ST6).  Only
-ST2 and ST6 run Python (``applyInPandasWithState``), and only on one
-group's new rows per micro-batch.
+Streaming queries.  State is bounded by watermarks (ST1, ST7) and by timers
+that end silent streams and threads (ST2, ST6).  ST2, ST6 and the append
+form of ST7 run Python (``transformWithStateInPandas``), on one group's new
+rows per micro-batch; the running forms (ST3, ST5, ST7) run in update mode.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tessera.operators.transcript import ITERATION_THRESHOLDS, FORCED_QUALITY, MAX_REVISIONS
+from tessera.streaming.state import ChunkAssembler, ReviewCounter, WindowCounter
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -31,71 +29,31 @@ def stream_new_messages(polls: DataFrame, thread: str, msg_id: str, delay: str,
             .dropDuplicatesWithinWatermark([thread, msg_id]))
 
 
-CHUNK_OUT = T.StructType([T.StructField("stream_id", T.LongType()), T.StructField("msg_no", T.LongType()),
-                          T.StructField("n_chunks", T.LongType()), T.StructField("content", T.StringType())])
-CHUNK_STATE = T.StructType([T.StructField("next_seq", T.LongType()), T.StructField("msg_no", T.LongType()),
-                            T.StructField("seqs", T.ArrayType(T.LongType())),
-                            T.StructField("contents", T.ArrayType(T.StringType())),
-                            T.StructField("finals", T.ArrayType(T.BooleanType()))])
-
-
-def _assemble_group(key, pdfs, state, abandon_ms: int = 3_600_000):
-    import pandas as pd
-    empty = pd.DataFrame([], columns=["stream_id", "msg_no", "n_chunks", "content"])
-    if state.hasTimedOut:
-        # no chunk for this stream within the abandon window: drop the
-        # unfinished message's buffer (it is never emitted)
-        state.remove()
-        yield empty
-        return
-    if state.exists:
-        next_seq, msg_no, seqs, contents, finals = state.get
-        buf = {int(s): (c, bool(f)) for s, c, f in zip(seqs, contents, finals)}
-    else:
-        next_seq, msg_no, buf = 1, 1, {}
-    latest = None
-    for pdf in pdfs:
-        for s, c, f in zip(pdf["seq"], pdf["content"], pdf["is_final"]):
-            buf[int(s)] = (c, bool(f))
-        if "ts" in pdf.columns and len(pdf):
-            m = pd.Timestamp(pdf["ts"].max())
-            latest = m if latest is None or m > latest else latest
-    out, parts, at = [], [], next_seq
-    while at in buf:                 # one walk over the chunks that follow without a gap
-        content, final = buf[at]
-        parts.append(content or "")
-        at += 1
-        if final:
-            out.append((int(key[0]), int(msg_no), len(parts), "".join(parts)))
-            for s in range(next_seq, at):
-                del buf[s]
-            next_seq, msg_no, parts = at, msg_no + 1, []
-    keys = sorted(buf)
-    state.update((int(next_seq), int(msg_no), keys, [buf[s][0] for s in keys], [buf[s][1] for s in keys]))
-    if latest is not None:
-        state.setTimeoutTimestamp(int(latest.value // 1_000_000) + abandon_ms)
-    yield pd.DataFrame(out, columns=["stream_id", "msg_no", "n_chunks", "content"]) if out else empty
+CHUNK_OUT = "stream_id long, msg_no long, n_chunks long, content string, complete boolean"
 
 
-def stream_assemble_chunks(chunks: DataFrame, ts: str | None = None, delay: str = "1 hour",
-                           abandon_ms: int = 3_600_000) -> DataFrame:
-    """ST2: H6 with keyed state.  ``chunks``: (stream_id, seq, content,
-    is_final[, ts]), seq contiguous from 1 per stream.  Out-of-order chunks
-    wait in state until every chunk up to the final one has arrived.  With
-    ``ts``, a watermark bounds state: a stream silent for ``abandon_ms``
-    past its latest chunk (event time) drops its unfinished buffer."""
-    import functools
-    fn = functools.partial(_assemble_group, abandon_ms=abandon_ms)
+def _processed(df: DataFrame, key: str, processor, schema: str, ts: str | None, delay: str) -> DataFrame:
     if ts is None:
-        return (chunks.groupBy("stream_id")
-                .applyInPandasWithState(fn, CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.NoTimeout))
-    src = event_time(chunks, ts).withWatermark(ts, delay)
-    return (src.groupBy("stream_id")
-            .applyInPandasWithState(fn, CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+        return df.groupBy(key).transformWithStateInPandas(processor, schema, "append", "None")
+    src = event_time(df, ts).withColumnRenamed(ts, "ts").withWatermark("ts", delay)
+    return src.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def stream_assemble_chunks(chunks: DataFrame, ts: str | None = None, delay: str = "1 hour",
+                           abandon_ms: int = 3_600_000, abandoned: bool = False) -> DataFrame:
+    """ST2: H6 with keyed state.  ``chunks``: (stream_id, seq, content, is_final[, ts]), seq contiguous
+    from 1 per stream.  Chunks wait in state, each under its number, until every chunk up to the final
+    one has arrived; a batch touches the new chunks and those of messages that it finishes.
+
+    With ``ts`` state is bounded: a stream that is silent for ``abandon_ms`` of event time past its
+    latest chunk ends, and ``abandoned`` gives what then waited as rows with ``complete`` false (all
+    waiting chunks in order).  A chunk that comes again after its message was given out is ignored."""
+    out = _processed(chunks, "stream_id", ChunkAssembler(abandon_ms if ts else None), CHUNK_OUT, ts, delay)
+    return out if abandoned else out.where("complete").drop("complete")
 
 
 def stream_last_message(messages: DataFrame, thread: str = "thread_id", turn: str = "turn") -> DataFrame:
-    """ST3: running H1 (latest message per thread), complete/update mode."""
+    """ST3: running H1 (latest message per thread), for update mode keyed by the thread."""
     s = F.struct(F.col(turn).alias(turn), F.col("role").alias("role"), F.col("text").alias("text"))
     return (messages.groupBy(thread).agg(F.max_by(s, F.col(turn)).alias("_m"))
             .select(thread, F.col(f"_m.{turn}").alias(turn), F.col("_m.role").alias("role"),
@@ -109,64 +67,57 @@ def stream_input_alerts(messages: DataFrame, name: str = "name", pattern: str =
 
 
 def stream_run_monitor(run_events: DataFrame, run: str = "run_id") -> DataFrame:
-    """ST5: latest status per run (complete mode); ``drain`` callers route
-    failed runs to a side sink from the same micro-batch."""
+    """ST5: latest status per run, for update mode keyed by the run; ``drain``
+    callers route failed runs to a side sink from the same micro-batch."""
     key = F.struct(F.col("ts"), F.col("event_id"))
     return run_events.groupBy(run).agg(F.max_by(F.col("status"), key).alias("status"),
                                        F.max_by(F.col("last_error"), key).alias("last_error"),
                                        F.count(F.lit(1)).cast("bigint").alias("n_events"))
 
 
-DECISION_OUT = T.StructType([T.StructField("thread_id", T.LongType()), T.StructField("turn", T.LongType()),
-                             T.StructField("quality", T.DoubleType()), T.StructField("iteration", T.LongType()),
-                             T.StructField("threshold", T.DoubleType()), T.StructField("approved", T.BooleanType()),
-                             T.StructField("emitted_quality", T.DoubleType())])
-DECISION_STATE = T.StructType([T.StructField("next_seq", T.LongType()), T.StructField("reviews", T.LongType()),
-                               T.StructField("seqs", T.ArrayType(T.LongType())),
-                               T.StructField("turns", T.ArrayType(T.LongType())),
-                               T.StructField("is_review", T.ArrayType(T.BooleanType())),
-                               T.StructField("qualities", T.ArrayType(T.DoubleType()))])
+DECISION_OUT = ("thread_id long, turn long, quality double, iteration long, threshold double, approved boolean, "
+                "emitted_quality double, decided boolean")
 
 
-def _decide_group(key, pdfs, state):
-    import pandas as pd
-    if state.exists:
-        next_seq, seen, seqs, turns, revs, quals = state.get
-        buf = {int(s): (int(t), bool(r), q) for s, t, r, q in zip(seqs, turns, revs, quals)}
-    else:
-        next_seq, seen, buf = 1, 0, {}
-    for pdf in pdfs:
-        for s, t, r, q in zip(pdf["seq"], pdf["turn"], pdf["is_review"], pdf["quality"]):
-            buf[int(s)] = (int(t), bool(r), None if pd.isna(q) else float(q))
-    th = dict(ITERATION_THRESHOLDS)
-    out = []
-    # decide only over the contiguous prefix of the thread: a review's
-    # iteration counts every earlier review, so nothing may be missing
-    while next_seq in buf:
-        turn, is_review, quality = buf.pop(next_seq)
-        next_seq += 1
-        if not is_review:
-            continue
-        seen += 1
-        t = th.get(seen)
-        forced = seen > MAX_REVISIONS
-        out.append((int(key[0]), turn, quality, int(seen), t,
-                    bool(forced or (t is not None and quality is not None and quality >= t)),
-                    float(FORCED_QUALITY) if forced else quality))
-    keys = sorted(buf)
-    state.update((int(next_seq), int(seen), keys, [buf[k][0] for k in keys], [buf[k][1] for k in keys],
-                  [buf[k][2] for k in keys]))
-    yield pd.DataFrame(out, columns=[f.name for f in DECISION_OUT.fields])
-
-
-def stream_iteration_decision(messages: DataFrame) -> DataFrame:
-    """ST6: L11 with a per-thread review counter.  ``messages``: (thread_id,
-    seq, turn, is_review, quality) with seq contiguous from 1 per thread.
-    Messages may arrive in any order; a review is decided once every earlier
-    message of its thread has arrived, so its iteration is exact."""
-    return (messages.groupBy("thread_id")
-            .applyInPandasWithState(_decide_group, DECISION_OUT, DECISION_STATE, "append",
-                                    GroupStateTimeout.NoTimeout))
+def stream_iteration_decision(messages: DataFrame, ts: str | None = None, delay: str = "1 hour",
+                              abandon_ms: int = 3_600_000, undecided: bool = False) -> DataFrame:
+    """ST6: L11 with a per-thread review counter.  ``messages``: (thread_id, seq, turn, is_review,
+    quality[, ts]) with seq contiguous from 1 per thread.  Messages may arrive in any order; a review
+    is decided once every earlier message of its thread has arrived, so its iteration is exact.
+
+    With ``ts`` a thread that is silent for ``abandon_ms`` of event time ends: its counter goes, and
+    ``undecided`` gives the reviews that still waited behind a gap as rows with ``decided`` false."""
+    out = _processed(messages, "thread_id", ReviewCounter(abandon_ms if ts else None), DECISION_OUT, ts, delay)
+    return out if undecided else out.where("decided").drop("decided")
+
+
+WINDOW_SALTS = 16
+
+
+def stream_trend_closed(events: DataFrame, group: str, ts: str = "ts", size_ms: int = 86_400_000, slide_ms: int | None = None,
+                        session: bool = False, delay: str = "1 day", salts: int = WINDOW_SALTS) -> DataFrame:
+    """ST7 in append mode: (group, window_start, window_end, n, late).  A window comes once, when the
+    watermark passes its end; rows that come later than that are counted in rows with ``late`` true,
+    so the two together are all rows.  ``size_ms`` is the gap of ``session`` windows, which end that
+    long after their last row and break where two rows are at least that far apart.
+
+    Rows of a group are dealt by ``salts`` (not those of sessions), so a hot group is no single task;
+    a window's parts come in one micro-batch and :func:`combine_windows` adds them up there."""
+    salt = F.lit(0) if session else F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int")
+    src = event_time(events, ts).select(F.col(group).alias("grp"), F.col(ts).alias("time"), salt.alias("salt")).withWatermark("time", delay)
+    # Spark drops late rows by the column that bears the watermark; the processor is to see them
+    src = src.select("grp", "salt", (F.col("time") + F.expr("INTERVAL '0' SECOND")).alias("at"))
+    kind = dict(events.dtypes)[group]
+    out = src.groupBy("grp", "salt").transformWithStateInPandas(
+        WindowCounter(size_ms, slide_ms, session), f"grp {kind}, window_start timestamp, window_end timestamp, n long, late boolean", "append", "EventTime")
+    return out.select(F.col("grp").alias(group), F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n", "late")
+
+
+def combine_windows(batch: DataFrame) -> DataFrame:
+    """One row for each window of a micro-batch."""
+    keys = [c for c in batch.columns if c != "n"]
+    return batch.groupBy(*keys).agg(F.sum("n").alias("n")).select(*batch.columns)
 
 
 def stream_trend(events: DataFrame, group: str, ts: str = "ts", size: str = "1 day",

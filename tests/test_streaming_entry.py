@@ -12,7 +12,7 @@ def test_stream_chunks_out_of_order_equal_batch(spark):
     from tessera.streaming.runner import drain, read_stream, stage
     rows = [(1, s, f"c{s}", s in (3, 5)) for s in range(1, 8)] + [(2, 1, "x", True)]
     df = spark.createDataFrame(rows, "stream_id long, seq long, content string, is_final boolean")
-    path = stage(df, "t-chunks", n_files=3, scatter=(F.col("seq") * 7) % 3)
+    path = stage(df, "t-chunks", n_steps=3, scatter=F.col("seq") * 7)
     got = drain(so.stream_assemble_chunks(read_stream(spark, path, df.schema)), "t-st2")
     batch = tr.assemble_chunks(df.withColumnRenamed("stream_id", "s"), "s", ["seq"])
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in batch.collect())
