@@ -15,6 +15,7 @@ from tessera.operators.themes import theme_terms
 from tessera.plans import derived as dv
 from tessera.plans import sqlparts as sp
 from tessera.plans.catalog import register
+from tessera.sources.report_files import read_report_run, write_report_run
 from tessera.sources.sinks import read_reports, write_reports
 from tessera.sources.tables import load
 
@@ -55,8 +56,10 @@ def length_stub(prompt: str, attempt: int) -> str:
   CAST(CASE WHEN strpos(text, 'token') > 0 THEN 3 WHEN length(text) % 10 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts
 FROM documents""")
 def q_batch_generate(spark, d):
-    """A user function over every document with per-row retries."""
-    return batch_generate(load(spark, d, "documents"), "doc_id", "text", length_stub)
+    """A user function over every document with per-row retries and a ledger of what is done; the
+    stub needs no waits."""
+    from tessera.streaming.runner import _path
+    return batch_generate(load(spark, d, "documents"), "doc_id", "text", length_stub, waits=(), ledger=_path(spark, "ledger", "u3"))
 
 
 @register("write_reports", sp.sql(sp.reports(), "SELECT report_id, body FROM reports"))
@@ -94,6 +97,14 @@ _THEMES = {"k": 8, "seed": 7, "iterations": 5}
 _THEMES_SQL = sp.crc_table() + sp.tfidf("docs_w", "documents", "doc_id", "text", 512) + sp.kmeans("themes", "docs_w", "doc_id", **_THEMES)
 
 
+@register("write_report_run", sp.sql(sp.reports(), "SELECT report_id, body FROM reports"))
+def q_write_report_run(spark, d):
+    """Reports as files of one run, committed by a manifest and read back by it."""
+    from tessera.streaming.runner import _path
+    path = write_report_run(dv.reports(spark, d), _path(spark, "report-run", "s4"), run="20240131_000000")
+    return read_report_run(spark, path, "20240131_000000").select(F.col("report_id").cast("bigint").alias("report_id"), "body")
+
+
 @register("text_themes", sp.sql(_THEMES_SQL, """SELECT d.doc_id, t.theme, round(t.similarity, 4) AS similarity
 FROM documents d LEFT JOIN themes t ON d.doc_id = t.doc_id"""))
 def q_text_themes(spark, d):

@@ -14,21 +14,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tessera.sources.files import filesystem
+
 FORMAT = "tessera_thread_log"
 ROWS = 10_000
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path.replace("file:///", "/") if path.startswith("file:///") else path)
-
-
 def _parts(path: str) -> list[int]:
     """Numbers of the parts in the log's folder that are finished, as far as none is missing."""
     from pyarrow import fs
-    system, base = _filesystem(path)
+    system, base = filesystem(path)
     found = {}
     for f in system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True)):
         m = re.search(r"/part=(\d+)/_SUCCESS$", f.path)
@@ -66,7 +61,7 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         from pyarrow import fs
-        system, base = _filesystem(self.path)
+        system, base = filesystem(self.path)
         files = []
         for part in range(start["parts"], end["parts"]):
             inside = system.get_file_info(fs.FileSelector(f"{base}/part={part}"))
@@ -76,7 +71,7 @@ class _Reader(DataSourceStreamReader):
     def read(self, partition: InputPartition) -> Iterator:
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import to_arrow_schema
-        system, _ = _filesystem(self.path)
+        system, _ = filesystem(self.path)
         wanted = to_arrow_schema(self.schema)
         with system.open_input_file(partition.value) as f:
             for batch in pq.ParquetFile(f).iter_batches(ROWS, columns=self.columns):
