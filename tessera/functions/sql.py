@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ELLIPSIS, NETLOC_PATTERN, TOKEN_PATTERN
-from tessera.operators.retrieve import BM25_B, BM25_K1, RESULT_CAP, SCORE_DIGITS, build_index
+from tessera.operators.retrieve import RESULT_CAP, SCORE_DIGITS, bm25_weights, build_index
 
 
 def _raw(s: str) -> str:
@@ -36,26 +36,16 @@ def register_scalar_functions(spark: SparkSession) -> None:
                   ELSE concat(substring(t, 1, n - 3), '{ELLIPSIS}') END""")
 
 
-def bm25_weights(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """Query-independent BM25 weight of every posting: (term, doc_id, w)."""
-    from tessera.session import materialize
-    index = materialize(build_index(corpus, None, id_col, text_col), "search-index")
-    lens = index.filter(F.col("term").isNull())
-    post = index.filter(F.col("term").isNotNull())
-    stats = lens.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
-                              F.avg("dl").alias("avgdl")).alias("s")).scalar()
-    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = F.ln(F.lit(1.0) + (stats["n"] - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    w = (idf * (F.col("tf") * F.lit(k1 + 1.0))
-         / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / stats["avgdl"])))
-    return post.join(dfreq, "term").select("term", F.col("_id").alias(id_col), w.alias("w"))
-
+def register_search_function(spark: SparkSession, corpus: DataFrame, view: str = "tessera_search_index",
+                             index: DataFrame | None = None) -> None:
+    """``search(q, k)`` returning (doc_id, score, rank) for query text q.
 
-def register_search_function(spark: SparkSession, corpus: DataFrame, view: str = "tessera_search_index") -> None:
-    """``search(q, k)`` returning (doc_id, score, rank) for query text q."""
+    ``index``: a written index of :func:`retrieve.build_index` over the corpus, which then is not read
+    again; terms beyond its vocabulary find nothing.  The weights are a view over it."""
     from tessera.session import materialize
-    materialize(bm25_weights(corpus), "search-weights").createOrReplaceTempView(view)
+    if index is None:
+        index = materialize(build_index(corpus, None), "search-index")
+    bm25_weights(index).select("term", F.col("_id").alias("doc_id"), "w").createOrReplaceTempView(view)
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION search(q STRING, k INT)
       RETURNS TABLE (doc_id BIGINT, score DOUBLE, rank INT)
       RETURN SELECT doc_id, score, rank FROM (

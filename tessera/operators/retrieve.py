@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import explode_rows, tokenize
+from tessera.operators import postings as ps
 
 # --- fixed values ------------------------------------------------------------
 BM25_K1 = 1.2
@@ -62,17 +63,7 @@ def build_index(corpus: DataFrame, vocab: DataFrame | None = None, id_col: str =
 
 def score_index(index: DataFrame, qterms: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """BM25 from an index of :func:`build_index`: (query_id, _id, score)."""
-    lens = index.filter(F.col("term").isNull())
-    post = index.filter(F.col("term").isNotNull())
-    # one scalar subquery (referenced twice, planned once) for N and avgdl
-    stats = lens.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
-                              F.avg("dl").alias("avgdl")).alias("s")).scalar()
-    n_docs, avgdl = stats["n"], stats["avgdl"]
-    dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    idf = F.ln(F.lit(1.0) + (n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
-    contrib = (idf * (F.col("tf") * F.lit(k1 + 1.0))
-               / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / avgdl)))
-    scored = post.join(dfreq, "term").select("_id", "term", contrib.alias("c"))
+    scored = bm25_weights(index, k1, b).select("_id", "term", F.col("w").alias("c"))
     return (qterms.join(scored, "term")
             .groupBy("query_id", "_id")
             .agg(F.round(F.sum("c"), SCORE_DIGITS).alias("score")))
@@ -103,14 +94,17 @@ def keyword_search(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id
     return score_index(index, qterms, k1, b).withColumnRenamed("_id", id_col)
 
 
-def match_counts(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text", query_col: str = "query") -> DataFrame:
-    """(query_id, n_matches): documents sharing any term with each query (uncapped)."""
-    docs = explode_rows(corpus, [F.col(id_col).alias("_id")], F.array_distinct(tokenize(text_col)), "term")
-    qterms = query_terms(requests, query_col)
-    vocab = qterms.select("term").distinct()
-    return (qterms.join(docs.join(vocab, "term", "left_semi"), "term")
-            .groupBy("query_id").agg(F.count_distinct("_id").cast("bigint").alias("n_matches")))
+def match_counts(corpus: DataFrame, requests: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 query_col: str = "query", index: DataFrame | None = None) -> DataFrame:
+    """(query_id, n_matches): documents sharing any term with each query (uncapped), from a BM25
+    index whose vocabulary holds the queries' terms (built where none is given)."""
+    from tessera.session import materialize
+    if index is None:
+        vocab = query_terms(requests, query_col).select("term").distinct()
+        index = materialize(build_index(corpus, vocab, id_col, text_col), "bm25-index")
+    n_docs = index.filter(F.col("term").isNull()).count()
+    postings = index.filter(F.col("term").isNotNull()).select("term", "_id", F.col("tf").alias("w"))
+    return ps.matching(postings, n_docs, ps.request_terms(requests, tokenize(query_col)))
 
 
 def top_k_per_query(df: DataFrame, k: Column | int | None = None, key: str = "query_id",
@@ -131,10 +125,17 @@ def top_k_per_query(df: DataFrame, k: Column | int | None = None, key: str = "qu
 
 def search(corpus: DataFrame, params: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            index: DataFrame | None = None) -> DataFrame:
-    """R1 + R6: BM25 results capped by each request's ``max_results``."""
-    scores = keyword_search(corpus, params, id_col=id_col, text_col=text_col, index=index)
-    with_k = scores.join(params.select("query_id", "max_results"), "query_id")
-    return top_k_per_query(with_k, F.col("max_results"), tie=id_col).drop("max_results")
+    """R1 + R6: BM25 results capped by each request's ``max_results`` and by 50, ranked inside the tasks
+    that hold the documents (:mod:`tessera.operators.postings`)."""
+    from tessera.session import materialize
+    if index is None:
+        vocab = query_terms(params).select("term").distinct()
+        index = materialize(build_index(corpus, vocab, id_col, text_col), "bm25-index")
+    n_docs = index.filter(F.col("term").isNull()).count()
+    asked = ps.request_terms(params, tokenize("query"), F.when(F.col("max_results") < RESULT_CAP, F.col("max_results"))
+                             .when(F.col("max_results").isNotNull(), RESULT_CAP))
+    hits = ps.top_k(bm25_weights(index).select("term", "_id", "w"), n_docs, asked)
+    return hits.select("query_id", F.col("_id").alias(id_col), "score", "rank")
 
 
 def phrase_filter(results: DataFrame, query_col: str = "query", text_col: str = "text") -> DataFrame:

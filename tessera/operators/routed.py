@@ -20,7 +20,8 @@ def advanced_search(requests: DataFrame, index: VectorIndex, model: TfIdf, exact
     """(query_id, id, score, rank) for requests with ``max_results``; a request without words, or
     whose words no document tells apart, finds nothing."""
     words = model.transform(token_dims(requests, "query_id", "query", len(model.idf)), "query_id")
-    vectors = words.join(requests.select("query_id", F.least("max_results", F.lit(rt.RESULT_CAP)).alias("k")), "query_id")
+    vectors = words.join(requests.where("max_results is not null")
+                         .select("query_id", F.least("max_results", F.lit(rt.RESULT_CAP)).alias("k")), "query_id")
     return search(index, vectors, k="k", qvec="features", exact=exact, probes=probes)
 
 

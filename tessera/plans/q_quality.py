@@ -194,7 +194,7 @@ FROM params p LEFT JOIN (SELECT q.query_id, count(DISTINCT t.doc_id) AS n FROM
 def q_size_route(spark, d):
     """M1: requests with more than 50 matching documents are summarised first."""
     p = dv.params(spark, d)
-    counts = rt.match_counts(load(spark, d, "documents"), p)
+    counts = rt.match_counts(load(spark, d, "documents"), p, index=dv.doc_index(spark, d))
     full = p.select("query_id").join(counts, "query_id", "left").select(
         "query_id", F.coalesce(F.col("n_matches"), F.lit(0).cast("bigint")).alias("n_matches"))
     return sm.size_route(full, "n_matches")

@@ -24,7 +24,7 @@ from tessera.sources.tables import load
 def q_sql_search(spark, d):
     """The SQL table function ``search(q, k)`` in a LATERAL join over the
     requests; equals R1 + R6."""
-    register_search_function(spark, load(spark, d, "documents"))
+    register_search_function(spark, load(spark, d, "documents"), index=dv.doc_index(spark, d))
     dv.params(spark, d).createOrReplaceTempView("tessera_requests")
     return spark.sql("""SELECT r.query_id, CAST(s.rank AS BIGINT) AS rank, s.doc_id, s.score
       FROM tessera_requests r, LATERAL search(r.query, CAST(r.max_results AS INT)) s""")
