@@ -54,16 +54,21 @@ def sentences(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
                                                               F.lit(TOKEN_PATTERN), 0)).cast("bigint")))
 
 
-def extractive_summary(sents: DataFrame, key: str, order_cols, budget: int = SUMMARY_MAX_TOKENS) -> DataFrame:
-    """M4: sentences in order while the running token count stays within budget."""
-    w = Window.partitionBy(key).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def extractive_summary(sents: DataFrame, key: str | list[str], order_cols, budget: int = SUMMARY_MAX_TOKENS) -> DataFrame:
+    """M4: sentences in order while the running token count stays within budget; ``key``: a request, or
+    a request and a theme."""
+    w = Window.partitionBy(*_keys(key)).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     return (sents.withColumn("running_tokens", F.sum("n_tokens").over(w).cast("bigint"))
             .filter(F.col("running_tokens") <= budget))
 
 
-def summary_flags(summary: DataFrame, key: str) -> DataFrame:
+def summary_flags(summary: DataFrame, key: str | list[str]) -> DataFrame:
     """M4: summaries shorter than 800 tokens are flagged."""
-    return (summary.groupBy(key).agg(F.sum("n_tokens").cast("bigint").alias("summary_tokens"),
+    return (summary.groupBy(*_keys(key)).agg(F.sum("n_tokens").cast("bigint").alias("summary_tokens"),
                                      F.count(F.lit(1)).cast("bigint").alias("n_sentences"))
             .withColumn("too_short", F.col("summary_tokens") < SUMMARY_MIN_TOKENS))
 

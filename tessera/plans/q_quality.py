@@ -184,6 +184,33 @@ def q_scope_regions(spark, d):
     return cr.scope_profile(o, dim="region", actor="o_custkey", recent_days=30)
 
 
+def _order_scope(spark, d):
+    t = {n: load(spark, d, n) for n in ("orders", "customer", "nation", "region")}
+    return (t["orders"].select(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").cast("bigint").alias("period"), "o_orderpriority")
+            .join(t["customer"].select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey")
+            .join(t["nation"].select("n_nationkey", F.col("n_regionkey").alias("r_regionkey")), "n_nationkey")
+            .join(t["region"].select("r_regionkey", F.col("r_name").alias("region")), "r_regionkey")
+            .select("period", F.col("o_orderpriority").alias("priority"), "region", "c_custkey"))
+
+
+@register("scope_cube", """WITH o AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS period, o_orderpriority AS priority, r_name AS region, o_custkey FROM orders
+  JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+SELECT period, priority, region, CAST(grouping_id(period, priority, region) AS BIGINT) AS level, CAST(count(*) AS BIGINT) AS n,
+  CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_actors, TRUE AS estimate_ok
+FROM o GROUP BY CUBE (period, priority, region)""")
+def q_scope_cube(spark, d):
+    """Orders and customers by period x priority x region.  The exact counts stand beside the
+    sketches' (only this check counts distinct customers exactly): they lie within five standard errors."""
+    o = _order_scope(spark, d)
+    dims = ["period", "priority", "region"]
+    exact = (o.distinct().cube(*dims).agg(F.grouping_id().cast("bigint").alias("level"), F.count_distinct("c_custkey").cast("bigint").alias("exact")))
+    cube = cr.scope_cube(o, dims, "c_custkey")
+    same = [cube[c].eqNullSafe(exact[c]) for c in [*dims, "level"]]
+    off = F.abs(cube["n_actors"] - exact["exact"])
+    return cube.join(exact, same).select(*[cube[c] for c in [*dims, "level", "n"]], exact["exact"].alias("n_actors"),
+                                         (off <= F.greatest(F.lit(1.0), 5 * cr.SKETCH_ERROR * exact["exact"])).alias("estimate_ok"))
+
+
 # --- M1, M3-M8, M10, M11 ------------------------------------------------------------
 @register("size_route", sp.sql(sp.params(), f"""SELECT p.query_id, CAST(coalesce(m.n, 0) AS BIGINT) AS n_matches,
   CASE WHEN coalesce(m.n, 0) > 50 THEN 'summarise' ELSE 'credibility' END AS route

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import extract_domain, truncate_text
 from tessera.operators import normalise as nz
 from tessera.operators import requests as rq
+from tessera.operators import summarise as sm
 from tessera.plans import derived as dv
 from tessera.plans import sqlparts as sp
 from tessera.plans.catalog import register
@@ -181,6 +182,29 @@ def q_results_to_json(spark, d):
     return rs.results_to_json(dv.web_results(spark, d))
 
 
+@register("results_json_rows", sp.sql(sp.web_results(), """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS pos,
+  url, title, snippet, score, published_date, domain FROM web_results"""))
+def q_results_json_rows(spark, d):
+    """S3: the JSON text of each request read back: its elements in their order, text unchanged."""
+    element = "array<struct<url string, title string, snippet string, score double, published_date string, domain string>>"
+    back = rs.results_to_json(dv.web_results(spark, d)).select("query_id", F.posexplode(F.from_json("json", element)).alias("pos", "r"))
+    return back.select("query_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "r.*")
+
+
+@register("summary_theme_flags", sp.sql(sp.doc_search() + sp.doc_sentences() + ["""theme_sent AS (SELECT s.query_id, d.source AS theme, s.rank, t.sent_pos, t.n_tokens,
+  CAST(sum(t.n_tokens) OVER (PARTITION BY s.query_id, d.source ORDER BY s.rank, t.sent_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running_tokens
+  FROM doc_search s JOIN documents d ON d.doc_id = s.doc_id JOIN doc_sent t ON t.doc_id = s.doc_id)"""],
+    """SELECT query_id, theme, CAST(sum(n_tokens) AS BIGINT) AS summary_tokens, CAST(count(*) AS BIGINT) AS n_sentences,
+  sum(n_tokens) < 800 AS too_short FROM theme_sent WHERE running_tokens <= 1200 GROUP BY query_id, theme"""))
+def q_summary_theme_flags(spark, d):
+    """M4 by theme: each theme of a request is summarised within the budget, those under 800 tokens are flagged."""
+    hits = dv.doc_search(spark, d).select("query_id", "rank", "doc_id").join(
+        load(spark, d, "documents").select("doc_id", F.col("source").alias("theme"), "text"), "doc_id")
+    sents = sm.sentences(hits.select("doc_id", "text").distinct(), "doc_id")
+    picked = sm.extractive_summary(hits.drop("text").join(sents, "doc_id"), ["query_id", "theme"], ["rank", "sent_pos"])
+    return sm.summary_flags(picked, ["query_id", "theme"])
+
+
 # --- D1, D2, D4, D5 -------------------------------------------------------------
 @register("unique_citations", sp.sql(sp.page_links(), """SELECT page_id AS msg_id, min(pos) AS pos,
   coalesce(nullif(arg_min(anchor, pos), ''), href) AS title, href AS url
