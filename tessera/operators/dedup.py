@@ -100,6 +100,21 @@ def minhash_signatures(sets: DataFrame, id_col: str = "doc_id", num_perm: int =
     return ex.groupBy(id_col).agg(*aggs).select(id_col, F.array(*[F.col(f"h{j}") for j in range(num_perm)]).alias("sig"))
 
 
+def prefix_keys(sets: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """(id, key, size): the hashes of the rarest shingles of each set, as many as two sets need to share
+    one if their Jaccard similarity reaches the threshold (size - ceil(threshold * size) + 1 of each,
+    in one order of all shingles: number of sets that hold it, then hash)."""
+    from tessera.functions.text import explode_rows
+    hashes = F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x)))
+    rows = explode_rows(sets.select(id_col, hashes.alias("_h")).withColumn("size", F.size("_h")), [id_col, "size"], F.col("_h"), "key")
+    count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_df"))
+    w = Window.partitionBy(id_col).orderBy("_df", "key")
+    # 1e-9: the product of a threshold and a size may lie a rounding error above a whole number
+    most = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
+    return (rows.join(count, "key").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+            .select(id_col, "key", "size"))
+
+
 def _verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(id, rep, jaccard) of the pairs whose exact shingle Jaccard reaches the
     threshold; shingle sets are built (and written once) only for documents
@@ -127,11 +142,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
       A match there is the smallest this bucket can give: the member is done
       in it.  This settles nearly all members of a large group of near
       copies at a cost linear in the group.
-    * Members that do not match it are compared with the bucket's other
-      earlier members, as far as these are earlier than a match they have
-      already.  Pairs whose signatures agree in less than half of the
-      minima are not verified (at Jaccard 0.8 that befalls less than one pair
-      in a million).
+    * Members that do not match it are compared with other earlier members of
+      such buckets, as far as these are earlier than a match they have
+      already.  For this they meet by a second key, the rarest of their
+      shingles (:func:`prefix_keys`): unlike members, whose rare shingles
+      differ, do not meet, so a bucket costs no product of its members.
+      Pairs whose signatures agree in less than half of the minima are not
+      verified (at Jaccard 0.8 that befalls less than one pair in a million).
 
     Proposals are probabilistic (a pair of Jaccard 0.8 shares a band with
     probability 0.9998); verified pairs are exact.  Signatures and matches
@@ -153,14 +170,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     proposed = materialize(with_rep.select(id_col, "rep").distinct(), "near-dup-candidates")
     hits = materialize(_verified(firsts, proposed, id_col, text_col, threshold), "near-dup-matches")
 
+    found = hits
     best = hits.groupBy(id_col).agg(F.min("rep").alias("_best"))
-    rest = with_rep.join(hits.select(id_col, "rep"), [id_col, "rep"], "left_anti").join(best, id_col, "left")
-    other = bands.select("band", "bkey", F.col(id_col).alias("_other"), F.col("sig").alias("_sig"))
-    agreeing = F.aggregate(F.zip_with("sig", "_sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    earlier = (F.col("_other") > F.col("rep")) & (F.col("_other") < F.coalesce(F.col("_best"), F.col(id_col)))
-    more = materialize(rest.join(other, ["band", "bkey"]).filter(earlier & (agreeing >= NUM_PERM // 2))
-                       .select(id_col, F.col("_other").alias("rep")).distinct(), "near-dup-candidates")
-    found = hits.unionByName(_verified(firsts, more, id_col, text_col, threshold))
+    rest = with_rep.join(hits.select(id_col, "rep"), [id_col, "rep"], "left_anti").select(id_col, "band", "bkey", "rep")
+    rest = materialize(rest, "near-dup-rest")
+    if not rest.isEmpty():
+        crowd = bands.join(rest.select("band", "bkey").distinct(), ["band", "bkey"], "left_semi").select(id_col).distinct()
+        keys = materialize(prefix_keys(shingle_sets(firsts.join(crowd, id_col, "left_semi"), id_col, text_col), id_col, threshold), "near-dup-prefixes")
+        mine = keys.join(rest.select(id_col).distinct(), id_col, "left_semi").join(best, id_col, "left")
+        other = keys.select("key", F.col(id_col).alias("_other"), F.col("size").alias("_size"))
+        earlier = F.col("_other") < F.coalesce(F.col("_best"), F.col(id_col))
+        near = (F.col("_size") >= threshold * F.col("size")) & (F.col("size") >= threshold * F.col("_size"))
+        more = mine.join(other, "key").filter(earlier & near).select(id_col, F.col("_other").alias("rep")).distinct()
+        mine, other = (sig.select(F.col(id_col).alias(i), F.col("sig").alias(c)) for i, c in ((id_col, "_a"), ("rep", "_b")))
+        agreeing = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
+        more = more.join(mine, id_col).join(other, "rep").filter(agreeing >= NUM_PERM // 2).select(id_col, "rep")
+        more = materialize(more.join(proposed, [id_col, "rep"], "left_anti"), "near-dup-candidates")
+        found = hits.unionByName(_verified(firsts, more, id_col, text_col, threshold))
     m = found.groupBy(F.col(id_col).alias("_first")).agg(F.min(F.struct("rep", "jaccard")).alias("m"))
     copy = F.when(F.col(id_col) != F.col("_first"), F.col("_first"))
     return (copies.join(m, "_first", "left")
