@@ -195,19 +195,27 @@ def final_result(messages: DataFrame, thread: str = "thread_id", turn: str = "tu
                                         F.max_by(F.col(value), F.col(turn)).alias("final_value"))
 
 
-def run_outcome(run_events: DataFrame, run: str = "run_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+def run_outcome(run_events: DataFrame, run: str = "run_id", ts: str = "ts", tie: str = "event_id",
+                answered: DataFrame | None = None) -> DataFrame:
     """Latest status per run; queued/in_progress are active; a failed
-    run carries its error and produces no report."""
+    run carries its error and produces no report.
+
+    With ``answered`` (the runs whose thread has an agent message) the rule is that of a script which
+    goes on after a failure: a run that is over produces a report if and only if it has such a message."""
     key = F.struct(F.col(ts), F.col(tie))
     agg = run_events.groupBy(run).agg(
         F.max_by(F.col("status"), key).alias("status"),
         F.max_by(F.col("last_error"), key).alias("_err"),
         F.count(F.lit(1)).cast("bigint").alias("n_events"))
+    report = ~F.col("status").isin(*ACTIVE_STATUSES, "failed")
+    if answered is not None:
+        agg = agg.join(answered.select(run).distinct().withColumn("_answered", F.lit(True)), run, "left")
+        report = ~F.col("status").isin(*ACTIVE_STATUSES) & F.coalesce("_answered", F.lit(False))
     return agg.select(
         run, "status", "n_events",
         F.col("status").isin(*ACTIVE_STATUSES).alias("active"),
         F.when(F.col("status") == "failed", F.col("_err")).alias("last_error"),
-        (~F.col("status").isin(*ACTIVE_STATUSES, "failed")).alias("produces_report"))
+        report.alias("produces_report"))
 
 
 def threshold_for(iteration: Column) -> Column:

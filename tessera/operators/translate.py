@@ -29,8 +29,16 @@ def translation_integrity(pairs: DataFrame, src: str = "source_body", tgt: str =
                         hd.alias("headings_ok"), (cit & url & img & hd).alias("integrity_ok"))
 
 
-def translation_needed(reports: DataFrame, done: DataFrame, key: str = "report_id") -> DataFrame:
+def translation_needed(reports: DataFrame, done: DataFrame, key: str = "report_id", thread: str | None = None) -> DataFrame:
     """TR2: approved reports not in Chinese that have no translation yet
-    (exactly once: the anti join against finished translations)."""
+    (exactly once: the anti join against finished translations).
+
+    With ``thread`` it is once for each thread: of a thread's approved reports the last (the largest
+    ``key``) is its final one, and nothing is translated in a thread that has a translation (``done``
+    then has the thread's column)."""
+    if thread is not None:
+        rest = [c for c in reports.columns if c != thread]
+        last = (reports.filter("approved").groupBy(thread).agg(F.max_by(F.struct(*rest), key).alias("_r")).select(thread, "_r.*"))
+        return last.filter(F.col("lang") != "zh").join(done.select(thread).distinct(), thread, "left_anti")
     todo = reports.filter(F.col("approved") & (F.col("lang") != "zh"))
     return todo.join(done.select(key), key, "left_anti")

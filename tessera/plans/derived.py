@@ -51,18 +51,26 @@ def page_results(spark: SparkSession, d: str) -> DataFrame:
 _MEMO: dict = {}
 
 
+def _state(spark: SparkSession, d: str) -> tuple:
+    """(name, bytes, time of change) of the files that the written results below are made from."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    out = []
+    for table in ("documents", "pages", "benchmark"):
+        path = hadoop.Path(f"{d}/{table}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path)]
+    return tuple(sorted(out))
+
+
 def _memo(spark: SparkSession, name: str, d: str, build):
-    """One materialized result per (application, input folder, name): the
-    driver tables are immutable files, so a written result stays valid for
-    the whole application."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - no SparkContext view (e.g. Spark Connect)
-        app = id(spark)
-    key = (app, name, d)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+    """One written result per (application, input folder, name), made anew when a table's files have
+    changed since; the entry before is forgotten then."""
+    key = (spark.sparkContext.applicationId, name, d)
+    state = _state(spark, d)
+    if key not in _MEMO or _MEMO[key][0] != state:
+        _MEMO[key] = (state, build())
+    return _MEMO[key][1]
 
 
 def doc_search(spark: SparkSession, d: str) -> DataFrame:

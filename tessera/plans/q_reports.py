@@ -360,3 +360,15 @@ def q_translation_needed(spark, d):
     r = _reports(spark, d).select("report_id", "lang").join(q, "report_id")
     done = r.filter(F.col("report_id") % 9 == 0).select("report_id")
     return tl.translation_needed(r, done).select("report_id")
+
+
+@register("translation_per_thread", sp.sql(_LINT, """SELECT thread_id, report_id FROM (SELECT s.report_id // 5 AS thread_id, max(s.report_id) AS report_id,
+  arg_max(r.lang, s.report_id) AS lang FROM scored s JOIN reports r ON r.report_id = s.report_id WHERE s.quality >= 0.7 GROUP BY 1)
+WHERE lang <> 'zh' AND thread_id NOT IN (SELECT report_id // 5 FROM reports WHERE report_id % 45 = 0)"""))
+def q_translation_per_thread(spark, d):
+    """TR2 once for each thread (five reports to a thread; those with a report whose id is divisible by
+    45 have their translation)."""
+    q = ln.quality_score(checks(spark, d)).select("report_id", (F.col("quality") >= 0.7).alias("approved"))
+    r = _reports(spark, d).select("report_id", "lang").join(q, "report_id").withColumn("thread_id", F.expr("report_id div 5"))
+    done = r.filter(F.col("report_id") % 45 == 0).select("thread_id")
+    return tl.translation_needed(r, done, thread="thread_id").select("thread_id", "report_id")

@@ -236,13 +236,26 @@ _STATUS = """CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'in_pro
     row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def q_run_outcome(spark, d):
     """Latest run status (events as run status changes)."""
+    return tr.run_outcome(_runs(spark, d)).select("run_id", "status", "n_events", "active", "last_error", "produces_report")
+
+
+@register("run_outcome_after_failure", f"""SELECT run_id, status, status NOT IN ('queued', 'in_progress') AND answered AS produces_report FROM (
+  SELECT user_id AS run_id, {_STATUS} AS status, bool_or(event_type = 'signup') OVER (PARTITION BY user_id) AS answered,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def q_run_outcome_after_failure(spark, d):
+    """H14, the script's rule: a run that is over, failed or not, has a report if its thread has an
+    agent message (here: a signup event)."""
+    answered = _events(spark, d).where("event_type = 'signup'").select(F.col("user_id").alias("run_id"))
+    return tr.run_outcome(_runs(spark, d), answered=answered).select("run_id", "status", "produces_report")
+
+
+def _runs(spark, d):
     e = _events(spark, d)
     st = (F.when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "in_progress")
           .when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
           .otherwise("cancelled"))
-    runs = e.select(F.col("user_id").alias("run_id"), "ts", "event_id", st.alias("status"),
+    return e.select(F.col("user_id").alias("run_id"), "ts", "event_id", st.alias("status"),
                     F.when(F.col("event_type") == "error", F.col("props")).alias("last_error"))
-    return tr.run_outcome(runs).select("run_id", "status", "n_events", "active", "last_error", "produces_report")
 
 
 def reviews(spark, d):
