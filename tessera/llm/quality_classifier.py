@@ -2,34 +2,39 @@
 
 Text view: which letter words a document has, and how its words repeat.  Metadata view: source,
 language, length and layout (lines, capitals, signs), no words.  Each view is a logistic regression
-in numpy on a bounded sample of labelled rows.  In every round each view scores a bounded sample of
-unlabelled documents and hands those it is sure of to the other view as examples.  Both are then
-calibrated on held-out labels, combined there, and score all documents in one pass, without a
-shuffle.
+in numpy on a bounded sample of labelled rows.  In every round both views score all documents that
+are not in that sample, in one Spark pass, and each hands those it is sure of to the other: as
+counts, by class, of the documents that hold a feature, from which the other view's weights then
+start.  The counts are summed by Spark; the driver holds one pair of numbers for each feature.  Both
+views are then calibrated on held-out labels, combined there, and score all documents in one more
+pass.  No pass shuffles texts.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from ..session import materialize
 from . import textnum as tn
 
-LABELLED = 20_000      # labelled documents the model is fitted on, at most (smallest hashes of doc_id)
-UNLABELLED = 4_000     # unlabelled documents the views exchange, at most
+LABELLED = 20_000      # labelled documents the model is fitted on, about, at most (smallest hashes of doc_id)
+LABELLED_BYTES = 256 << 20     # of their features, about, at most
 ROUNDS = 3
 SURE = 0.98            # confidence from which a view's judgement becomes a pseudo-label
-PER_ROUND = 400        # pseudo-labels of a class that a view hands over in a round
 THRESHOLD = 0.5
 WORDS = 1 << 18        # hashed word features; behind them come bins of measures
 _BINS = 16
 _MEASURES = 12
 DIM = WORDS + _BINS * _MEASURES
 META_DIM = (1 << 12) + _BINS * _MEASURES
+META_SIZE = 9          # features of a document in the metadata view
+ADDED = ("p_text", "p_meta", "score", "kept")
 
 _NOT_LETTER = np.ones(256, bool)
 _NOT_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0x100), *range(0x80, 0xC0)]] = False
@@ -99,30 +104,44 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+@dataclass
+class Handed:
+    """What one view hands to the other: documents judged bad (0) and good (1), and how many of
+    these hold each feature of the other view."""
+    docs: np.ndarray      # (2,)
+    counts: np.ndarray    # (2, features)
+
+
 class Logistic:
-    """Sparse logistic regression over present features, AdaGrad, deterministic."""
+    """Sparse logistic regression over present features, AdaGrad, deterministic.
 
-    def __init__(self, dim: int, rows: list[np.ndarray], y: np.ndarray, epochs: int = 12, least_z: float = 0.0, l2: float = 1e-5):
+    Weights start from ``odds`` times the log odds of a feature, counted over the rows and over what
+    the other view ``handed``; of each class, that weighs as much as the rows do, at most."""
+
+    def __init__(self, dim: int, rows: list[np.ndarray], y: np.ndarray, handed: Handed | None = None, odds: float = 0.0,
+                 epochs: int = 12, least_z: float = 0.0, l2: float = 1e-5):
         self.w, self.b = np.zeros(dim), 0.0
         if len(set(y.tolist())) < 2:
             self.b = 8.0 if len(y) and y[0] else (-8.0 if len(y) else 0.0)
             return
         flat = np.concatenate(rows)
-        size = np.array([len(r) for r in rows])
-        label = np.repeat(y, size)
-        n1, n0 = y.sum(), len(y) - y.sum()
-        c1, c0 = np.bincount(flat[label == 1], minlength=dim), np.bincount(flat[label == 0], minlength=dim)
-        use = (c1 + c0) >= 4
+        label = np.repeat(y, [len(r) for r in rows])
+        n = np.array([(y == c).sum() for c in (0, 1)], float)
+        weight = np.where(y == 1, len(y) / (2 * n[1]), len(y) / (2 * n[0])) ** 0.5
+        c = np.stack([np.bincount(flat[label == k], minlength=dim) for k in (0, 1)]).astype(float)
+        if handed is not None:
+            share = np.minimum(1.0, n / np.maximum(1, handed.docs))
+            n = n + share * handed.docs
+            c += share[:, None] * handed.counts
+        use = c.sum(0) >= 4
         if least_z:      # words that are as common in either class say nothing and only add noise
-            p = (c1 + c0) / len(y)
+            p = c.sum(0) / n.sum()
             with np.errstate(divide="ignore", invalid="ignore"):
-                z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+                z = np.abs(c[1] / n[1] - c[0] / n[0]) / np.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]))
             use &= (np.nan_to_num(z) >= least_z) | (np.arange(dim) >= WORDS)
-            # start from the naive Bayes log odds of those words
-            odds = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-            self.w[use] = np.where(np.arange(dim) < WORDS, 0.7 * odds, 0.0)[use]
+        start = odds * (np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1)))
+        self.w[use] = np.where(np.arange(dim) < WORDS, start, 0.0)[use]
         rows = [r[use[r]] for r in rows]
-        weight = np.where(y == 1, len(y) / (2 * n1), len(y) / (2 * n0)) ** 0.5
         g2, gb = np.full(dim, 1e-8), 1e-8
         r = np.random.default_rng(5)
         for _ in range(epochs):
@@ -184,48 +203,88 @@ def _view(w: np.ndarray, b: float) -> Logistic:
     return v
 
 
-def fit(text: list[np.ndarray], meta: np.ndarray, y: np.ndarray, text_u: list[np.ndarray], meta_u: np.ndarray,
-        rounds: int = ROUNDS) -> Model:
-    """Co-train on labelled rows (``y`` 1: good) and unlabelled ones (``*_u``)."""
+def _calibrated(w: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return _sigmoid(np.clip(w, -30, 30) * scale[0] + scale[1])
+
+
+def fit(text: list[np.ndarray], meta: np.ndarray, y: np.ndarray, exchange: Callable, rounds: int = ROUNDS) -> Model:
+    """Co-train on labelled rows (``y`` 1: good); ``exchange(text view, its scale, metadata view, its
+    scale)`` gives what each view hands to the text view and to the metadata view."""
     y = np.asarray(y, np.int64)
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    rows_m, rows_mu = list(meta), list(meta_u)
-    own = {"t": [r for r, h in zip(text, held) if not h], "m": [r for r, h in zip(rows_m, held) if not h]}
-    label = {"t": y[~held], "m": y[~held]}
-    free = np.ones(len(text_u), bool)
+    rows = list(meta)
+    part = lambda of, mask: [r for r, m in zip(of, mask) if m]
+    text_in, meta_in, y_in = part(text, ~held), part(rows, ~held), y[~held]
+    text_out, meta_out, y_out = part(text, held), part(rows, held), y[held]
+    to_text = to_meta = None
     pseudo = 0
     for k in range(rounds + 1):
-        vt = Logistic(DIM, own["t"], label["t"], least_z=4.0)
-        vm = Logistic(META_DIM, own["m"], label["m"])
-        at = np.flatnonzero(free)
-        if k == rounds or not len(at) or len(set(y.tolist())) < 2:
+        vt = Logistic(DIM, text_in, y_in, to_text, odds=0.7, least_z=4.0)
+        # features of the metadata are few and go together, so that each has its part of the odds
+        vm = Logistic(META_DIM, meta_in, y_in, to_meta, odds=0.0 if to_meta is None else 1 / META_SIZE)
+        st, sm = (_platt(np.clip(v(out), -30, 30), y_out) if held.any() else np.array([1.0, 0.0])
+                  for v, out in ((vt, text_out), (vm, meta_out)))
+        if k == rounds or len(set(y.tolist())) < 2:
             break
         # views are sure in terms of calibrated scores, not of raw ones
-        for view, pool, other, rows in ((vt, text_u, "m", rows_mu), (vm, rows_mu, "t", text_u)):
-            fit_z, fit_y = (view([r for r, h in zip(text if other == "m" else rows_m, held) if h]), y[held]) if held.any() else (np.zeros(0), y[:0])
-            scale = _platt(np.clip(fit_z, -30, 30), fit_y) if len(fit_y) else np.array([1.0, 0.0])
-            p = _sigmoid(np.clip(view([pool[i] for i in at]), -30, 30) * scale[0] + scale[1])
-            for cls, conf in ((1, p), (0, 1 - p)):
-                best = np.argsort(-conf, kind="stable")[:PER_ROUND]
-                best = best[conf[best] >= SURE]
-                own[other] = own[other] + [rows[at[i]] for i in best]
-                label[other] = np.append(label[other], np.full(len(best), cls))
-                free[at[best]] = False
-                pseudo += len(best)
+        to_text, to_meta = exchange(vt, st, vm, sm)
+        if not to_text.docs.any() and not to_meta.docs.any():
+            break
+        pseudo = int(to_text.docs.sum() + to_meta.docs.sum())
     if held.any():
-        fold, target = [i for i in range(len(y)) if held[i]], y[held]
-        zt, zm = vt([text[i] for i in fold]), vm([rows_m[i] for i in fold])
-        st, sm = _platt(np.clip(zt, -30, 30), target), _platt(np.clip(zm, -30, 30), target)
-        both = np.column_stack([np.clip(zt, -30, 30) * st[0] + st[1], np.clip(zm, -30, 30) * sm[0] + sm[1]])
-        mix = _platt(both, target)
+        both = np.column_stack([np.clip(v(out), -30, 30) * s[0] + s[1] for v, out, s in ((vt, text_out, st), (vm, meta_out, sm))])
+        mix = _platt(both, y_out)
     else:
-        st = sm = np.array([1.0, 0.0])
         mix = np.array([0.5, 0.5, 0.0])
     return Model(vt.w.astype(np.float32), float(vt.b), vm.w.astype(np.float32), float(vm.b), st, sm, mix, pseudo)
 
 
+def sure_of(p: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents judged bad, judged good) by the view that gives ``p``, but for those of which the
+    other view is as sure of the opposite."""
+    return (p <= 1 - SURE) & (other < SURE), (p >= SURE) & (other > 1 - SURE)
+
+
+def exchanged(docs: DataFrame, known: np.ndarray, vt: Logistic, st: np.ndarray, vm: Logistic, sm: np.ndarray) -> tuple[Handed, Handed]:
+    """What each view hands over of all ``docs`` (h, text, lang, source) whose h is not in ``known``
+    (sorted): (to the text view, to the metadata view).  At most DIM + META_DIM + 4 rows come back."""
+    wt, bt, wm, bm = vt.w, vt.b, vm.w, vm.b
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view, to_text, to_meta = _view(wt, bt), np.zeros((2, DIM + 1), np.int64), np.zeros((2, META_DIM + 1), np.int64)
+        for rb in batches:
+            new = ~np.isin(rb.column(0).to_numpy(zero_copy_only=False), known)
+            lang, source = rb.column(2).to_pylist(), rb.column(3).to_pylist()
+            for t in tn.chunks(rb.column(1)):
+                text, meta = features(t, lang[t.lo:t.hi], source[t.lo:t.hi])
+                if not t.n:
+                    continue
+                pt, pm = _calibrated(view(text), st), _calibrated(wm[meta].sum(1) + bm, sm)
+                for c, (mine, theirs) in enumerate(zip(sure_of(pm, pt), sure_of(pt, pm))):
+                    for i in np.flatnonzero(mine & new[t.lo:t.hi]):
+                        to_text[c, text[i]] += 1         # a text's numbers are distinct
+                        to_text[c, DIM] += 1
+                    at = np.flatnonzero(theirs & new[t.lo:t.hi])
+                    to_meta[c] += np.bincount(meta[at].ravel(), minlength=META_DIM + 1)
+                    to_meta[c, META_DIM] += len(at)
+        for k, counts in enumerate((to_text, to_meta)):
+            f = np.flatnonzero(counts.any(0))
+            yield pa.record_batch({"view": pa.array(np.full(len(f), k, np.int32)), "feature": pa.array(f.astype(np.int32)),
+                                   "bad": pa.array(counts[0, f]), "good": pa.array(counts[1, f])})
+
+    sums = (docs.select("h", "text", "lang", "source").mapInArrow(work, "view int, feature int, bad long, good long")
+            .groupBy("view", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow())
+    view, feature, bad, good = (sums.column(c).to_numpy() for c in ("view", "feature", "bad", "good"))
+    out = []
+    for k, dim in enumerate((DIM, META_DIM)):
+        counts = np.zeros((2, dim + 1), np.int64)
+        counts[:, feature[view == k]] = bad[view == k], good[view == k]
+        out.append(Handed(counts[:, dim], counts[:, :dim]))
+    return out[0], out[1]
+
+
 def _featured(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -239,33 +298,47 @@ def _featured(docs: DataFrame) -> DataFrame:
     return docs.select("h", "y", "text", "lang", "source").mapInArrow(work, "y int, h long, text binary, meta binary")
 
 
+def _lowest(rows: DataFrame, share: float) -> DataFrame:
+    """The rows whose hash ``h`` lies in the lowest ``share`` of its range."""
+    return rows if share >= 1 else rows.where(F.col("h") < F.lit(int(-2 ** 63 + share * 2 ** 64)))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most LABELLED labelled and UNLABELLED other documents, those with the smallest
-    hashes of doc_id.  Good is quality 1 and not toxic; a document with several labels takes the
-    worst; labels without a quality, and documents without an id, are not used."""
+    """Fit on about LABELLED labelled documents, at most, those with the smallest hashes of doc_id,
+    and fewer where their features take more than LABELLED_BYTES; of a repeated doc_id, one row.  All
+    other documents, labelled or not, are scored in each round, and what the views are sure of is
+    exchanged.  Good is quality 1 and not toxic; a document with several labels takes the worst;
+    labels without a quality are not used; documents without an id have no label."""
     lab = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
            .agg(F.min(F.expr("int(quality = 1 and coalesce(toxic, 0) = 0)")).alias("y")))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    ids = ids.join(lab, "doc_id", "left").withColumn("h", F.xxhash64("doc_id"))
-    # LABELLED + UNLABELLED rows at most
-    chosen = (ids.where("y is not null").orderBy("h", "doc_id").limit(LABELLED)
-              .unionByName(ids.where("y is null").orderBy("h", "doc_id").limit(UNLABELLED)))
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(F.broadcast(chosen), "doc_id")
-    rows = sorted(_featured(sample).collect(), key=lambda r: (r["h"], bytes(r["text"])))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").withColumn("h", F.xxhash64("doc_id"))
+    ids = rows.select("doc_id", "h").where("doc_id is not null").distinct().join(lab, "doc_id")
+    share = LABELLED / max(1, ids.count())
+    # about LABELLED rows
+    chosen = _lowest(ids, share).select("doc_id", "y")
+    sample = rows.where("doc_id is not null").join(F.broadcast(chosen), "doc_id")
+    # of the rows of a doc_id the longest text, of equal lengths the smallest
+    longest = F.min(F.struct(F.coalesce(-F.length("text"), F.lit(1)), "text", "lang", "source", "y", "h"))
+    one = sample.groupBy("doc_id").agg(longest.alias("r")).select("r.*")
+    held = materialize(_featured(one), "quality-sample")
+    size = held.agg(F.sum(F.length("text") + F.length("meta"))).first()[0] or 0
+    got = sorted(_lowest(held, min(1.0, share) * LABELLED_BYTES / size if size > LABELLED_BYTES else 1.0).collect(),
+                 key=lambda r: (r["h"], bytes(r["text"])))
     read = lambda r, k: np.frombuffer(r[k], np.int32)
-    known = [r for r in rows if r["y"] is not None]
-    other = [r for r in rows if r["y"] is None]
-    meta = lambda part: np.stack([read(r, "meta") for r in part]) if part else np.zeros((0, 0), np.int32)
-    return fit([read(r, "text") for r in known], meta(known), np.array([r["y"] for r in known], np.int64),
-               [read(r, "text") for r in other], meta(other))
+    known = np.array([r["h"] for r in got], np.int64)
+    return fit([read(r, "text") for r in got], np.stack([read(r, "meta") for r in got]) if got else np.zeros((0, 0), np.int32),
+               np.array([r["y"] for r in got], np.int64), lambda *views: exchanged(rows, known, *views))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with p_text, p_meta, score and kept (score >= threshold) appended, in one pass.
 
     Null and empty texts have no words and are judged by what is left; null languages and sources
-    are the empty name; other columns pass through (none may have the four names)."""
-    names = docs.columns
+    are the empty name; repeated rows are judged alike; any length of text is read whole; an empty
+    table gives no rows.  Other columns pass through, but for columns of the four names, which give
+    way to the new ones."""
+    names = [c for c in docs.columns if c.lower() not in ADDED]
+    docs = docs.select(*names)
     at = {c: names.index(c) for c in ("text", "lang", "source")}
     schema = docs.schema
 
@@ -276,10 +349,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 text, meta = features(t, lang[t.lo:t.hi], source[t.lo:t.hi])
                 pt, pm, p = model(text, meta)
                 yield pa.RecordBatch.from_arrays([*rb.slice(t.lo, t.n).columns, pa.array(pt), pa.array(pm), pa.array(p), pa.array(p >= threshold)],
-                                                 names=[*names, "p_text", "p_meta", "score", "kept"])
+                                                 names=[*names, *ADDED])
 
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
-    out = StructType([*schema.fields, *[StructField(c, DoubleType()) for c in ("p_text", "p_meta", "score")], StructField("kept", BooleanType())])
+    out = StructType([*schema.fields, *[StructField(c, DoubleType()) for c in ADDED[:3]], StructField("kept", BooleanType())])
     return docs.mapInArrow(work, out)
 
 
