@@ -56,6 +56,39 @@ def test_base_rules():
     assert f("9" * 50000 + "." + "1.1.1")["ip"] == []
 
 
+def test_base_spans_equal_the_contract_patterns():
+    """The linear forms against the patterns as stated, on random strings of their characters."""
+    stated = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    r = random.Random(8)
+    for chars, n in (("a@.", 12), ("aB1@.-_+% ", 40), ("12.", 40), ("1.0 -", 60), ("+1 ()-.x", 40), ("4 -1", 60), ("a@.1+- (é", 80)):
+        for _ in range(4000):
+            text = "".join(r.choice(chars) for _ in range(r.randint(0, n)))
+            want = {k: [m.span() for m in re.finditer(p, text) if pii._holds(k, m[0])] for k, p in stated.items()}
+            assert pii.base_spans(text) == want, text
+
+
+def test_base_spans_of_long_runs_take_linear_time():
+    import time
+    n = 1_000_000
+    for text in ("1" * n, "a" * n + " @", "1." * (n // 2), "1.1.1x" * (n // 6), "a@" * (n // 2), "a." * (n // 2) + "@b", "@a." * (n // 3), "+" * n, "+1" + "(" * n,
+                 "1 " * (n // 2), "a@b.c" * (n // 5)):
+        t = time.perf_counter()
+        pii.base_spans(text)
+        assert time.perf_counter() - t < 3, text[:10]
+
+
+def test_added_spans_lie_beside_all_base_spans():
+    r = random.Random(9)
+    for _ in range(300):
+        text = " ".join(r.choice(["+1 605 555 9305", "4111 1111 1111 1111", "1.2.3.4", "q@b.co", "x @ y.z", "word"]) for _ in range(8))
+        base = [s for v in pii.base_spans(text).values() for s in v]
+        extra = [(a, a + r.randint(1, 20), r.randint(0, 3), 1.0) for a in (r.randint(0, len(text)) for _ in range(10))]
+        extra = [e for e in extra if e[1] <= len(text)]
+        for k, a, b in set(pii.all_spans(text, extra)[1]) - {(k, *s) for k, kind in enumerate(pii.KINDS) for s in pii.base_spans(text)[kind]}:
+            assert all(b <= s or e <= a for s, e in base)
+
+
 def test_every_anchor_is_inside_a_window_and_reconciled_spans_do_not_overlap():
     r = random.Random(3)
     for _ in range(300):
