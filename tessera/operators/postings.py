@@ -16,23 +16,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: documents of a range; requests of a block; their terms altogether
-RANGE = 256
+RANGE = 1024
+#: ranges that one task holds at most
+TASK_RANGES = 4
 BLOCK_REQUESTS, BLOCK_TERMS = 4096, 1 << 20
+#: documents whose tokens are counted at a time
+COUNT_ROWS = 1024
 SCORE_DIGITS = 4
 #: sums in another order may differ by less than this
 MARGIN = 2 * 10.0 ** -SCORE_DIGITS
 
 
+def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, dl, tokens) to rows (_id, dl, term, tf): one for each term of a row, and one with the term
+    null.  Rows whose tokens are null have only the latter."""
+    for b in batches:
+        for at in range(0, b.num_rows, COUNT_ROWS):
+            part = b.slice(at, COUNT_ROWS)
+            tokens = part.column(2)
+            code = tokens.flatten().dictionary_encode()
+            n = max(1, len(code.dictionary))
+            row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+            pair, tf = np.unique(row * n + code.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            of = pa.array(np.concatenate([pair // n, np.arange(part.num_rows)]))
+            none = pa.nulls(part.num_rows)
+            yield pa.RecordBatch.from_arrays([
+                part.column(0).take(of), part.column(1).take(of),
+                pa.concat_arrays([code.dictionary.take(pa.array(pair % n)).cast(pa.string()), none.cast(pa.string())]),
+                pa.concat_arrays([pa.array(tf.astype(np.float64)), none.cast(pa.float64())])], ["_id", "dl", "term", "tf"])
+
+
 def ranged(weights: DataFrame, n_docs: int, tasks: int | None = None) -> DataFrame:
     """Postings (term, _id, w) dealt by ranges: (range, term, _id, w), a range's rows together and in
     the order of their terms.  A range is a hash of the document, so all are of about one size."""
     spark = weights.sparkSession
     n = max(1, math.ceil(n_docs / RANGE))
-    tasks = tasks or min(n, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # the number of tasks follows the documents, so that what a task sorts does not grow with them
+    tasks = tasks or min(n, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / TASK_RANGES)))
     rows = weights.where(F.col("_id").isNotNull()).select(F.pmod(F.xxhash64("_id"), F.lit(n)).alias("range"), "term", "_id", "w")
     return rows.repartition(tasks, "range").sortWithinPartitions("range", "term")
 

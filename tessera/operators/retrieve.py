@@ -47,18 +47,23 @@ def build_index(corpus: DataFrame, vocab: DataFrame | None = None, id_col: str =
 
     One row per (document, term) -- restricted to ``vocab`` when given --
     plus one row per document with ``term`` null that carries its length,
-    so corpus statistics come from the same pass.  The (doc, term) counts
-    are combined map-side (all tokens of a document sit in one task), so the
-    shuffle carries postings, not tokens.
+    so corpus statistics come from the same pass.  A document's tokens are
+    counted in its own row, so a task holds one batch of documents, however
+    many it reads; the shuffle carries postings, not tokens, and only adds
+    up those of rows that have the same id and length.
     """
     docs = corpus.select(F.col(id_col).alias("_id"), tokenize(text_col).alias("tokens"))
     docs = docs.select("_id", F.size("tokens").cast("double").alias("dl"), "tokens")
-    toks = explode_rows(docs, ["_id", "dl"], F.col("tokens"), "term")
+    id_type = docs.schema["_id"].dataType.simpleString()
+    rows = docs.mapInArrow(ps.token_counts, f"_id {id_type}, dl double, term string, tf double")
     if vocab is not None:
-        toks = toks.join(vocab, "term", "left_semi")
-    post = toks.groupBy("_id", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    lens = docs.select("_id", "dl", F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("tf"))
-    return post.unionByName(lens)
+        # the null term stands for the rows of the lengths
+        known = vocab.select("term").unionByName(vocab.sparkSession.createDataFrame([(None,)], "term string"))
+        rows = rows.alias("r").join(known.alias("k"), F.col("r.term").eqNullSafe(F.col("k.term")), "left_semi")
+    index = (rows.repartition("_id").groupBy("_id", "dl", "term")
+             .agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("_n")))
+    each = F.when(F.col("term").isNull(), F.col("_n")).otherwise(F.lit(1).cast("bigint"))
+    return index.select("_id", "dl", "term", "tf", F.explode(F.sequence(F.lit(1).cast("bigint"), each)).alias("_n")).drop("_n")
 
 
 def score_index(index: DataFrame, qterms: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
