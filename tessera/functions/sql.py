@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from tessera.functions.text import ELLIPSIS, NETLOC_PATTERN, TOKEN_PATTERN
 from tessera.operators.retrieve import RESULT_CAP, SCORE_DIGITS, bm25_weights, build_index
 
+#: documents of a range of the search view
+SEARCH_RANGE = 1024
+
 
 def _raw(s: str) -> str:
     assert "'" not in s
@@ -41,17 +44,24 @@ def register_search_function(spark: SparkSession, corpus: DataFrame, view: str =
     """``search(q, k)`` returning (doc_id, score, rank) for query text q.
 
     ``index``: a written index of :func:`retrieve.build_index` over the corpus, which then is not read
-    again; terms beyond its vocabulary find nothing.  The weights are a view over it."""
+    again; terms beyond its vocabulary find nothing.  The weights are a view over it, dealt by ranges
+    of documents: scores are added up and the best of a range are picked where its postings are, so
+    what is shuffled for a query is RESULT_CAP rows for each range, not a row for each document."""
     from tessera.session import materialize
     if index is None:
         index = materialize(build_index(corpus, None), "search-index")
-    bm25_weights(index).select("term", F.col("_id").alias("doc_id"), "w").createOrReplaceTempView(view)
+    n = max(1, -(-index.where("term is null").count() // SEARCH_RANGE))
+    weights = bm25_weights(index).select("term", F.col("_id").alias("doc_id"), "w", F.pmod(F.xxhash64("_id"), F.lit(n)).alias("part"))
+    weights.repartition(n, "part").createOrReplaceTempView(view)
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION search(q STRING, k INT)
       RETURNS TABLE (doc_id BIGINT, score DOUBLE, rank INT)
       RETURN SELECT doc_id, score, rank FROM (
-        SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (
-          SELECT i.doc_id, round(sum(i.w), {SCORE_DIGITS}) AS score
-          FROM (SELECT explode(array_distinct(regexp_extract_all(lower(q), {_raw(TOKEN_PATTERN)}, 0))) AS term) t
-          JOIN {view} i ON i.term = t.term
-          GROUP BY i.doc_id))
+        SELECT d AS doc_id, -s AS score, row_number() OVER (ORDER BY s, d) AS rank FROM (
+          SELECT inline(best) FROM (
+            SELECT slice(sort_array(collect_list(struct(-score AS s, doc_id AS d))), 1, {RESULT_CAP}) AS best FROM (
+              SELECT i.part, i.doc_id, round(sum(i.w), {SCORE_DIGITS}) AS score
+              FROM (SELECT explode(array_distinct(regexp_extract_all(lower(q), {_raw(TOKEN_PATTERN)}, 0))) AS term) t
+              JOIN {view} i ON i.term = t.term
+              GROUP BY i.part, i.doc_id)
+            GROUP BY part)))
       WHERE rank <= k AND rank <= {RESULT_CAP}""")

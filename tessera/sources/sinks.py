@@ -1,29 +1,37 @@
 """Write reports as UTF-8 markdown, one file per report, grouped by run.
 
-``partitionBy(run_ts, report_id)`` gives every report its own file under
-``run_ts=<stamp>/report_id=<id>/``; the text sink writes bodies verbatim
-(UTF-8).  Reading back with ``wholetext`` returns one row per report.
+Tasks write the files themselves into ``run_ts=<stamp>/`` (a folder for each
+task, not for each report) and list them; a write is seen once its manifest
+is there.  Each body ends with a newline in its file, which reading takes
+off again, and reading goes by the lists, so no folder tree is searched.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.files import filesystem
+from tessera.sources.report_files import append_reports, appended_reports
+
 RUN_TS_FORMAT = "yyyyMMdd_HHmmss"
 
 
 def write_reports(reports: DataFrame, path: str, run_ts: str | None = None,
                   key: str = "report_id", body: str = "body") -> str:
-    stamp = F.lit(run_ts) if run_ts else F.date_format(F.current_timestamp(), RUN_TS_FORMAT)
-    (reports.select(stamp.alias("run_ts"), F.col(key), F.col(body).alias("value"))
-     .write.mode("append").partitionBy("run_ts", key).text(path))
+    stamp = run_ts or reports.sparkSession.range(1).select(F.date_format(F.current_timestamp(), RUN_TS_FORMAT)).first()[0]
+    append_reports(reports, path, f"run_ts={stamp}", key, body)
     return path
 
 
 def read_reports(spark: SparkSession, path: str, key: str = "report_id") -> DataFrame:
     """(run_ts, report_id, body) from a folder written by :func:`write_reports`."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.col("run_ts").cast("string").alias("run_ts"), F.col(key).cast("bigint").alias(key),
-                    # the text sink ends every row with one newline
-                    F.when(F.col("value").endswith("\n"), F.expr("substring(value, 1, length(value) - 1)"))
-                    .otherwise(F.col("value")).alias("body")))
+    from pyarrow import fs
+    system, base = filesystem(path.rstrip("/"))
+    runs = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(base)) if f.base_name.startswith("run_ts="))
+    out = None
+    for run in runs:
+        rows = appended_reports(spark, path, run).select(
+            F.lit(run.partition("=")[2]).alias("run_ts"), F.col("report_id").cast("bigint").alias(key),
+            F.expr("substring(body, 1, length(body) - 1)").alias("body"))
+        out = rows if out is None else out.unionByName(rows)
+    return spark.createDataFrame([], f"run_ts string, {key} bigint, body string") if out is None else out
