@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.streaming.state import ChunkAssembler, ReviewCounter, WindowCounter
+from tessera.streaming.state import ChunkAssembler, ReviewCounter, SessionCounter, WindowCounter
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -92,6 +92,7 @@ def stream_iteration_decision(messages: DataFrame, ts: str | None = None, delay:
 
 
 WINDOW_SALTS = 16
+SESSION_BUCKETS = 256
 
 
 def stream_trend_closed(events: DataFrame, group: str, ts: str = "ts", size_ms: int = 86_400_000, slide_ms: int | None = None,
@@ -102,18 +103,32 @@ def stream_trend_closed(events: DataFrame, group: str, ts: str = "ts", size_ms:
     long after their last row and break where two rows are at least that far apart.
 
     Rows of a group are dealt by ``salts`` (not those of sessions), so a hot group is no single task;
-    a window's parts come in one micro-batch and :func:`combine_windows` adds them up there."""
-    salt = F.lit(0) if session else F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int")
+    a window's parts come in one micro-batch and :func:`combine_windows` adds them up there.  Sessions
+    are counted by buckets of groups, of which there are SESSION_BUCKETS."""
+    if session:
+        return _sessions_closed(events, group, ts, size_ms, delay)
+    salt = F.pmod(F.xxhash64(ts), F.lit(salts)).cast("int")
     src = event_time(events, ts).select(F.col(group).alias("grp"), F.col(ts).alias("time"), salt.alias("salt")).withWatermark("time", delay)
     # Spark drops late rows by the column that bears the watermark; the processor is to see them
     src = src.select("grp", "salt", (F.col("time") + F.expr("INTERVAL '0' SECOND")).alias("at"))
     kind = dict(events.dtypes)[group]
     out = src.groupBy("grp", "salt").transformWithStateInPandas(
-        WindowCounter(size_ms, slide_ms, session), f"grp {kind}, window_start timestamp, window_end timestamp, n long, late boolean", "append", "EventTime")
+        WindowCounter(size_ms, slide_ms), f"grp {kind}, window_start timestamp, window_end timestamp, n long, late boolean", "append", "EventTime")
     return out.select(F.col("grp").alias(group), F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                       F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n", "late")
 
 
+def _sessions_closed(events: DataFrame, group: str, ts: str, gap_ms: int, delay: str) -> DataFrame:
+    kind = dict(events.dtypes)[group]
+    src = event_time(events, ts).select(F.col(group).cast("string").alias("grp"), F.col(ts).alias("time"),
+                                        F.pmod(F.xxhash64(group), F.lit(SESSION_BUCKETS)).cast("int").alias("bucket"))
+    src = src.withWatermark("time", delay).select("grp", "bucket", (F.col("time") + F.expr("INTERVAL '0' SECOND")).alias("at"))
+    out = src.groupBy("bucket").transformWithStateInPandas(
+        SessionCounter(gap_ms), "grp string, window_start timestamp, window_end timestamp, n long, late boolean", "append", "EventTime")
+    return out.select(F.col("grp").cast(kind).alias(group), F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n", "late")
+
+
 def combine_windows(batch: DataFrame) -> DataFrame:
     """One row for each window of a micro-batch."""
     keys = [c for c in batch.columns if c != "n"]

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.transcript import FORCED_QUALITY, ITERATION_THRESHOLDS, MAX_REVISIONS
@@ -231,3 +232,92 @@ class WindowCounter(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class SessionCounter(WindowCounter):
+    """ST7 sessions of many groups at a time: a key is a bucket of groups.  Open sessions lie in the
+    store by the day in which they end, a day's as one entry of columns, so a batch makes a few calls
+    to the store for each bucket and not some for each session."""
+    _DAY = 86_400_000_000
+    _COLUMNS = ("grp", "start", "until", "n")
+
+    def __init__(self, gap_ms: int):
+        super().__init__(gap_ms, session=True)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("sessions", "day long", "rows binary")
+
+    def _load(self) -> dict[int, bytes]:
+        return {k[0]: bytes(v[0]) for k, v in self.open.iterator()}
+
+    def _frame(self, held: dict[int, bytes]) -> list[pd.DataFrame]:
+        return [pa.ipc.open_stream(v).read_pandas() for v in held.values()]
+
+    def _store(self, rows: pd.DataFrame, held: dict[int, bytes]) -> None:
+        """``rows`` in place of ``held``, and a timer for the session that ends first."""
+        now = {}
+        for day, part in rows.groupby(rows["until"] // self._DAY):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_arrays([pa.array(part["grp"], pa.string()), *(pa.array(part[c].to_numpy(np.int64)) for c in self._COLUMNS[1:])],
+                                         names=list(self._COLUMNS))
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            now[int(day)] = sink.getvalue().to_pybytes()
+        for day in held.keys() - now.keys():
+            self.open.removeKey((day,))
+        for day, data in now.items():
+            if held.get(day) != data:
+                self.open.updateValue((day,), (data,))
+        if len(rows):
+            self.handle.registerTimer(self._timer(int(rows["until"].min())))
+
+    @staticmethod
+    def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+        """Sessions of a group whose times are less than the gap apart made one."""
+        code = pd.factorize(rows["grp"], use_na_sentinel=False)[0]
+        rows = rows.assign(_g=code).sort_values(["_g", "start", "until"], kind="stable")
+        g, start = rows["_g"].to_numpy(), rows["start"].to_numpy()
+        reach = rows.groupby("_g")["until"].cummax().to_numpy()
+        new = np.ones(len(rows), bool)
+        new[1:] = (g[1:] != g[:-1]) | (start[1:] >= reach[:-1])
+        first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(rows)) - 1
+        return pd.DataFrame({"grp": rows["grp"].to_numpy()[first], "start": start[first], "until": reach[last],
+                             "n": np.add.reduceat(rows["n"].to_numpy(), first)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        found = pd.concat([pd.DataFrame({"grp": pdf["grp"].astype(object), "start": pd.DatetimeIndex(pdf["at"]).as_unit("us").asi8}) for pdf in rows])
+        if not len(found):
+            return
+        found = found.assign(n=1).groupby(["grp", "start"], dropna=False, as_index=False)["n"].sum()
+        found["grp"] = found["grp"].astype(object).where(found["grp"].notna(), None)
+        found["until"] = found["start"] + self.size * 1000
+        is_late = -(-found["until"] // 1000) <= watermark
+        late, found = found[is_late], found[~is_late]
+        if len(found):
+            held = self._load()
+            self._store(self._joined(pd.concat([*self._frame(held), found[list(self._COLUMNS)]], ignore_index=True)), held)
+        if len(late):
+            yield self._given(late, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = self._load()
+        # days that end after the watermark have nothing to give
+        held = {d: v for d, v in held.items() if d * self._DAY <= (watermark + 1) * 1000}
+        if not held:
+            return
+        rows = pd.concat(self._frame(held), ignore_index=True)
+        ended = -(-rows["until"] // 1000) <= watermark
+        self._store(rows[~ended], held)
+        if ended.all():
+            rest = [k[0] for k, _ in self.open.iterator()]
+            if rest:
+                self.handle.registerTimer(max(watermark + 1, min(rest) * self._DAY // 1000))
+        if ended.any():
+            yield self._given(rows[ended], False)
+
+    def _given(self, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        groups = rows["grp"].astype(object).where(rows["grp"].notna(), None)
+        return self._rows(list(zip(groups, rows["start"], rows["until"], rows["n"], [late] * len(rows))))
