@@ -15,9 +15,9 @@ a chance of (1 - SIMILARITY) ** HASHES for each passage's length that it shares.
 Buckets are compared in blocks, without emitting pairs: tasks return a spanning forest, and for each
 window the widest run that it was seen to share.  First, rows that agree in a piece of their contexts
 are compared with their neighbours in the order of contexts, which connects most of a bucket.  Where
-a bucket is not connected by that, all its rows are compared until they are connected; of more than
-SMALL rows, those that agree in one of the COVERS (thirty shingles, so a line that many texts share
-does not bring them together) or in a sketch of the contexts, which inserted words do not move.  At last each row is compared with
+a bucket is not connected by that, or a row has no run yet, the rows that have enough pieces of five
+shingles in common are compared until they are connected, wherever these pieces lie (words may be
+inserted) and whatever the bucket's size.  At last each row is compared with
 those that share most with it on either side of c, so connected rows have their widest runs too.
 """
 from __future__ import annotations
@@ -52,10 +52,9 @@ SHIFT = 12                                         # words that one side may hav
 LEAST_RUN = 5
 #: lengths of the runs whose Jaccard similarity is looked at
 LENGTHS = (RUN - 1, RUN, 52, 60, 70, 80, 2 * REACH + 1)
-SMALL = 24                                         # buckets of so many rows are compared in full
-TOGETHER = 1024                                    # pairs that are compared at a time at least
+LEAST_PIECES = NEED - 12                           # pieces of five places that a similar run has in three parts
+TOGETHER = 1 << 18                                 # pairs that are looked at at a time, about
 TASK_ROWS = 1 << 15                                # rows that a task compares, about
-SKETCHES, _JOINT = 12, 3                           # sketches of a context, minima in each
 
 _CTX_BYTES = REACH + 1                             # of a row's context: two codes a byte
 
@@ -109,23 +108,29 @@ def compact_windows(v: np.ndarray, text: np.ndarray, run: int = RUN) -> tuple[np
     # c is a minimum of some run: the largest of the minima of the runs that hold it is its own
     high = _sliding(low[::-1], run, np.maximum, 0)[::-1]
     c = np.flatnonzero((high == v) & (v > 0))
-    first = np.searchsorted(text, text[c])
-    last = np.searchsorted(text, text[c], "right") - 1
-    a, b = np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
-    value, where, begin, end, of = v[c].tolist(), c.tolist(), first.tolist(), last.tolist(), text[c].tolist()
-    left, right, stack, now = [0] * len(c), [0] * len(c), [], None
-    for i, x in enumerate(value):
-        if of[i] != now:
-            for k in stack:
-                right[k] = end[k]
-            stack, now = [], of[i]
-        while stack and value[stack[-1]] > x:
-            right[stack.pop()] = where[i] - 1
-        left[i] = where[stack[-1]] + 1 if stack else begin[i]
-        stack.append(i)
-    for k in stack:
-        right[k] = end[k]
-    a, b = np.array(left, np.int64), np.array(right, np.int64)
+    if not len(c):
+        return none, none, none
+    # the tree's parents are the nearest smaller values on either side; a zero stands between texts
+    starts = run_starts([text[c]])
+    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(c))))
+    at = np.arange(len(c)) + of + 1
+    x, low = v[c], [np.zeros(len(c) + len(starts) + 1, v.dtype)]
+    low[0][at] = x
+    while 1 << len(low) <= np.diff(np.append(starts, len(c))).max():
+        k = 1 << len(low) - 1
+        low.append(np.minimum(low[-1][:-k], low[-1][k:]))
+    before, after = at.copy(), at + 1
+    for k in range(len(low) - 1, -1, -1):
+        p = before - (1 << k)
+        before = np.where((p >= 0) & (low[k][np.maximum(p, 0)] > x), p, before)
+        after = np.where((after < len(low[k])) & (low[k][np.minimum(after, len(low[k]) - 1)] >= x), after + (1 << k), after)
+    # places of the texts' ends, and of the centres
+    edge = np.searchsorted(text, text[c[starts]])
+    place = np.empty(len(low[0]), np.int64)
+    place[at], place[at[starts] - 1] = c, edge - 1
+    a = place[before - 1] + 1
+    place[at[np.append(starts[1:], len(c)) - 1] + 1] = np.searchsorted(text, text[c[starts]], "right")
+    b = place[after] - 1
     wide = b - a + 1 >= run
     return a[wide], c[wide], b[wide]
 
@@ -212,7 +217,7 @@ class _Links:
 
     def __init__(self, codes: np.ndarray, doc: np.ndarray, group: np.ndarray):
         self.codes, self.doc, self.group, n = codes, doc, group, len(doc)
-        self.pieces = _slots(codes)
+        self.planes = _planes(codes)
         self.lo, self.hi = np.full(n, 1 << 30, np.int64), np.full(n, -1, np.int64)
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
@@ -221,7 +226,8 @@ class _Links:
         self.label = joined(np.arange(n), np.arange(n), first[inverse.ravel()])
 
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
-        ok, *spans = _verify((self.codes, *self.pieces), i, j)
+        """i < j: a shifted alignment goes from the first row to the other."""
+        ok, *spans = _verify((self.codes, self.planes), i, j)
         i, j = i[ok], j[ok]
         for r, start, stop in ((i, *spans[:2]), (j, *spans[2:])):
             np.minimum.at(self.lo, r, start[ok])
@@ -232,32 +238,60 @@ class _Links:
 
     def neighbours(self) -> None:
         """Rows that agree in a piece, each with the next one in the order of contexts."""
-        every = np.arange(len(self.doc))
+        every, n, pairs = np.arange(len(self.doc)), len(self.doc), []
         for k, piece in enumerate(PIECES):
             part = self.codes[:, piece]
             rows, of = _parts(self.group, every, part, _hashes(part, k))
-            self.compare(*_beside(rows, of, self.doc[rows])[:2])
+            i, j = _beside(rows, of, self.doc[rows])[:2]
+            pairs.append(np.minimum(i, j) * n + np.maximum(i, j))
+        pairs = np.unique(np.concatenate(pairs))
+        self.compare(pairs // n, pairs % n)
 
     def rest(self) -> None:
-        """In buckets that are not connected: all pairs of rows that nothing connects yet, and
-        neighbours of which one has no link yet; in large buckets those that agree in a cover (same
-        alignment) or in a sketch (words inserted or left out)."""
+        """In buckets that are not connected, or have a row without a run: the pairs that may share one
+        (see _alike), of rows that nothing connects yet or of which one has no run.  Near rows come first;
+        each round leaves out what the rounds before have connected.  What is compared depends on the
+        bucket's own rows alone, not on their number or on the other buckets of the task."""
         starts = run_starts([self.group])
         size = np.diff(np.append(starts, len(self.group)))
         mixed = np.minimum.reduceat(self.label, starts) != np.maximum.reduceat(self.label, starts)
-        small = np.flatnonzero(np.repeat(mixed & (size <= SMALL), size))
-        if len(small):
-            self.every(small, np.unique(self.group[small], return_inverse=True)[1])
-        open_rows = np.flatnonzero(np.repeat(mixed & (size > SMALL), size))
-        if not len(open_rows):
-            return
-        beside = np.delete(self.codes[open_rows], REACH, 1).reshape(len(open_rows), 2 * _SIDE, _BLOCK)
-        hashes = np.stack([_hashes(beside[:, b], 64 + b) for b in range(2 * _SIDE)], 1)
-        inside = (beside > 0).all(2)
-        for cover in COVERS:
-            self.every(*_parts(self.group, open_rows, inside[:, cover], hashes[:, cover].sum(1, dtype=np.uint64)))
-        for sketch, some in _sketches(self.codes[open_rows]):
-            self.every(*_parts(self.group, open_rows, some[:, None], sketch))
+        mixed |= np.logical_or.reduceat(self.hi < 0, starts)
+        rows = np.flatnonzero(np.repeat(mixed, size))
+        row, token = _alike(self.codes[rows], self.group[rows])
+        row, n, far = rows[row], len(self.doc), 1
+        while len(row):
+            # what is alike in rows that are done needs no look
+            first = run_starts([token])
+            size = np.diff(np.append(first, len(row)))
+            label, bare = self.label.copy(), self.hi < 0
+            todo = np.minimum.reduceat(label[row], first) != np.maximum.reduceat(label[row], first)
+            todo = np.repeat((todo | np.logical_or.reduceat(bare[row], first)) & (row[first + size - 1] - row[first] >= far), size)
+            row, of = row[todo], np.repeat(np.arange(len(size)), size)[todo]
+            token = token[todo]
+            if not len(row):
+                break
+            at = of * n + row
+            low = np.searchsorted(at, np.minimum(at + far, (of + 1) * n))
+            many = np.searchsorted(at, np.minimum(at + 2 * far, (of + 1) * n)) - low
+            # all pairs of a row together, so that none is compared twice
+            by_row = np.argsort(row, kind="stable")
+            ends = np.cumsum(many[by_row])
+            new = np.append(run_starts([row[by_row]]), len(row))
+            k = 0
+            while k < len(new) - 1:
+                done = ends[new[k] - 1] if k else 0
+                stop = max(k + 1, int(np.searchsorted(ends[new[1:] - 1], done + TOGETHER, "right")))
+                part = by_row[new[k]:new[stop]]
+                k = stop
+                count = many[part]
+                if not count.any():
+                    continue
+                i = np.repeat(row[part], count)
+                j = row[np.arange(len(i)) + np.repeat(low[part] - np.cumsum(count) + count, count)]
+                near = (self.doc[i] != self.doc[j]) & ((label[i] != label[j]) | bare[i] | bare[j])
+                pairs = np.unique(i[near] * n + j[near])
+                self.compare(pairs // n, pairs % n)
+            far *= 2
 
     def widest(self) -> None:
         """Each row with the rows that share most with it outwards from c, to the right and to the
@@ -265,7 +299,7 @@ class _Links:
         connected already get their widest run."""
         starts = run_starts([self.group])
         size = np.diff(np.append(starts, len(self.group)))
-        rows = np.flatnonzero(np.repeat(size > 2, size))        # of two, both have been compared
+        rows = np.flatnonzero(np.repeat(size > 2, size))        # two have been compared
         for half in (self.codes[rows, REACH + 1:], self.codes[rows, REACH - 1::-1]):
             words = [np.zeros(len(rows), np.uint64) for _ in range(3)]
             for k in range(REACH):
@@ -273,34 +307,10 @@ class _Links:
             order = np.lexsort((*words[::-1], self.group[rows]))
             at = rows[order]
             i, j, x, y = _beside(at, self.group[at], self.doc[at])
-            pairs = np.unique(np.concatenate([i * len(self.doc) + j, x * len(self.doc) + y]))
+            i, j = np.concatenate([i, x]), np.concatenate([j, y])
+            pairs = np.unique(np.minimum(i, j) * len(self.doc) + np.maximum(i, j))
             self.compare(pairs // len(self.doc), pairs % len(self.doc))
 
-    def every(self, rows: np.ndarray, of: np.ndarray) -> None:
-        """Compares the pairs of rows of a part that are not connected (``of``: rising numbers)."""
-        d, held = 1, []
-        while len(rows):
-            size = np.bincount(of)
-            first = np.concatenate([[0], np.cumsum(size)])[:-1]
-            label = self.label[rows]
-            # parts that are connected by now, or have no pair so far apart, are done
-            todo = (size > d) & ((np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first)) | (d == 1))
-            rows = rows[todo[of]]
-            of = np.repeat(np.arange(todo.sum()), size[todo])
-            if not len(rows):
-                break
-            i, j = rows[:-d], rows[d:]
-            near = (of[:-d] == of[d:]) & (self.doc[i] != self.doc[j])
-            near &= (self.label[i] != self.label[j]) | ((d == 1) & ((self.hi[i] < 0) | (self.hi[j] < 0)))
-            held.append((i[near], j[near]))
-            # a comparison of few pairs costs as much as one of many: pairs of several distances at a time
-            if d == 1 or sum(len(x) for x, _ in held) >= TOGETHER:
-                self.compare(*(np.concatenate(x) for x in zip(*held)))
-                held = []
-            d += 1
-        if held:
-            self.compare(*(np.concatenate(x) for x in zip(*held)))
-
 
 def _beside(rows: np.ndarray, of: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
     """(row, next row of another document) and (last row of another document before, row) of the
@@ -325,37 +335,68 @@ def _pieces(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return piece, inside
 
 
-def _slots(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each of a context's pieces, mask of the slots that it has); 2048: outside."""
-    slot, has = np.zeros((len(codes), codes.shape[1] - 4), np.uint16), np.zeros((len(codes), 2049), bool)
-    for k in range(0, len(codes), 4096):
-        piece, inside = _pieces(codes[k:k + 4096])
-        slot[k:k + 4096] = np.where(inside, tn.mix64(piece) % np.uint64(2048), np.uint64(2048))
-        np.put_along_axis(has[k:k + 4096], slot[k:k + 4096].astype(np.int64), True, 1)
-    has[:, 2048] = False
-    return slot, has
+def _alike(codes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token), by token and row: rows that may share a similar run have a token in common.
 
-
-def _sketches(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash of some min-hashes of the context's pieces of five places, wherever they lie; mask of
-    the rows that have such pieces)."""
+    A similar run has NEED places in three parts at most, so two such rows share LEAST_PIECES pieces
+    or more, wherever these lie (a piece that a row repeats counts as often as both have it).  Then they
+    share one of those that are left of either row without its LEAST_PIECES - 1 commonest pieces: what
+    many texts of a bucket have in common, like a line, brings no rows together unless it is that long."""
     piece, inside = _pieces(codes)
-    piece, some = tn.mix64(piece), inside.any(1)
-    for k in range(SKETCHES):
-        out = np.zeros(len(codes), np.uint64)
-        for m in range(_JOINT):
-            h = piece * (tn.mix64(np.uint64([k * _JOINT + m + 1])) | np.uint64(1))
-            out = tn.mix64(out + np.where(inside, h, np.uint64((1 << 64) - 1)).min(1))
-        yield out, some
+    have = inside.sum(1)
+    rows = np.flatnonzero(have >= LEAST_PIECES)
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    width = piece.shape[1]
+    piece = np.sort(np.where(inside[rows], piece[rows], np.uint64(1 << 20)), axis=1)
+    place = np.arange(width, dtype=np.int16)
+    new = np.ones(piece.shape, bool)
+    new[:, 1:] = piece[:, 1:] != piece[:, :-1]
+    again = place - np.maximum.accumulate(np.where(new, place, np.int16(0)), axis=1)
+    number = np.cumsum(np.concatenate([[0], group[rows][1:] != group[rows][:-1]])).astype(np.uint64)
+    token = number[:, None] << np.uint64(27) | again.astype(np.uint64) << np.uint64(20) | piece
+    # how common a token is, at least: any order of the tokens will do, if it is the same for all rows
+    mark = (token * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+    often = np.bincount(mark[piece < np.uint64(1 << 20)], minlength=1 << 22)[mark]
+    often[piece == np.uint64(1 << 20)] = 0
+    # those of this row alone are the rarest ones
+    left = have[rows] - LEAST_PIECES + 1 - (often == 1).sum(1)
+    row, place = np.nonzero((often > 1) & (left > 0)[:, None])
+    often, token = often[row, place], token[row, place]
+    order = np.lexsort((token, often, row))
+    row, token = row[order], token[order]
+    starts = run_starts([row]) if len(row) else np.zeros(0, np.int64)
+    rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+    taken = rank < left[row]
+    row, token = rows[row[taken]], token[taken]
+    # of tokens that the same rows have, one will do
+    order = np.lexsort((row, token))
+    row, token = row[order], token[order]
+    starts = run_starts([token]) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.append(starts, len(row)))
+    who = np.add.reduceat(tn.mix64(row.astype(np.uint64)), starts) if len(row) else np.zeros(0, np.uint64)
+    once = np.zeros(len(starts), bool)
+    once[np.unique(who, return_index=True)[1]] = True
+    kept = np.repeat(once & (size > 1), size)
+    return row[kept], np.cumsum(np.repeat(once, size) & np.isin(np.arange(len(row)), starts))[kept]
+
+
+def _planes(codes: np.ndarray) -> np.ndarray:
+    """Each row's places as bits of 64-bit words, outwards from c (c first) to the left and to the right:
+    a word for each bit of the codes, and one for the places that are not outside."""
+    out = np.empty((2, len(codes), 5), np.uint64)
+    for side, half in zip(out, (codes[:, REACH::-1], codes[:, REACH:])):
+        wide = np.zeros((len(codes), 64), np.uint8)
+        wide[:, :REACH + 1] = half
+        for k in range(4):
+            side[:, k] = np.packbits(wide >> k & 1, axis=1, bitorder="little").view(np.uint64).ravel()
+        side[:, 4] = np.packbits(wide > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
-def _planes(codes: np.ndarray) -> list[np.ndarray]:
-    """Each row's places as bits of 64-bit words: a word for each bit of the codes, and one for the
-    places that are not outside."""
-    wide = np.zeros((len(codes), 64), np.uint8)
-    wide[:, :codes.shape[1]] = codes
-    return [np.packbits(x, axis=1, bitorder="little").view(np.uint64).ravel() for x in ((wide >> k) & 1 for k in range(4))] + [
-        np.packbits(wide > 0, axis=1, bitorder="little").view(np.uint64).ravel()]
+def _same(a, b) -> np.ndarray:
+    """Bits of the places that match, of the five words of two rows."""
+    return ~((a[0] ^ b[0]) | (a[1] ^ b[1]) | (a[2] ^ b[2]) | (a[3] ^ b[3])) & a[4] & b[4]
 
 
 def _ones(x: np.ndarray) -> np.ndarray:
@@ -363,27 +404,31 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & ~(x + np.uint64(1))).astype(np.int64)
 
 
-def _shifted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For codes outwards from c (c first): whether each place of ``a`` has a match in ``b``, both
-    in rising order, and by how many places it lies farther out there.  A match is part of
-    LEAST_RUN places that match side by side; where one ends, the longest that follows is taken."""
-    n, width = a.shape
-    shifts = np.array(sorted(range(-SHIFT, SHIFT + 1), key=abs))[:, None]
-    out, in_ = np.maximum(shifts, 0).astype(np.uint64), np.maximum(-shifts, 0).astype(np.uint64)
-    left, right, one = _planes(a), [(x >> out) << in_ for x in _planes(b)], np.uint64(1)
-    unlike = left[0] ^ right[0]
-    for x, y in zip(left[1:4], right[1:4]):
-        unlike |= x ^ y
-    match = ~unlike & left[4] & right[4]
+SHIFTS = np.array(sorted(range(-SHIFT, SHIFT + 1), key=abs))[:, None]
+
+
+def _runs_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits of the places of ``a`` that match for each of the SHIFTS of ``b``: those that are part of
+    LEAST_RUN places that match side by side, and for none c itself and what matches beside it."""
+    out, in_, one = np.maximum(SHIFTS, 0).astype(np.uint64), np.maximum(-SHIFTS, 0).astype(np.uint64), np.uint64(1)
+    match = _same(a.T, [(x >> out) << in_ for x in b.T])
     start = match.copy()
     for i in range(1, LEAST_RUN):
         start &= match >> np.uint64(i)
     runs_at = start.copy()
     for i in range(1, LEAST_RUN):
         runs_at |= start << np.uint64(i)
-    # c itself, and what matches beside it
     near = match[0] & np.uint64((1 << LEAST_RUN) - 1)
-    current = runs_at[0] | (near & ~(near + one))
+    # c goes first: what lies beside it counts for the unshifted alignment only
+    return np.concatenate([(runs_at[0] | (near & ~(near + one)))[None], runs_at])
+
+
+def _shifted(runs_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the _runs_at of two rows: whether each place of the first has a match in the other, both
+    in rising order, and by how many places it lies farther out there.  Where a match ends, the
+    longest that follows is taken."""
+    n, width, one = runs_at.shape[1], REACH + 1, np.uint64(1)
+    current, runs_at = runs_at[0], runs_at[1:]
     bits, by = np.ones(n, np.uint64), np.zeros((n, width), np.int8)
     now, last, p, rows = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64), np.arange(n)
     while len(rows):
@@ -391,9 +436,9 @@ def _shifted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = p.astype(np.uint64)
         more = _ones(current >> at)
         bits[rows] |= ((one << more.astype(np.uint64)) - one) << at
-        last = np.where(more > 0, p + more - 1 + shifts[now, 0], last)
+        last = np.where(more > 0, p + more - 1 + SHIFTS[now, 0], last)
         # the next place where a match may go on, farther out in ``b`` than the last one
-        least = np.clip(np.maximum(p + more, last - shifts + 1), 0, 63).astype(np.uint64)
+        least = np.clip(np.maximum(p + more, last - SHIFTS + 1), 0, 63).astype(np.uint64)
         free = (runs_at >> least) << least
         p = np.where(free > 0, np.bitwise_count((free & ~(free - one)) - one), 64).min(0).astype(np.int64)
         alive = np.flatnonzero(p < width)
@@ -402,78 +447,82 @@ def _shifted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         goes_on = (runs_at[now, each] >> at) & one > 0
         now = np.where(goes_on, now, _ones(free >> at).argmax(0))
         current = runs_at[now, each]
-        by[rows] = np.where(np.arange(width) >= p[:, None], shifts[now], by[rows])
+        by[rows] = np.where(np.arange(width) >= p[:, None], SHIFTS[now], by[rows])
     held = np.unpackbits(bits.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :width].astype(bool)
     return held, by
 
 
 def _bridged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-    """As _verify, for contexts in which words may be inserted or left out: the Jaccard similarity of
-    runs around c, aligned with shifts on either side of it."""
-    both_m, both_s = _shifted(np.concatenate([a[:, REACH::-1], a[:, REACH:]]), np.concatenate([b[:, REACH::-1], b[:, REACH:]]))
-    lm, rm, ls, rs = both_m[:len(a)], both_m[len(a):], both_s[:len(a)], both_s[len(a):]
+    """(row, first, last, first, last) of the pairs of rows that are similar as in _verify, for contexts
+    in which words may be inserted or left out: the Jaccard similarity of runs around c, aligned with
+    shifts on either side of it.  ``a``, ``b``: their _planes."""
+    left, right = _runs_at(a[0], b[0]), _runs_at(a[1], b[1])
+    most = sum(np.bitwise_count(np.bitwise_or.reduce(x) | np.uint64(1)).astype(np.int64) for x in (left, right)) - 1
+    rows = np.flatnonzero(most >= NEED)
+    n = len(rows)
+    both_m, both_s = _shifted(np.concatenate([left[:, rows], right[:, rows]], 1))
+    lm, rm, ls, rs = both_m[:n], both_m[n:], both_s[:n], both_s[n:]
     m = np.concatenate([lm[:, :0:-1], rm], 1)
     # the place in ``b`` that goes with each place of ``a``
     there = np.arange(2 * REACH + 1) + np.concatenate([-ls[:, :0:-1].astype(np.int64), rs.astype(np.int64)], 1)
-    total = np.zeros((len(a), m.shape[1] + 1), np.int64)
+    total = np.zeros((n, m.shape[1] + 1), np.int64)
     np.cumsum(m, axis=1, out=total[:, 1:])
     place = np.arange(m.shape[1])
-    ok = np.zeros(len(a), bool)
-    first, last = np.full(len(a), 2 * REACH), np.zeros(len(a), np.int64)
+    ok = np.zeros(n, bool)
+    first, last = np.full(n, 2 * REACH), np.zeros(n, np.int64)
     for width in LENGTHS:
-        both = total[:, width:] - total[:, :-width]
-        other = there[:, width - 1:] - there[:, :m.shape[1] - width + 1] + 1
+        # the run is to hold c
+        low, high = max(0, REACH - width + 1), min(REACH, 2 * REACH + 1 - width) + 1
+        both = total[:, low + width:high + width] - total[:, low:high]
+        other = there[:, low + width - 1:high + width - 1] - there[:, low:high] + 1
         run = (both >= SIMILARITY * (width + other - both) - 1e-9) & (np.maximum(width, other) >= RUN)
-        run &= (place[:m.shape[1] - width + 1] <= REACH) & (place[width - 1:] >= REACH)
         good = run.any(1)
         ok |= good
-        first = np.where(good, np.minimum(first, run.argmax(1)), first)
-        last = np.where(good, np.maximum(last, m.shape[1] - 1 - run[:, ::-1].argmax(1)), last)
+        first = np.where(good, np.minimum(first, low + run.argmax(1)), first)
+        last = np.where(good, np.maximum(last, high + width - 2 - run[:, ::-1].argmax(1)), last)
+    rows, m, there, first, last = rows[ok], m[ok], there[ok], first[ok], last[ok]
     held = m & (place >= first[:, None]) & (place <= last[:, None])
     lo, hi = held.argmax(1), 2 * REACH - held[:, ::-1].argmax(1)
-    at = np.arange(len(a))
-    return ok, lo, hi, there[at, lo], there[at, hi]
+    at = np.arange(len(rows))
+    return rows, lo, hi, there[at, lo], there[at, hi]
 
 
-def _verify(contexts: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+#: places (outwards from c, to the left and to the right) of a cheap look
+LOOK = np.array([sum(1 << d for d in range(1, 23, 3)), sum(1 << d for d in range(2, 21, 3))], np.uint64)
+
+
+def _verify(contexts: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
     """(mask, first, last, first, last): whether some run around c is similar (NEED places match as
     they stand, or with shifts), and the first and last match of such runs (places in the contexts
-    of i and of j).  ``contexts``: the codes of the rows, and their _slots."""
-    codes, slot, has = contexts
+    of i and of j).  ``contexts``: the codes of the rows, and their _planes."""
+    codes, planes = contexts
     ok, ends = np.zeros(len(i), bool), np.zeros((4, len(i)), np.int64)
-    near = [REACH + d for d in range(-22, 23, 3) if d]     # cheap look first: a part near c is the same
-    for k in range(0, len(i), 1 << 16):
-        x, y = i[k:k + (1 << 16)], j[k:k + (1 << 16)]
-        some = np.zeros(len(x), np.int8)
-        for p in near:
-            some += (codes[x, p] == codes[y, p]) & (codes[x, p] > 0)
-        at = np.flatnonzero(some >= 3)
-        if not len(at):
-            continue
+    place = np.arange(2 * REACH + 1)
+    for k in range(0, len(i), 1 << 12):
+        x, y = i[k:k + (1 << 12)], j[k:k + (1 << 12)]
+        a, b = planes[:, x], planes[:, y]
+        match = _same(np.moveaxis(a, 2, 0), np.moveaxis(b, 2, 0))
+        # cheap look first: a part near c is the same
+        some = np.bitwise_count(match & LOOK[:, None]).sum(0) >= 3
+        whole = np.bitwise_count(match).astype(np.int64).sum(0) - (match[0] & np.uint64(1)).astype(np.int64)
+        at = np.flatnonzero(some & (whole >= NEED))
         m = (codes[x[at]] == codes[y[at]]) & (codes[x[at]] > 0)
         total = np.zeros((len(at), m.shape[1] + 1), np.int16)
         np.cumsum(m, axis=1, out=total[:, 1:])
         run = total[:, RUN:] - total[:, :-RUN] >= NEED
         good = run.any(1)
-        ok[k + at[good]] = True
+        at, m, run = at[good], m[good], run[good]
+        ok[k + at] = True
         # from the first match of the first such run to the last match of the last one
-        place = np.arange(m.shape[1])
-        first, last = run[good].argmax(1), 2 * REACH - run[good][:, ::-1].argmax(1)
-        held = m[good] & (place >= first[:, None]) & (place <= last[:, None])
-        ends[0::2, k + at[good]] = held.argmax(1)
-        ends[1::2, k + at[good]] = 2 * REACH - held[:, ::-1].argmax(1)
-        rest = at[~good]
-        # a similar run has NEED places in three parts at most, so NEED - 12 pieces that both have
-        shared = np.zeros(len(rest), np.int64)
-        for q in range(0, len(rest), 1 << 12):
-            part = rest[q:q + (1 << 12)]
-            shared[q:q + (1 << 12)] = has[y[part][:, None], slot[x[part]]].sum(1)
-        rest = rest[shared >= NEED - 12]
-        for q in range(0, len(rest), 1 << 12):
-            part = rest[q:q + (1 << 12)]
-            found, *where = _bridged(codes[x[part]], codes[y[part]])
-            ok[k + part[found]] = True
-            ends[:, k + part[found]] = np.stack(where)[:, found]
+        first, last = run.argmax(1), 2 * REACH - run[:, ::-1].argmax(1)
+        held = m & (place >= first[:, None]) & (place <= last[:, None])
+        ends[0::2, k + at] = held.argmax(1)
+        ends[1::2, k + at] = 2 * REACH - held[:, ::-1].argmax(1)
+        some[at] = False
+        rest = np.flatnonzero(some)
+        found, *where = _bridged(a[:, rest], b[:, rest])
+        ok[k + rest[found]] = True
+        ends[:, k + rest[found]] = np.stack(where)
     return ok, *ends
 
 

@@ -257,3 +257,55 @@ def test_every_row_of_a_connected_bucket_gets_the_longest_half():
     links.rest()
     links.widest()
     assert (links.hi >= op.REACH + 39).all() and (links.lo <= op.REACH - 25).all() and len(np.unique(links.label)) == 1
+
+
+def inserted_pairs(r, n):
+    codes = r.integers(1, op.CODES + 1, (n, 2 * op.REACH + 1)).astype(np.uint8)
+    for k in range(0, n, 2):                                      # an insertion, 15 to 24 places after c or before it
+        gap, side = 15 + k // 2 % 10, k // 2 % 2
+        one, two = (codes[k, ::-1], codes[k + 1, ::-1]) if side else (codes[k], codes[k + 1])
+        two[op.REACH - 22:op.REACH + gap] = one[op.REACH - 22:op.REACH + gap]
+        two[op.REACH + gap + 5:] = one[op.REACH + gap + 4:-1]
+    return codes
+
+
+def linked(codes, group):
+    links = op._Links(codes, np.arange(len(codes)), group)
+    links.neighbours()
+    links.rest()
+    links.widest()
+    return links
+
+
+def test_links_and_runs_do_not_depend_on_the_size_of_the_bucket():
+    n = 1200
+    codes = inserted_pairs(np.random.default_rng(17), n)
+    alone, together = linked(codes, np.arange(n) // 2), linked(codes, np.zeros(n, np.int64))
+    assert (alone.label[0::2] == alone.label[1::2]).all()
+    assert (together.label == alone.label).all()
+    assert (together.lo == alone.lo).all() and (together.hi == alone.hi).all()
+
+
+def test_links_and_runs_do_not_depend_on_the_other_buckets_of_the_task():
+    r = np.random.default_rng(18)
+    n = 60
+    codes = inserted_pairs(r, n)
+    for k in range(4, n, 4):                                      # groups whose members are connected by a few pairs
+        codes[k:k + 2, :op.REACH + 10] = codes[k - 4, :op.REACH + 10]
+    more = np.repeat(inserted_pairs(r, 300), 3, axis=0)
+    alone = linked(codes, np.zeros(n, np.int64))
+    both = linked(np.concatenate([codes, more]), np.repeat([0, 1], [n, len(more)]))
+    assert (both.label[:n] == alone.label).all()
+    assert (both.lo[:n] == alone.lo).all() and (both.hi[:n] == alone.hi).all()
+
+
+def test_no_similar_pair_of_a_bucket_is_left_apart():
+    r = np.random.default_rng(19)
+    n = 240
+    codes = inserted_pairs(r, n)
+    codes[100:180, op.REACH - 9:op.REACH + 20] = codes[0, op.REACH - 9:op.REACH + 20]
+    codes[r.integers(0, n, 60), :20] = 0
+    links = linked(codes, np.zeros(n, np.int64))
+    i, j = np.triu_indices(n, 1)
+    ok = op._verify((links.codes, links.planes), i, j)[0]
+    assert ok.sum() > n // 3 and (links.label[i[ok]] == links.label[j[ok]]).all()
