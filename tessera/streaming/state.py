@@ -6,6 +6,7 @@ given out as rows, not dropped.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,15 @@ def _millis(ts) -> int:
 
 class _Ordered(StatefulProcessor):
     """Items that are numbered from 1 in each group and come in any order.  ``place`` holds how far the
-    group is read without a gap; ``wait`` holds items by number until they are used."""
+    group is read without a gap; ``wait`` holds items until they are used, those of BLOCK numbers as one
+    entry, so a batch makes a few calls to the store for each group and not some for each item.
 
-    #: columns of an item besides its number, and the store's types of them
+    A group has one timer at a time, for the time that was the end of its silence when it was set; if
+    more has come since, it is set again."""
+    BLOCK = 128
+
+    #: columns of an item besides its number, and the store's types of the place
     item: tuple[str, ...]
-    item_schema: str
     place_schema: str
     start: tuple
 
@@ -36,47 +41,62 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", self.place_schema + ", latest long")
-        self.wait = handle.getMapState("wait", "seq long", self.item_schema)
+        self.wait = handle.getMapState("wait", "block long", "items string")
 
-    def read(self, key: tuple, place: tuple, new: dict) -> tuple[tuple, list[tuple]]:
+    def read(self, key: tuple, place: tuple) -> tuple[tuple, list[tuple]]:
         """Use what follows without a gap: (the new place, output rows)."""
         raise NotImplementedError
 
     def unfinished(self, key: tuple, place: tuple) -> list[tuple]:
         raise NotImplementedError
 
-    def look(self, new: dict, seq: int) -> tuple | None:
-        return new[seq] if seq in new else self.wait.getValue((seq,))
-
-    def take(self, new: dict, seq: int) -> tuple:
-        if seq in new:
-            if self.some:                       # it may have come before, too
-                self.wait.removeKey((seq,))
-            return new.pop(seq)
-        got = self.wait.getValue((seq,))
-        self.wait.removeKey((seq,))
-        return got
+    @staticmethod
+    def _items(entry: tuple | None) -> dict[int, tuple]:
+        return {seq: tuple(item) for seq, item in json.loads(entry[0])} if entry is not None else {}
+
+    def block(self, seq: int) -> dict[int, tuple]:
+        """The items of the block of ``seq``, read from the store once in a batch."""
+        b = seq // self.BLOCK
+        if b not in self.blocks:
+            entry = self.wait.getValue((b,)) if self.known else None
+            self.blocks[b] = self._items(entry)
+            if entry is not None:
+                self.in_store.add(b)
+        return self.blocks[b]
+
+    def look(self, seq: int) -> tuple | None:
+        return self.block(seq).get(seq)
+
+    def take(self, seq: int) -> tuple:
+        self.changed.add(seq // self.BLOCK)
+        return self.block(seq).pop(seq)
+
+    def waiting(self) -> list[tuple[int, tuple]]:
+        """All (number, item) of the store, in order."""
+        return sorted((x for _, entry in self.wait.iterator() for x in self._items(entry).items()), key=lambda x: x[0])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """A group's new rows of one micro-batch are held; the rest stays in the store."""
-        new: dict[int, tuple] = {}
-        *place, latest = self.place.get() if self.place.exists() else (*self.start, 0)
+        before = self.place.get()
+        *place, latest = before if before is not None else (*self.start, 0)
         newest = latest
+        self.known, self.blocks, self.in_store, self.changed = before is not None, {}, set(), set()
         for pdf in rows:
-            for values in zip(pdf["seq"], *(pdf[c] for c in self.item)):
-                new[int(values[0])] = self.stored(*values[1:])
+            for seq, *values in zip(pdf["seq"], *(pdf[c] for c in self.item)):
+                # an item before the place was used already and has come again
+                if seq >= place[0]:
+                    self.block(int(seq))[int(seq)] = self.stored(*values)
+                    self.changed.add(int(seq) // self.BLOCK)
             if "ts" in pdf.columns and len(pdf):
                 newest = max(newest, _millis(pdf["ts"].max()))
-        self.some = self.wait.exists()
-        place, out = self.read(key, tuple(place), new)
-        for seq, item in new.items():
-            # an item before the place was used already and has come again
-            if seq >= place[0]:
-                self.wait.updateValue((seq,), item)
+        place, out = self.read(key, tuple(place))
+        for b in self.changed:
+            if self.blocks[b]:
+                self.wait.updateValue((b,), (json.dumps(sorted(self.blocks[b].items())),))
+            elif b in self.in_store:
+                self.wait.removeKey((b,))
         self.place.update((*place, newest))
-        if self.abandon_ms is not None and newest != latest:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
+        if self.abandon_ms is not None and newest and not latest:
             self.handle.registerTimer(newest + self.abandon_ms)
         if out:
             yield pd.DataFrame(out, columns=self.columns)
@@ -85,13 +105,18 @@ class _Ordered(StatefulProcessor):
         """The group was silent for ``abandon_ms`` of event time: what waits is given out as unfinished
         and all state goes.  If the group goes on later, its numbers begin after a gap, so these rows
         come out as unfinished in their turn."""
-        if self.place.exists():
-            *place, _ = self.place.get()
-            out = self.unfinished(key, tuple(place))
-            self.wait.clear()
-            self.place.clear()
-            if out:
-                yield pd.DataFrame(out, columns=self.columns)
+        before = self.place.get()
+        if before is None:
+            return
+        *place, latest = before
+        if latest + self.abandon_ms > max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()):
+            self.handle.registerTimer(latest + self.abandon_ms)
+            return
+        out = self.unfinished(key, tuple(place))
+        self.wait.clear()
+        self.place.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
@@ -100,43 +125,43 @@ class _Ordered(StatefulProcessor):
 class ChunkAssembler(_Ordered):
     """ST2: chunks to messages.  place: first number of the message in work, its number, first number
     that is not here yet."""
-    item, item_schema, place_schema, start = ("content", "is_final"), "content string, final boolean", "first long, msg long, at long", (1, 1, 1)
+    item, place_schema, start = ("content", "is_final"), "first long, msg long, at long", (1, 1, 1)
     columns = ["stream_id", "msg_no", "n_chunks", "content", "complete"]
 
     @staticmethod
     def stored(content, final) -> tuple:
         return (None if content is None or content != content else str(content), bool(final))
 
-    def read(self, key, place, new):
+    def read(self, key, place):
         first, msg, at = place
         out = []
-        while (chunk := self.look(new, at)) is not None:
+        while (chunk := self.look(at)) is not None:
             at += 1
             if chunk[1]:
-                parts = [self.take(new, s)[0] or "" for s in range(first, at)]
+                parts = [self.take(s)[0] or "" for s in range(first, at)]
                 out.append((key[0], msg, len(parts), "".join(parts), True))
                 first, msg = at, msg + 1
         return (first, msg, at), out
 
     def unfinished(self, key, place):
-        chunks = sorted((k[0], v[0] or "") for k, v in self.wait.iterator())
+        chunks = [(seq, item[0] or "") for seq, item in self.waiting()]
         return [(key[0], place[1], len(chunks), "".join(c for _, c in chunks), False)] if chunks else []
 
 
 class ReviewCounter(_Ordered):
     """ST6: reviews decided in the order of their thread.  place: next number, reviews so far."""
-    item, item_schema, place_schema, start = ("turn", "is_review", "quality"), "turn long, review boolean, quality double", "next long, seen long", (1, 0)
+    item, place_schema, start = ("turn", "is_review", "quality"), "next long, seen long", (1, 0)
     columns = ["thread_id", "turn", "quality", "iteration", "threshold", "approved", "emitted_quality", "decided"]
 
     @staticmethod
     def stored(turn, review, quality) -> tuple:
         return (int(turn), bool(review), None if pd.isna(quality) else float(quality))
 
-    def read(self, key, place, new):
+    def read(self, key, place):
         at, seen = place
         thresholds, out = dict(ITERATION_THRESHOLDS), []
-        while self.look(new, at) is not None:
-            turn, review, quality = self.take(new, at)
+        while self.look(at) is not None:
+            turn, review, quality = self.take(at)
             at += 1
             if review:
                 seen += 1
@@ -149,7 +174,7 @@ class ReviewCounter(_Ordered):
     def unfinished(self, key, place):
         """Reviews behind a gap: which of the thread's they are is not known."""
         return [(key[0], turn, quality, None, None, None, None, False)
-                for _, (turn, review, quality) in sorted(self.wait.iterator()) if review]
+                for _, (turn, review, quality) in self.waiting() if review]
 
 
 class WindowCounter(StatefulProcessor):

@@ -172,3 +172,16 @@ def test_complete_mode_goes_on(spark, tmp_path):
         assert [r.n for r in out.collect()] == [n * (n + 1) // 2]
     with pytest.raises(ValueError):
         drain(read_stream(spark, path, "g long, ts timestamp"), "t", mode="update")
+
+
+def test_waiting_chunks_lie_in_blocks(spark, tmp_path):
+    """The store holds an entry for many waiting chunks, not one for each; content comes back as it was."""
+    rows = [(s, q, None if q == 7 else f"{s}.{q} \"é\\ ", q in (150, 300), T0) for s in range(3) for q in range(1, 301)]
+    path, at = str(tmp_path / "in"), str(tmp_path / "at")
+    add(spark.createDataFrame([x for x in rows if x[1] % 2 == 0], CHUNKS), path)
+    drain(so.stream_assemble_chunks(read_stream(spark, path, CHUNKS), ts="ts", delay="1 day"), "t", at=at)
+    assert 0 < waiting(spark, at) <= 3 * 3
+    add(spark.createDataFrame([x for x in rows if x[1] % 2], CHUNKS), path)
+    out = drain(so.stream_assemble_chunks(read_stream(spark, path, CHUNKS), ts="ts", delay="1 day"), "t", at=at)
+    want = [(s, m + 1, 150, "".join(x[2] or "" for x in rows if x[0] == s and 150 * m < x[1] <= 150 * m + 150)) for s in range(3) for m in range(2)]
+    assert sorted(map(tuple, out.collect())) == want and waiting(spark, at) == 0
