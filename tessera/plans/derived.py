@@ -285,6 +285,10 @@ def reports_rowlocal(spark: SparkSession, d: str) -> DataFrame:
         F.least(k + 1, F.lit(6)).alias("sec"), (k + 1).alias("pos"), l.alias("line"),
         F.concat(l, F.lit(" ["), (k % 3 + 1).cast("string"), F.lit("]")).alias("para"))),
         lambda p: p["line"] != "")
+    # a column of its own, so that the sections do not each split the text again; reports of empty lines are none
+    docs = docs.filter(F.col("text").rlike("[^\n]")).withColumn("_paras", paras)
+    paras = F.col("_paras")
+
     def in_section(n):
         return lambda p: p["sec"] == n
 
@@ -313,5 +317,4 @@ def reports_rowlocal(spark: SparkSession, d: str) -> DataFrame:
            .when(i % 4 == 0, F.concat(F.lit("\n\n![Figure for "), sid, F.lit("](https://img.example.org/"), sid,
                                       F.lit(".png)\n*Figure 1: Overview of report "), sid, F.lit("*")))
            .otherwise(F.lit("")))
-    return (docs.filter(F.exists(paras, lambda p: F.lit(True)))
-            .select("report_id", "lang", "source", F.concat(body0, img, refs).alias("body")))
+    return docs.select("report_id", "lang", "source", F.concat(body0, img, refs).alias("body"))

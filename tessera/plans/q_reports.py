@@ -351,13 +351,20 @@ def q_translation_integrity(spark, d):
     return tl.translation_integrity(translation_pairs(spark, d)).drop("integrity_ok")
 
 
+def _approved(spark, d):
+    """(report_id, lang, approved): quality >= 0.70.  Written once: a filter on it would else go down into
+    the lint of the report, which is then done for the filter and for each column again."""
+    from tessera.session import materialize
+    q = ln.quality_score(checks(spark, d)).select("report_id", (F.col("quality") >= 0.7).alias("approved"))
+    return _reports(spark, d).select("report_id", "lang").join(materialize(q, "approved"), "report_id")
+
+
 @register("translation_needed", sp.sql(_LINT, """SELECT s.report_id FROM scored s JOIN reports r ON r.report_id = s.report_id
 WHERE s.quality >= 0.7 AND r.lang <> 'zh' AND s.report_id % 9 <> 0"""))
 def q_translation_needed(spark, d):
     """TR2: approved (quality >= 0.70, the last-iteration threshold) reports
     not in Chinese and not yet translated (ids divisible by 9 are done)."""
-    q = ln.quality_score(checks(spark, d)).select("report_id", (F.col("quality") >= 0.7).alias("approved"))
-    r = _reports(spark, d).select("report_id", "lang").join(q, "report_id")
+    r = _approved(spark, d)
     done = r.filter(F.col("report_id") % 9 == 0).select("report_id")
     return tl.translation_needed(r, done).select("report_id")
 
@@ -368,7 +375,6 @@ WHERE lang <> 'zh' AND thread_id NOT IN (SELECT report_id // 5 FROM reports WHER
 def q_translation_per_thread(spark, d):
     """TR2 once for each thread (five reports to a thread; those with a report whose id is divisible by
     45 have their translation)."""
-    q = ln.quality_score(checks(spark, d)).select("report_id", (F.col("quality") >= 0.7).alias("approved"))
-    r = _reports(spark, d).select("report_id", "lang").join(q, "report_id").withColumn("thread_id", F.expr("report_id div 5"))
+    r = _approved(spark, d).withColumn("thread_id", F.expr("report_id div 5"))
     done = r.filter(F.col("report_id") % 45 == 0).select("thread_id")
     return tl.translation_needed(r, done, thread="thread_id").select("thread_id", "report_id")

@@ -165,3 +165,23 @@ def test_themes_attribution_and_iterations(spark):
                                (1, 7, "ITERATION_COUNT:" + "9" * 20)], "thread_id long, turn long, text string")
     got = [(r.iteration, r.marker, r.agrees) for r in tr.compare_iterations(m).orderBy("turn").collect()]
     assert got == [(1, 1, True), (2, 1, False), (3, None, None), (4, None, None)]
+
+
+def test_lint_of_reports_is_done_once(spark):
+    """TR2: the filter on the quality does not do the lint of the reports again."""
+    from tessera.plans import q_reports
+    for q in (q_reports.q_translation_per_thread, q_reports.q_translation_needed):
+        plan = q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan
+    body = q_reports._reports(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert body.count("split(text") == 1
+
+
+def test_reports_of_empty_lines_are_none(spark, tmp_path):
+    from tessera.plans import derived
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, "\n a"), (5, " "), (6, "a\n\nb")]
+    df = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.report_id: r.body for r in derived.reports_rowlocal(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [4, 5, 6]
+    assert got == {r.report_id: r.body for r in derived.reports(spark, str(tmp_path)).collect()}
