@@ -27,39 +27,103 @@ TASK_RANGES = 4
 BLOCK_REQUESTS, BLOCK_TERMS = 4096, 1 << 20
 #: documents whose tokens are counted at a time
 COUNT_ROWS = 1024
+#: terms of a vocabulary that the tasks hold; a larger one is joined
+HELD_TERMS = 1 << 17
 SCORE_DIGITS = 4
 #: sums in another order may differ by less than this
 MARGIN = 2 * 10.0 ** -SCORE_DIGITS
 
 
-def token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_id, dl, tokens) to rows (_id, dl, term, tf): one for each term of a row, and one with the term
-    null.  Rows whose tokens are null have only the latter."""
+def token_counts(vocabulary: list[str] | None = None):
+    """(_id, dl, tokens) to rows (_id, dl, terms, tfs), one for each row; ``vocabulary``: the terms to
+    keep.  Rows whose tokens are null have no terms."""
+    known = None if vocabulary is None else pa.array(vocabulary, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, COUNT_ROWS):
+                part = b.slice(at, COUNT_ROWS)
+                tokens = part.column(2)
+                code = tokens.flatten().dictionary_encode()
+                terms = code.dictionary.cast(pa.string())
+                n = max(1, len(terms))
+                row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+                pair = row * n + code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                if known is not None:
+                    pair = pair[pc.is_in(terms, known).to_numpy(zero_copy_only=False)[pair % n]] if len(terms) else pair
+                pair, tf = np.unique(pair, return_counts=True)
+                ends = pa.array(np.searchsorted(pair, np.arange(part.num_rows + 1) * n).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), part.column(1), pa.ListArray.from_arrays(ends, terms.take(pa.array(pair % n))),
+                    pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.float64)))], ["_id", "dl", "terms", "tfs"])
+    return run
+
+
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value but the first differs from the one before; null equals null."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    null = pc.xor(pc.is_null(a), pc.is_null(b))
+    return pc.or_(null, pc.fill_null(pc.not_equal(a, b), False)).to_numpy().astype(bool)
+
+
+def _added_up(t: pa.Table) -> pa.Table:
+    """(_id, dl, terms, tfs, n), those of one id and length side by side, to one row for each."""
+    if t.num_rows < 2:
+        return t
+    new = np.concatenate([[True], _changes(t.column("_id")) | _changes(t.column("dl"))])
+    if new.all():
+        return t
+    terms = t.column("terms").combine_chunks()
+    terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+    tfs = pc.list_flatten(t.column("tfs")).to_numpy()
+    of = (np.cumsum(new) - 1)[pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)]
+    code = terms.flatten().dictionary_encode()
+    m = max(1, len(code.dictionary))
+    pair, at = np.unique(of * m + code.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    first = np.flatnonzero(new)
+    ends = pa.array(np.searchsorted(pair, np.arange(len(first) + 1) * m).astype(np.int32))
+    return pa.table({
+        "_id": t.column("_id").take(pa.array(first)), "dl": t.column("dl").take(pa.array(first)),
+        "terms": pa.ListArray.from_arrays(ends, code.dictionary.take(pa.array(pair % m))),
+        "tfs": pa.ListArray.from_arrays(ends, pa.array(np.bincount(at, tfs, len(pair)))),
+        "n": pa.array(np.add.reduceat(t.column("n").to_numpy(), first))}, schema=t.schema)
+
+
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_id, dl, terms, tfs) in the order of id and length to rows (_id, dl, term, tf): one for each
+    term of an id and length, their counts added up, and one for each row with the term null."""
+    def rows(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for at in range(0, t.num_rows, COUNT_ROWS):
+            part = t.slice(at, COUNT_ROWS).combine_chunks()
+            terms, tfs = (pc.list_flatten(part.column(c)).combine_chunks() for c in ("terms", "tfs"))
+            n = part.column("n").to_numpy()
+            of = pa.array(np.concatenate([pc.list_parent_indices(part.column("terms")).to_numpy().astype(np.int64),
+                                          np.repeat(np.arange(part.num_rows), n)]))
+            yield from pa.table({
+                "_id": part.column("_id").take(of), "dl": part.column("dl").take(of),
+                "term": pa.chunked_array([terms, pa.nulls(int(n.sum()), pa.string())]),
+                "tf": pa.chunked_array([tfs, pa.nulls(int(n.sum()), pa.float64())])}).combine_chunks().to_batches()
+    rest: pa.Table | None = None
     for b in batches:
-        for at in range(0, b.num_rows, COUNT_ROWS):
-            part = b.slice(at, COUNT_ROWS)
-            tokens = part.column(2)
-            code = tokens.flatten().dictionary_encode()
-            n = max(1, len(code.dictionary))
-            row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-            pair, tf = np.unique(row * n + code.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-            of = pa.array(np.concatenate([pair // n, np.arange(part.num_rows)]))
-            none = pa.nulls(part.num_rows)
-            yield pa.RecordBatch.from_arrays([
-                part.column(0).take(of), part.column(1).take(of),
-                pa.concat_arrays([code.dictionary.take(pa.array(pair % n)).cast(pa.string()), none.cast(pa.string())]),
-                pa.concat_arrays([pa.array(tf.astype(np.float64)), none.cast(pa.float64())])], ["_id", "dl", "term", "tf"])
+        t = pa.Table.from_batches([b]).append_column("n", pa.array(np.ones(b.num_rows, np.int64)))
+        if not t.num_rows:
+            continue
+        # what belongs to the last row may go on in the next batch
+        t = _added_up(t if rest is None else pa.concat_tables([rest, t]))
+        rest = t.slice(t.num_rows - 1)
+        yield from rows(t.slice(0, t.num_rows - 1))
+    if rest is not None:
+        yield from rows(rest)
 
 
 def ranged(weights: DataFrame, n_docs: int, tasks: int | None = None) -> DataFrame:
-    """Postings (term, _id, w) dealt by ranges: (range, term, _id, w), a range's rows together and in
-    the order of their terms.  A range is a hash of the document, so all are of about one size."""
+    """Postings (term, _id, w) dealt by ranges: (range, term, _id, w), a range's rows together.  A range is a hash of the document, so all are of about one size."""
     spark = weights.sparkSession
     n = max(1, math.ceil(n_docs / RANGE))
     # the number of tasks follows the documents, so that what a task sorts does not grow with them
     tasks = tasks or min(n, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / TASK_RANGES)))
     rows = weights.where(F.col("_id").isNotNull()).select(F.pmod(F.xxhash64("_id"), F.lit(n)).alias("range"), "term", "_id", "w")
-    return rows.repartition(tasks, "range").sortWithinPartitions("range", "term")
+    return rows.repartition(tasks, "range").sortWithinPartitions("range")
 
 
 class Best:
@@ -125,7 +189,7 @@ class Scorer:
 
 
 def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(terms, starts, ids, weights) of each range, from rows in the order of range and term."""
+    """(terms, starts, ids, weights) of each range by the order of its terms, from rows in the order of the ranges."""
     rest: pa.Table | None = None
 
     def split(table: pa.Table, last: bool):
@@ -137,13 +201,14 @@ def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             code = part.column("term").combine_chunks().dictionary_encode()
             if isinstance(code, pa.ChunkedArray):
                 code = code.combine_chunks()
-            c = code.indices.to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1, [len(c)]])
+            by_term = pc.sort_indices(code.dictionary).to_numpy()
+            c = np.argsort(by_term)[code.indices.to_numpy()]
+            order = np.argsort(c, kind="stable")
+            starts = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(by_term)))])
             ids = part.column("_id").to_numpy()
             if ids.dtype == object:
                 ids = ids.astype(str)
-            names = code.dictionary.to_pylist()
-            yield [names[i] for i in c[starts[:-1]]], starts, ids, part.column("w").to_numpy()
+            yield code.dictionary.take(pa.array(by_term)).to_pylist(), starts, ids[order], part.column("w").to_numpy()[order]
         return None if last else table.slice(edges[-2])
     for b in batches:
         table = pa.Table.from_batches([b])
@@ -168,28 +233,30 @@ def _asked(block: list) -> dict[str, np.ndarray]:
     return {t: np.array(v) for t, v in asked.items()}
 
 
-def _over(weights: DataFrame, n_docs: int, requests: DataFrame, task, schema: str) -> DataFrame:
+def _over(weights, n_docs: int, requests: DataFrame, task, schema: str) -> DataFrame:
     """Union over blocks of requests of ``task(block, asked)`` on the ranged postings of their terms."""
-    spark, out = weights.sparkSession, None
+    spark, out = requests.sparkSession, None
     for block in _blocks(requests):
         asked = _asked(block)
         if not asked:
             continue
         vocabulary = spark.createDataFrame([(t,) for t in asked], "term string")
-        rows = ranged(weights.join(vocabulary, "term", "left_semi"), n_docs)
+        # bounded like the block, and each task has it anyway: the postings are not shuffled by their terms
+        rows = ranged(weights(vocabulary) if callable(weights) else weights.join(F.broadcast(vocabulary), "term", "left_semi"), n_docs)
         part = rows.mapInArrow(task(block, asked), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _id_types(weights: DataFrame, requests: DataFrame) -> tuple[str, str]:
-    return requests.schema["query_id"].dataType.simpleString(), weights.schema["_id"].dataType.simpleString()
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
-def top_k(weights: DataFrame, n_docs: int, requests: DataFrame) -> DataFrame:
+def top_k(weights, n_docs: int, requests: DataFrame, id_type: str | None = None) -> DataFrame:
     """(query_id, _id, score, rank): the ``k`` best documents of each request (query_id, terms, k) by
-    the sum of the weights (term, _id, w > 0) of its terms, ties to the smaller id."""
-    q_type, id_type = _id_types(weights, requests)
+    the sum of the weights (term, _id, w > 0) of its terms, ties to the smaller id.  ``weights`` may be
+    a function that gives those of the terms (term) of a block of requests; then ``id_type`` is asked for."""
+    q_type, id_type = _type(requests, "query_id"), id_type or _type(weights, "_id")
 
     def task(block: list, asked: dict):
         ks, qids = np.array([max(0, r.k or 0) for r in block]), [r.query_id for r in block]
@@ -212,7 +279,7 @@ def top_k(weights: DataFrame, n_docs: int, requests: DataFrame) -> DataFrame:
 def matching(weights: DataFrame, n_docs: int, requests: DataFrame) -> DataFrame:
     """(query_id, n_matches): documents that hold any term of each request (query_id, terms); requests
     without a match have no row."""
-    q_type, _ = _id_types(weights, requests)
+    q_type = _type(requests, "query_id")
 
     def task(block: list, asked: dict):
         qids = [r.query_id for r in block]

@@ -49,21 +49,26 @@ def build_index(corpus: DataFrame, vocab: DataFrame | None = None, id_col: str =
     plus one row per document with ``term`` null that carries its length,
     so corpus statistics come from the same pass.  A document's tokens are
     counted in its own row, so a task holds one batch of documents, however
-    many it reads; the shuffle carries postings, not tokens, and only adds
-    up those of rows that have the same id and length.
+    many it reads, and drops the terms outside a vocabulary of up to
+    HELD_TERMS.  One row per document is shuffled, with its counts and not
+    its tokens, only to add up those of rows that have the same id and
+    length.
     """
     docs = corpus.select(F.col(id_col).alias("_id"), tokenize(text_col).alias("tokens"))
     docs = docs.select("_id", F.size("tokens").cast("double").alias("dl"), "tokens")
     id_type = docs.schema["_id"].dataType.simpleString()
-    rows = docs.mapInArrow(ps.token_counts, f"_id {id_type}, dl double, term string, tf double")
+    held = None
     if vocab is not None:
+        held = [r.term for r in vocab.select("term").limit(ps.HELD_TERMS + 1).collect()]
+        held = held if len(held) <= ps.HELD_TERMS else None
+    counts = docs.mapInArrow(ps.token_counts(held), f"_id {id_type}, dl double, terms array<string>, tfs array<double>")
+    rows = (counts.repartition("_id").sortWithinPartitions("_id", "dl")
+            .mapInArrow(ps.added_up, f"_id {id_type}, dl double, term string, tf double"))
+    if vocab is not None and held is None:
         # the null term stands for the rows of the lengths
         known = vocab.select("term").unionByName(vocab.sparkSession.createDataFrame([(None,)], "term string"))
         rows = rows.alias("r").join(known.alias("k"), F.col("r.term").eqNullSafe(F.col("k.term")), "left_semi")
-    index = (rows.repartition("_id").groupBy("_id", "dl", "term")
-             .agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("_n")))
-    each = F.when(F.col("term").isNull(), F.col("_n")).otherwise(F.lit(1).cast("bigint"))
-    return index.select("_id", "dl", "term", "tf", F.explode(F.sequence(F.lit(1).cast("bigint"), each)).alias("_n")).drop("_n")
+    return rows
 
 
 def score_index(index: DataFrame, qterms: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
@@ -139,7 +144,7 @@ def search(corpus: DataFrame, params: DataFrame, id_col: str = "doc_id", text_co
     n_docs = index.filter(F.col("term").isNull()).count()
     asked = ps.request_terms(params, tokenize("query"), F.when(F.col("max_results") < RESULT_CAP, F.col("max_results"))
                              .when(F.col("max_results").isNotNull(), RESULT_CAP))
-    hits = ps.top_k(bm25_weights(index).select("term", "_id", "w"), n_docs, asked)
+    hits = ps.top_k(lambda terms: bm25_weights(index, terms=terms), n_docs, asked, index.schema["_id"].dataType.simpleString())
     return hits.select("query_id", F.col("_id").alias(id_col), "score", "rank")
 
 
@@ -211,14 +216,19 @@ HOT_DF_FRACTION = 0.05      # a term in more than 5% of documents is "hot"
 PRUNE_MARGIN = 1e-4         # safety margin for float sums and 4-place rounding
 
 
-def bm25_weights(index: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def bm25_weights(index: DataFrame, k1: float = BM25_K1, b: float = BM25_B, terms: DataFrame | None = None) -> DataFrame:
     """Query-independent BM25 weight of every posting of an index from
-    :func:`build_index`: (term, _id, w, df)."""
+    :func:`build_index`: (term, _id, w, df).  ``terms``: a bounded set of terms
+    (term) to keep; the postings then are not shuffled by their terms."""
     lens = index.filter(F.col("term").isNull())
     post = index.filter(F.col("term").isNotNull())
     stats = lens.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"),
                               F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    if terms is not None:
+        post = post.join(F.broadcast(terms), "term", "left_semi")
     dfreq = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    if terms is not None:
+        dfreq = F.broadcast(dfreq)
     idf = F.ln(F.lit(1.0) + (stats["n"] - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     w = (idf * (F.col("tf") * F.lit(k1 + 1.0))
          / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / stats["avgdl"])))
