@@ -218,6 +218,8 @@ class _Links:
     def __init__(self, codes: np.ndarray, doc: np.ndarray, group: np.ndarray):
         self.codes, self.doc, self.group, n = codes, doc, group, len(doc)
         self.planes = _planes(codes)
+        # rows with equal contexts have a number in common
+        self.alike = np.unique(_hashes(codes, len(PIECES)), return_inverse=True)[1]
         self.lo, self.hi = np.full(n, 1 << 30, np.int64), np.full(n, -1, np.int64)
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
@@ -226,12 +228,15 @@ class _Links:
         self.label = joined(np.arange(n), np.arange(n), first[inverse.ravel()])
 
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
-        """i < j: a shifted alignment goes from the first row to the other."""
-        ok, *spans = _verify((self.codes, self.planes), i, j)
-        i, j = i[ok], j[ok]
+        """i < j: a shifted alignment goes from the first row to the other.  Of pairs with the same two
+        contexts, one is looked at for all."""
+        _, one, of = np.unique(self.alike[i] * len(self.doc) + self.alike[j], return_index=True, return_inverse=True)
+        ok, *spans = _verify((self.codes, self.planes), i[one], j[one])
+        hit = np.flatnonzero(ok[of])
+        i, j, of = i[hit], j[hit], of[hit]
         for r, start, stop in ((i, *spans[:2]), (j, *spans[2:])):
-            np.minimum.at(self.lo, r, start[ok])
-            np.maximum.at(self.hi, r, stop[ok])
+            np.minimum.at(self.lo, r, start[of])
+            np.maximum.at(self.hi, r, stop[of])
         self.left.append(i)
         self.right.append(j)
         self.label = joined(self.label, i, j)
@@ -259,6 +264,8 @@ class _Links:
         rows = np.flatnonzero(np.repeat(mixed, size))
         row, token = _alike(self.codes[rows], self.group[rows])
         row, n, far = rows[row], len(self.doc), 1
+        # all pairs of a row together, so that none is compared twice
+        by_row = np.argsort(row, kind="stable")
         while len(row):
             # what is alike in rows that are done needs no look
             first = run_starts([token])
@@ -266,15 +273,16 @@ class _Links:
             label, bare = self.label.copy(), self.hi < 0
             todo = np.minimum.reduceat(label[row], first) != np.maximum.reduceat(label[row], first)
             todo = np.repeat((todo | np.logical_or.reduceat(bare[row], first)) & (row[first + size - 1] - row[first] >= far), size)
+            by_row = (np.cumsum(todo) - 1)[by_row[todo[by_row]]]
             row, of = row[todo], np.repeat(np.arange(len(size)), size)[todo]
             token = token[todo]
             if not len(row):
                 break
+            # rows without a run are no part of any other's
+            part_of = np.where(bare, n + np.arange(n), label)[row].astype(np.int32)
             at = of * n + row
             low = np.searchsorted(at, np.minimum(at + far, (of + 1) * n))
             many = np.searchsorted(at, np.minimum(at + 2 * far, (of + 1) * n)) - low
-            # all pairs of a row together, so that none is compared twice
-            by_row = np.argsort(row, kind="stable")
             ends = np.cumsum(many[by_row])
             new = np.append(run_starts([row[by_row]]), len(row))
             k = 0
@@ -286,9 +294,10 @@ class _Links:
                 count = many[part]
                 if not count.any():
                     continue
-                i = np.repeat(row[part], count)
-                j = row[np.arange(len(i)) + np.repeat(low[part] - np.cumsum(count) + count, count)]
-                near = (self.doc[i] != self.doc[j]) & ((label[i] != label[j]) | bare[i] | bare[j])
+                at_j = np.arange(count.sum()) + np.repeat(low[part] - np.cumsum(count) + count, count)
+                near = np.flatnonzero(part_of[at_j] != np.repeat(part_of[part], count))
+                i, j = row[np.repeat(part, count)[near]], row[at_j[near]]
+                near = self.doc[i] != self.doc[j]
                 pairs = np.unique(i[near] * n + j[near])
                 self.compare(pairs // n, pairs % n)
             far *= 2
@@ -410,26 +419,39 @@ SHIFTS = np.array(sorted(range(-SHIFT, SHIFT + 1), key=abs))[:, None]
 def _runs_at(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Bits of the places of ``a`` that match for each of the SHIFTS of ``b``: those that are part of
     LEAST_RUN places that match side by side, and for none c itself and what matches beside it."""
-    out, in_, one = np.maximum(SHIFTS, 0).astype(np.uint64), np.maximum(-SHIFTS, 0).astype(np.uint64), np.uint64(1)
-    match = _same(a.T, [(x >> out) << in_ for x in b.T])
-    start = match.copy()
-    for i in range(1, LEAST_RUN):
-        start &= match >> np.uint64(i)
-    runs_at = start.copy()
-    for i in range(1, LEAST_RUN):
-        runs_at |= start << np.uint64(i)
+    out = np.empty((len(SHIFTS) + 1, len(a)), np.uint64)
+    match, other, one = out[1:], np.empty((len(SHIFTS), len(a)), np.uint64), np.uint64(1)
+    match[:] = 0
+    by = np.arange(SHIFT + 1, dtype=np.uint64)[:, None]
+    for x, y in zip(a.T[:4], b.T[:4]):
+        # as the SHIFTS lie: none, then in and out in turn
+        np.right_shift(y, by, out=other[0::2])
+        np.left_shift(y, by[1:], out=other[1::2])
+        other ^= x
+        match |= other
+    # what equals a place that is not outside is not outside
+    np.invert(match, out=match)
+    match &= a[:, 4]
     near = match[0] & np.uint64((1 << LEAST_RUN) - 1)
+    for shift, join in ((np.right_shift, np.bitwise_and), (np.left_shift, np.bitwise_or)):
+        have = 1
+        while have < LEAST_RUN:
+            step = min(have, LEAST_RUN - have)
+            join(match, shift(match, np.uint64(step), out=other), out=match)
+            have += step
     # c goes first: what lies beside it counts for the unshifted alignment only
-    return np.concatenate([(runs_at[0] | (near & ~(near + one)))[None], runs_at])
+    np.bitwise_or(match[0], near & ~(near + one), out=out[0])
+    return out
 
 
-def _shifted(runs_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the _runs_at of two rows: whether each place of the first has a match in the other, both
-    in rising order, and by how many places it lies farther out there.  Where a match ends, the
-    longest that follows is taken."""
+def _shifted(runs_at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the _runs_at of two rows, first the left sides and then the right ones: the pairs with
+    ``least`` matches; for both of their sides, whether each place of the first row has a match in the
+    other, both in rising order, and by how many places it lies farther out there.  Where a match ends,
+    the longest that follows is taken."""
     n, width, one = runs_at.shape[1], REACH + 1, np.uint64(1)
     current, runs_at = runs_at[0], runs_at[1:]
-    bits, by = np.ones(n, np.uint64), np.zeros((n, width), np.int8)
+    bits, turns = np.ones(n, np.uint64), []
     now, last, p, rows = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64), np.arange(n)
     while len(rows):
         # to the end of the match that goes on at p
@@ -438,8 +460,8 @@ def _shifted(runs_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits[rows] |= ((one << more.astype(np.uint64)) - one) << at
         last = np.where(more > 0, p + more - 1 + SHIFTS[now, 0], last)
         # the next place where a match may go on, farther out in ``b`` than the last one
-        least = np.clip(np.maximum(p + more, last - SHIFTS + 1), 0, 63).astype(np.uint64)
-        free = (runs_at >> least) << least
+        least_at = np.clip(np.maximum(p + more, last - SHIFTS + 1), 0, 63).astype(np.uint64)
+        free = (runs_at >> least_at) << least_at
         p = np.where(free > 0, np.bitwise_count((free & ~(free - one)) - one), 64).min(0).astype(np.int64)
         alive = np.flatnonzero(p < width)
         rows, now, last, p, runs_at, free = rows[alive], now[alive], last[alive], p[alive], runs_at[:, alive], free[:, alive]
@@ -447,9 +469,22 @@ def _shifted(runs_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         goes_on = (runs_at[now, each] >> at) & one > 0
         now = np.where(goes_on, now, _ones(free >> at).argmax(0))
         current = runs_at[now, each]
-        by[rows] = np.where(np.arange(width) >= p[:, None], SHIFTS[now], by[rows])
-    held = np.unpackbits(bits.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :width].astype(bool)
-    return held, by
+        turns.append((rows, p, SHIFTS[now]))
+    n //= 2
+    # c is on both sides
+    count = np.bitwise_count(bits).astype(np.int64)
+    pairs = np.flatnonzero(count[:n] + count[n:] - 1 >= least)
+    kept = np.concatenate([pairs, n + pairs])
+    place = np.full(2 * n, -1)
+    place[kept] = np.arange(len(kept))
+    by = np.zeros((len(kept), width), np.int8)
+    for rows, p, shift in turns:
+        to = place[rows]
+        some = to >= 0
+        to = to[some]
+        by[to] = np.where(np.arange(width) >= p[some, None], shift[some], by[to])
+    held = np.unpackbits(bits[kept].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :width].astype(bool)
+    return pairs, held, by
 
 
 def _bridged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -459,13 +494,15 @@ def _bridged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     left, right = _runs_at(a[0], b[0]), _runs_at(a[1], b[1])
     most = sum(np.bitwise_count(np.bitwise_or.reduce(x) | np.uint64(1)).astype(np.int64) for x in (left, right)) - 1
     rows = np.flatnonzero(most >= NEED)
-    n = len(rows)
-    both_m, both_s = _shifted(np.concatenate([left[:, rows], right[:, rows]], 1))
+    # the other run may be shorter, but holds the matches
+    least = int(np.ceil(SIMILARITY * RUN - 1e-9))
+    some, both_m, both_s = _shifted(np.concatenate([left[:, rows], right[:, rows]], 1), least)
+    rows, n = rows[some], len(some)
     lm, rm, ls, rs = both_m[:n], both_m[n:], both_s[:n], both_s[n:]
     m = np.concatenate([lm[:, :0:-1], rm], 1)
     # the place in ``b`` that goes with each place of ``a``
-    there = np.arange(2 * REACH + 1) + np.concatenate([-ls[:, :0:-1].astype(np.int64), rs.astype(np.int64)], 1)
-    total = np.zeros((n, m.shape[1] + 1), np.int64)
+    there = np.arange(2 * REACH + 1, dtype=np.int16) + np.concatenate([-ls[:, :0:-1], rs], 1)
+    total = np.zeros((n, m.shape[1] + 1), np.int16)
     np.cumsum(m, axis=1, out=total[:, 1:])
     place = np.arange(m.shape[1])
     ok = np.zeros(n, bool)

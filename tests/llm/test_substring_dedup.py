@@ -309,3 +309,48 @@ def test_no_similar_pair_of_a_bucket_is_left_apart():
     i, j = np.triu_indices(n, 1)
     ok = op._verify((links.codes, links.planes), i, j)[0]
     assert ok.sum() > n // 3 and (links.label[i[ok]] == links.label[j[ok]]).all()
+
+
+def test_pairs_with_the_same_contexts_are_looked_at_once(monkeypatch):
+    r = np.random.default_rng(23)
+    n = 300
+    codes = r.integers(1, op.CODES + 1, (6, 2 * op.REACH + 1)).astype(np.uint8)
+    codes[:, op.REACH - 17:op.REACH + 18] = codes[0, op.REACH - 17:op.REACH + 18]       # alike, but no passage
+    codes[3:, op.REACH:] = codes[3, op.REACH:]
+    codes = codes[r.integers(0, 6, n)]
+    i, j = np.triu_indices(n, 1)
+    verify, looked = op._verify, []
+    ok, *ends = verify((codes, op._planes(codes)), i, j)
+    monkeypatch.setattr(op, "_verify", lambda c, i, j: looked.append(len(i)) or verify(c, i, j))
+    links = op._Links(codes, np.arange(n), np.zeros(n, np.int64))
+    links.compare(i, j)
+    assert sum(looked) <= 36
+    lo, hi = np.full(n, 1 << 30), np.full(n, -1)
+    for rows, first, last in ((i, *ends[:2]), (j, *ends[2:])):
+        np.minimum.at(lo, rows[ok], first[ok])
+        np.maximum.at(hi, rows[ok], last[ok])
+    assert ok.any() and not ok.all() and (links.lo == lo).all() and (links.hi == hi).all()
+    assert len(links.left[0]) == ok.sum()
+
+
+def test_pairs_dropped_after_the_alignment_are_no_passages(monkeypatch):
+    r = np.random.default_rng(29)
+    n = 4000
+    one = r.integers(1, op.CODES + 1, (n, 2 * op.REACH + 1)).astype(np.uint8)
+    two = one.copy()
+    for k in range(n):                                            # left out, inserted and changed places
+        for _ in range(r.integers(1, 5)):
+            at, by = r.integers(op.REACH + 1, 2 * op.REACH - 6), r.integers(1, 7)
+            side = two[k] if r.random() < 0.5 else two[k, ::-1]
+            kind = r.integers(0, 3)
+            if kind == 0:
+                side[at:-by] = side[at + by:].copy()
+            elif kind == 1:
+                side[at + by:] = side[at:-by].copy()
+            else:
+                side[at:at + by] = r.integers(1, op.CODES + 1, by)
+    planes = [op._planes(x) for x in (one, two)]
+    got, shifted = op._bridged(*planes), op._shifted
+    monkeypatch.setattr(op, "_shifted", lambda runs_at, least: shifted(runs_at, 0))
+    want = op._bridged(*planes)
+    assert 0 < len(want[0]) < n and all(np.array_equal(x, y) for x, y in zip(got, want))
