@@ -7,7 +7,8 @@ Scale notes
   survive the semi join against the query vocabulary before the
   ``(doc_id, term)`` aggregation.  Corpus statistics (N, avgdl) are a
   one-row scalar subquery, evaluated once.
-* Joins carry no broadcast hints on data-derived sides; AQE converts a
+* Joins carry no broadcast hints on data-derived sides, but for the terms
+  of one block of requests (bounded) in :func:`search`; AQE converts a
   sort-merge join to a broadcast join at run time when the measured side
   is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and splits
   skewed partitions (a hot term) otherwise.

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_a_rewritten_table_is_searched_again(spark, tmp_path):
     for t in ("documents", "benchmark", "pages"):
-        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
     d = str(tmp_path)
     first = dv.doc_search(spark, d)
     assert dv.doc_search(spark, d) is first
