@@ -13,8 +13,9 @@ SIMILARITY; where words are inserted or left out, the alignment goes on shifted
 a chance of (1 - SIMILARITY) ** HASHES for each passage's length that it shares.
 
 Buckets are compared in blocks, without emitting pairs: tasks return a spanning forest, and for each
-window the widest run that it was seen to share.  First, rows that agree in a piece of their contexts
-are compared with their neighbours in the order of contexts, which connects most of a bucket.  Where
+window the widest run that it was seen to share.  Rows of different documents with equal contexts are
+linked as one pair of them is, and then stand as one row.  First, rows that agree in a piece of their
+contexts are compared with their neighbours in the order of contexts, which connects most of a bucket.  Where
 a bucket is not connected by that, or a row has no run yet, the rows that have enough pieces of five
 shingles in common are compared until they are connected, wherever these pieces lie (words may be
 inserted) and whatever the bucket's size.  At last each row is compared with
@@ -55,6 +56,7 @@ LENGTHS = (RUN - 1, RUN, 52, 60, 70, 80, 2 * REACH + 1)
 LEAST_PIECES = NEED - 12                           # pieces of five places that a similar run has in three parts
 TOGETHER = 1 << 18                                 # pairs that are looked at at a time, about
 TASK_ROWS = 1 << 15                                # rows that a task compares, about
+BLOCK = 1 << 14                                    # rows of a block: a larger bucket is compared by pairs of blocks
 
 _CTX_BYTES = REACH + 1                             # of a row's context: two codes a byte
 
@@ -215,8 +217,10 @@ def _hashes(codes: np.ndarray, seed: int) -> np.ndarray:
 class _Links:
     """Links between the rows of a task's buckets, found by comparing some of their pairs."""
 
-    def __init__(self, codes: np.ndarray, doc: np.ndarray, group: np.ndarray):
+    def __init__(self, codes: np.ndarray, doc: np.ndarray, group: np.ndarray, block: np.ndarray | None = None):
+        """``block``: rows with equal ones are compared by another task."""
         self.codes, self.doc, self.group, n = codes, doc, group, len(doc)
+        self.block = np.arange(n) if block is None else block
         self.planes = _planes(codes)
         # rows with equal contexts have a number in common
         self.alike = np.unique(_hashes(codes, len(PIECES)), return_inverse=True)[1]
@@ -226,6 +230,8 @@ class _Links:
         # a document's rows in one bucket are one node
         _, first, inverse = np.unique(np.stack([group, doc], 1), axis=0, return_index=True, return_inverse=True)
         self.label = joined(np.arange(n), np.arange(n), first[inverse.ravel()])
+        # the rows that are compared, and a number for their documents
+        self.rows, self.who = np.arange(n), np.unique(doc, return_inverse=True)[1]
 
     def compare(self, i: np.ndarray, j: np.ndarray) -> None:
         """i < j: a shifted alignment goes from the first row to the other.  Of pairs with the same two
@@ -241,13 +247,35 @@ class _Links:
         self.right.append(j)
         self.label = joined(self.label, i, j)
 
+    def equal(self) -> None:
+        """Rows of a bucket with equal contexts, of two documents or more: one pair is compared for all.
+        If it is similar, all are linked and have its run, which is as wide as their context; from here
+        on one of them stands for all, as a document and a block of its own."""
+        order, n = np.lexsort((self.doc, self.alike, self.group)), len(self.doc)
+        starts = run_starts([self.group[order], self.alike[order]])
+        size = np.diff(np.append(starts, n))
+        first, last = order[starts], order[starts + size - 1]
+        some = self.doc[first] != self.doc[last]
+        self.compare(np.minimum(first, last)[some], np.maximum(first, last)[some])
+        some &= self.hi[first] >= 0
+        one, all_of = np.repeat(first[some], size[some]), order[np.repeat(some, size)]
+        self.lo[all_of], self.hi[all_of] = self.lo[one], self.hi[one]
+        kept = np.ones(n, bool)
+        kept[all_of] = one == all_of
+        self.left.append(all_of[one != all_of])
+        self.right.append(one[one != all_of])
+        self.label = joined(self.label, self.left[-1], self.right[-1])
+        self.rows, self.block = np.flatnonzero(kept), self.block.copy()
+        self.who[first[some]], self.block[first[some]] = n + first[some], -1 - first[some]
+
     def neighbours(self) -> None:
         """Rows that agree in a piece, each with the next one in the order of contexts."""
-        every, n, pairs = np.arange(len(self.doc)), len(self.doc), []
+        self.equal()
+        n, pairs, codes = len(self.doc), [], self.codes[self.rows]
         for k, piece in enumerate(PIECES):
-            part = self.codes[:, piece]
-            rows, of = _parts(self.group, every, part, _hashes(part, k))
-            i, j = _beside(rows, of, self.doc[rows])[:2]
+            part = codes[:, piece]
+            rows, of = _parts(self.group, self.rows, part, _hashes(part, k))
+            i, j = _beside(rows, of, self.who[rows])[:2]
             pairs.append(np.minimum(i, j) * n + np.maximum(i, j))
         pairs = np.unique(np.concatenate(pairs))
         self.compare(pairs // n, pairs % n)
@@ -261,7 +289,7 @@ class _Links:
         size = np.diff(np.append(starts, len(self.group)))
         mixed = np.minimum.reduceat(self.label, starts) != np.maximum.reduceat(self.label, starts)
         mixed |= np.logical_or.reduceat(self.hi < 0, starts)
-        rows = np.flatnonzero(np.repeat(mixed, size))
+        rows = self.rows[np.repeat(mixed, size)[self.rows]]
         row, token = _alike(self.codes[rows], self.group[rows])
         row, n, far = rows[row], len(self.doc), 1
         # all pairs of a row together, so that none is compared twice
@@ -297,7 +325,7 @@ class _Links:
                 at_j = np.arange(count.sum()) + np.repeat(low[part] - np.cumsum(count) + count, count)
                 near = np.flatnonzero(part_of[at_j] != np.repeat(part_of[part], count))
                 i, j = row[np.repeat(part, count)[near]], row[at_j[near]]
-                near = self.doc[i] != self.doc[j]
+                near = (self.who[i] != self.who[j]) & (self.block[i] != self.block[j])
                 pairs = np.unique(i[near] * n + j[near])
                 self.compare(pairs // n, pairs % n)
             far *= 2
@@ -308,14 +336,14 @@ class _Links:
         connected already get their widest run."""
         starts = run_starts([self.group])
         size = np.diff(np.append(starts, len(self.group)))
-        rows = np.flatnonzero(np.repeat(size > 2, size))        # two have been compared
+        rows = self.rows[np.repeat(size > 2, size)[self.rows]]  # two have been compared
         for half in (self.codes[rows, REACH + 1:], self.codes[rows, REACH - 1::-1]):
             words = [np.zeros(len(rows), np.uint64) for _ in range(3)]
             for k in range(REACH):
                 words[k // 15] = words[k // 15] << np.uint64(4) | half[:, k]
             order = np.lexsort((*words[::-1], self.group[rows]))
             at = rows[order]
-            i, j, x, y = _beside(at, self.group[at], self.doc[at])
+            i, j, x, y = _beside(at, self.group[at], self.who[at])
             i, j = np.concatenate([i, x]), np.concatenate([j, y])
             pairs = np.unique(np.minimum(i, j) * len(self.doc) + np.maximum(i, j))
             self.compare(pairs // len(self.doc), pairs % len(self.doc))
@@ -578,22 +606,23 @@ def _islands(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _matches(rows: DataFrame) -> DataFrame:
     """(a, b) edges between documents, and (a, start, end) runs in words of document a."""
     keys = ["key", "p", "q"]
-    # alike contexts side by side: most members are connected by their neighbours.  A task may also
-    # compare two rows of the same block.  The number of tasks follows the rows: to Spark the input is small, but
+    # alike contexts side by side: most members are connected by their neighbours.  The number of tasks follows the rows: to Spark the input is small, but
     # each of its bytes is compared for long
     spark = rows.sparkSession
     tasks = max(4 * spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
-    pairs = blocked(rows, ["key"], "doc").repartition(tasks, *keys).sortWithinPartitions(*keys, "ctx")
+    pairs = blocked(rows, ["key"], "doc", BLOCK).repartition(tasks, *keys).sortWithinPartitions(*keys, "ctx")
     names = pairs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs((pa.RecordBatch.from_arrays(b.columns, names) for b in batches), keys):
-            col = {c: t[c].to_numpy() for c in ("key", "p", "q", "doc")}
+            col = {c: t[c].to_numpy() for c in ("key", "p", "q", "blk", "doc")}
             starts = run_starts([col[k] for k in keys])
             ends = np.append(starts[1:], t.num_rows)
             size = ends - starts
             doc, n = col["doc"], t.num_rows
-            links = _Links(_codes(t["ctx"]), doc, np.repeat(np.arange(len(starts)), size))
+            # two rows of one block are compared where the block is paired with itself, or are neighbours
+            block = np.where(col["p"] == col["q"], -1 - n - np.arange(n), col["blk"])
+            links = _Links(_codes(t["ctx"]), doc, np.repeat(np.arange(len(starts)), size), block)
             links.neighbours()
             links.rest()
             links.widest()

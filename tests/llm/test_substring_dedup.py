@@ -354,3 +354,57 @@ def test_pairs_dropped_after_the_alignment_are_no_passages(monkeypatch):
     monkeypatch.setattr(op, "_shifted", lambda runs_at, least: shifted(runs_at, 0))
     want = op._bridged(*planes)
     assert 0 < len(want[0]) < n and all(np.array_equal(x, y) for x, y in zip(got, want))
+
+
+def test_rows_with_equal_contexts_are_compared_as_one(monkeypatch):
+    r = np.random.default_rng(29)
+    n, times = 120, 12
+    codes = inserted_pairs(r, n)
+    codes[:, op.REACH - 14:op.REACH + 12] = codes[0, op.REACH - 14:op.REACH + 12]      # alike, so that many meet
+    compare, looked = op._Links.compare, []
+    monkeypatch.setattr(op._Links, "compare", lambda self, i, j: looked.append(len(i)) or compare(self, i, j))
+    one = linked(codes, np.zeros(n, np.int64))
+    alone, looked[:] = sum(looked), []
+    links = linked(np.repeat(codes, times, axis=0), np.zeros(n * times, np.int64))
+    # before, pairs of rows: times * times as many, about
+    assert sum(looked) <= 2 * alone + n
+    assert (links.lo == 0).all() and (links.hi == 2 * op.REACH).all()
+    assert (links.label.reshape(n, times) == times * one.label[:, None]).all()
+
+
+def test_blocks_of_a_large_bucket_leave_nothing_apart():
+    r = np.random.default_rng(31)
+    n, blocks = 360, 3
+    codes = inserted_pairs(r, n)
+    codes[60:120] = codes[:60]                                    # equal ones, also of one document
+    codes[120:150] = codes[:30]
+    doc = np.arange(n)
+    doc[300:] = doc[:60]
+    order = np.lexsort(codes.T)
+    codes, doc = codes[order], doc[order]
+    whole = op._Links(codes, doc, np.zeros(n, np.int64))
+    for step in (whole.neighbours, whole.rest, whole.widest):
+        step()
+    block = doc * 7 % blocks
+    left, right, lo, hi = [], [], np.full(n, 1 << 30), np.full(n, -1)
+    for p in range(blocks):
+        for q in range(p, blocks):
+            rows = np.flatnonzero((block == p) | (block == q))
+            own = -1 - len(rows) - np.arange(len(rows))
+            links = op._Links(codes[rows], doc[rows], np.zeros(len(rows), np.int64), own if p == q else block[rows])
+            for step in (links.neighbours, links.rest, links.widest):
+                step()
+            left.append(rows[np.concatenate(links.left)])
+            right.append(rows[np.concatenate(links.right)])
+            np.minimum.at(lo, rows, links.lo)
+            np.maximum.at(hi, rows, links.hi)
+    label = op.joined(whole.label, np.concatenate(left), np.concatenate(right))
+    parts = op.joined(np.unique(doc, return_index=True)[1][np.unique(doc, return_inverse=True)[1]], np.concatenate(left), np.concatenate(right))
+    assert (label == whole.label).all() and len(np.unique(parts)) == len(np.unique(whole.label))
+    assert ((hi >= 0) == (whole.hi >= 0)).all() and (lo <= whole.lo).all() and (hi >= whole.hi).all()
+
+
+def test_a_large_bucket_is_not_repeated_by_many_blocks(spark):
+    """Rows of a bucket are sent once for each block: 20,000 of them to a few tasks."""
+    rows = spark.range(20_000).selectExpr("1L as key", "id as doc")
+    assert op.blocked(rows, ["key"], "doc", op.BLOCK).count() <= 2 * 20_000
