@@ -72,56 +72,31 @@ BANDS, ROWS_PER_BAND = 16, 4
 NEAR_DUP_THRESHOLD = 0.8
 
 
-# word 3-grams of the normalized text, overlapping, found in one regex pass
-# (zero-width match at every word start, the n-gram captured in a lookahead)
-SHINGLE_PATTERN = r"(?<![\p{L}\p{N}])(?=([\p{L}\p{N}]+ [\p{L}\p{N}]+ [\p{L}\p{N}]+))"
-
-
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, shingles): distinct lower-cased word 3-grams of the whole text
+    """(id, shingles): distinct lower-cased word 3-grams of the whole text, as 64-bit hashes
     (a text of one or two words is a single shingle)."""
-    norm = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " "))
-    t = df.select(id_col, norm.alias("_n"))
-    sh = F.regexp_extract_all(F.col("_n"), F.lit(SHINGLE_PATTERN), 1)
-    out = F.when(F.size(sh) > 0, F.array_distinct(sh)).when(F.col("_n") != "", F.array(F.col("_n")))
-    return t.select(id_col, out.alias("shingles")).filter(F.col("shingles").isNotNull())
-
-
-def minhash_signatures(sets: DataFrame, id_col: str = "doc_id", num_perm: int = NUM_PERM) -> DataFrame:
-    """(id, sig): MinHash signature from ``num_perm`` seeded xxhash64 minima.
-
-    Shingles are exploded once and the minima are ``num_perm`` ordinary
-    aggregate expressions (codegen'd); all shingles of a document sit in one
-    task, so the partial aggregate leaves one row per document before the
-    shuffle."""
-    from tessera.functions.text import explode_rows
-    ex = explode_rows(sets, [id_col], F.col("shingles"), "sh")
-    aggs = [F.min(F.xxhash64(F.col("sh"), F.lit(j))).alias(f"h{j}") for j in range(num_perm)]
-    return ex.groupBy(id_col).agg(*aggs).select(id_col, F.array(*[F.col(f"h{j}") for j in range(num_perm)]).alias("sig"))
+    from tessera.operators import shingles
+    return shingles.shingle_sets(df, id_col, text_col)
 
 
 def prefix_keys(sets: DataFrame, id_col: str, threshold: float) -> DataFrame:
-    """(id, key, size): the hashes of the rarest shingles of each set, as many as two sets need to share
+    """(id, key, size): the rarest shingles of each set, as many as two sets need to share
     one if their Jaccard similarity reaches the threshold (size - ceil(threshold * size) + 1 of each,
-    in one order of all shingles: number of sets that hold it, then hash)."""
+    in one order of all shingles: number of sets that hold it, then hash).  A set that comes twice
+    counts as one."""
     from tessera.functions.text import explode_rows
-    hashes = F.array_distinct(F.transform("shingles", lambda x: F.xxhash64(x)))
-    rows = explode_rows(sets.select(id_col, hashes.alias("_h")).withColumn("size", F.size("_h")), [id_col, "size"], F.col("_h"), "key")
+    own = sets.select(id_col, F.size("shingles").alias("size"), F.xxhash64("shingles").alias("_set"), "shingles")
+    rows = explode_rows(own, [id_col, "size", "_set"], F.col("shingles"), "key")
     count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_df"))
-    w = Window.partitionBy(id_col).orderBy("_df", "key")
+    w = Window.partitionBy(id_col, "size", "_set").orderBy("_df", "key")
     # 1e-9: the product of a threshold and a size may lie a rounding error above a whole number
     most = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-    return (rows.join(count, "key").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most)
+    return (rows.join(count, "key").withColumn("_n", F.dense_rank().over(w)).filter(F.col("_n") <= most)
             .select(id_col, "key", "size"))
 
 
-def _verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(id, rep, jaccard) of the pairs whose exact shingle Jaccard reaches the
-    threshold; shingle sets are built (and written once) only for documents
-    that appear in a pair."""
-    from tessera.session import materialize
-    needed = pairs.select(id_col).union(pairs.select(F.col("rep").alias(id_col))).distinct()
-    sets = materialize(shingle_sets(df.join(needed, id_col, "left_semi"), id_col, text_col), "shingles")
+def _verified(sets: DataFrame, pairs: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """(id, rep, jaccard) of the pairs whose exact shingle Jaccard reaches the threshold."""
     a = sets.withColumnRenamed("shingles", "_a")
     b = sets.select(F.col(id_col).alias("rep"), F.col("shingles").alias("_b"))
     common = F.size(F.array_intersect("_a", "_b"))
@@ -146,47 +121,57 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
       such buckets, as far as these are earlier than a match they have
       already.  For this they meet by a second key, the rarest of their
       shingles (:func:`prefix_keys`): unlike members, whose rare shingles
-      differ, do not meet, so a bucket costs no product of its members.
+      differ, do not meet, so a bucket costs no product of its members.  Pairs
+      that share too few of them to reach the threshold are not verified.
       Pairs whose signatures agree in less than half of the minima are not
       verified (at Jaccard 0.8 that befalls less than one pair in a million).
 
     Proposals are probabilistic (a pair of Jaccard 0.8 shares a band with
-    probability 0.9998); verified pairs are exact.  Signatures and matches
-    are written tables; documents without a word have no row.
+    probability 0.9998); verified pairs are exact (shingles as 64-bit hashes).
+    Texts are read once for signatures, and those of the documents that share a
+    band once more for their shingles; both are written tables, as are matches.
+    Documents without a word have no row.
     """
     from tessera.session import materialize
-    norm = F.trim(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+", " "))
-    hashed = df.select(id_col, F.when(norm != "", F.sha2(norm, 256)).alias("_h")).filter("_h IS NOT NULL")
-    classes = hashed.groupBy("_h").agg(F.min(id_col).alias("_first"))
-    copies = materialize(hashed.join(classes, "_h").select(id_col, "_first"), "near-dup-copies")
-    firsts = df.join(copies.filter(F.col(id_col) == F.col("_first")), id_col, "left_semi").select(id_col, text_col)
-
-    sig = materialize(minhash_signatures(shingle_sets(firsts, id_col, text_col), id_col), "near-dup-signatures")
+    from tessera.operators.shingles import signatures
+    facts = materialize(signatures(df, id_col, text_col, NUM_PERM), "near-dup-signatures")
+    classes = facts.groupBy("words").agg(F.min(id_col).alias("_first"))
+    copies = materialize(facts.select(id_col, "words").join(classes, "words").select(id_col, "_first"), "near-dup-copies")
+    firsts = copies.filter(F.col(id_col) == F.col("_first")).select(id_col).distinct()
+    sig = materialize(facts.join(firsts, id_col, "left_semi").select(id_col, "size", "sig"), "near-dup-firsts")
     band_keys = F.array(*[F.xxhash64(F.slice(F.col("sig"), b * ROWS_PER_BAND + 1, ROWS_PER_BAND), F.lit(b))
                           for b in range(BANDS)])
-    bands = sig.select(id_col, "sig", F.posexplode(band_keys).alias("band", "bkey"))
-    reps = bands.groupBy("band", "bkey").agg(F.min(id_col).alias("rep"))
-    with_rep = bands.join(reps, ["band", "bkey"]).filter(F.col("rep") < F.col(id_col))
+    bands = sig.select(id_col, F.posexplode(band_keys).alias("band", "bkey"))
+    reps = bands.groupBy("band", "bkey").agg(F.min(id_col).alias("rep"), F.max(id_col).alias("_last")).filter("rep < _last")
+    with_rep = bands.join(reps.drop("_last"), ["band", "bkey"]).filter(F.col("rep") < F.col(id_col))
+    with_rep = materialize(with_rep.select(id_col, "band", "bkey", "rep"), "near-dup-buckets")
     proposed = materialize(with_rep.select(id_col, "rep").distinct(), "near-dup-candidates")
-    hits = materialize(_verified(firsts, proposed, id_col, text_col, threshold), "near-dup-matches")
+    crowd = proposed.select(id_col).union(proposed.select("rep")).distinct()
+    sets = materialize(shingle_sets(df.join(crowd, id_col, "left_semi"), id_col, text_col), "near-dup-shingles")
+    hits = materialize(_verified(sets, proposed, id_col, threshold), "near-dup-matches")
 
     found = hits
     best = hits.groupBy(id_col).agg(F.min("rep").alias("_best"))
     rest = with_rep.join(hits.select(id_col, "rep"), [id_col, "rep"], "left_anti").select(id_col, "band", "bkey", "rep")
     rest = materialize(rest, "near-dup-rest")
     if not rest.isEmpty():
-        crowd = bands.join(rest.select("band", "bkey").distinct(), ["band", "bkey"], "left_semi").select(id_col).distinct()
-        keys = materialize(prefix_keys(shingle_sets(firsts.join(crowd, id_col, "left_semi"), id_col, text_col), id_col, threshold), "near-dup-prefixes")
+        crowd = with_rep.join(rest.select("band", "bkey").distinct(), ["band", "bkey"], "left_semi").select(id_col)
+        crowd = crowd.union(rest.select("rep")).distinct()
+        keys = materialize(prefix_keys(sets.join(crowd, id_col, "left_semi"), id_col, threshold), "near-dup-prefixes")
         mine = keys.join(rest.select(id_col).distinct(), id_col, "left_semi").join(best, id_col, "left")
         other = keys.select("key", F.col(id_col).alias("_other"), F.col("size").alias("_size"))
         earlier = F.col("_other") < F.coalesce(F.col("_best"), F.col(id_col))
         near = (F.col("_size") >= threshold * F.col("size")) & (F.col("size") >= threshold * F.col("_size"))
-        more = mine.join(other, "key").filter(earlier & near).select(id_col, F.col("_other").alias("rep")).distinct()
+        # what two sets have in common lies in both prefixes, or beyond the one that ends first
+        beyond = F.ceil(F.lit(threshold) * F.greatest("size", "_size") - 1e-9) - 1
+        enough = F.col("_n") + beyond >= F.lit(threshold / (1 + threshold)) * (F.col("size") + F.col("_size")) - 1e-9
+        more = (mine.join(other, "key").filter(earlier & near).groupBy(id_col, "_other", "size", "_size").agg(F.count("*").alias("_n"))
+                .filter(enough).select(id_col, F.col("_other").alias("rep")).distinct())
         mine, other = (sig.select(F.col(id_col).alias(i), F.col("sig").alias(c)) for i, c in ((id_col, "_a"), ("rep", "_b")))
         agreeing = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-        more = more.join(mine, id_col).join(other, "rep").filter(agreeing >= NUM_PERM // 2).select(id_col, "rep")
+        more = more.join(mine, id_col).join(other, "rep").filter(agreeing >= NUM_PERM // 2).select(id_col, "rep").distinct()
         more = materialize(more.join(proposed, [id_col, "rep"], "left_anti"), "near-dup-candidates")
-        found = hits.unionByName(_verified(firsts, more, id_col, text_col, threshold))
+        found = hits.unionByName(_verified(sets, more, id_col, threshold))
     m = found.groupBy(F.col(id_col).alias("_first")).agg(F.min(F.struct("rep", "jaccard")).alias("m"))
     copy = F.when(F.col(id_col) != F.col("_first"), F.col("_first"))
     return (copies.join(m, "_first", "left")
