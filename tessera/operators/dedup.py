@@ -70,6 +70,8 @@ def balance(df: DataFrame, dim: str) -> DataFrame:
 NUM_PERM = 64
 BANDS, ROWS_PER_BAND = 16, 4
 NEAR_DUP_THRESHOLD = 0.8
+#: ids that are sent to all tasks rather than texts and shingles shuffled to them
+MOST_SENT = 1 << 20
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,10 +97,18 @@ def prefix_keys(sets: DataFrame, id_col: str, threshold: float) -> DataFrame:
             .select(id_col, "key", "size"))
 
 
+def _among(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` with one of the distinct ``ids`` (a projection of a written table).  So many ids
+    as a task holds easily go to the rows; else the rows are shuffled."""
+    few = ids.count() <= MOST_SENT
+    return df.join(F.broadcast(ids) if few else ids, id_col, "left_semi")
+
+
 def _verified(sets: DataFrame, pairs: DataFrame, id_col: str, threshold: float) -> DataFrame:
     """(id, rep, jaccard) of the pairs whose exact shingle Jaccard reaches the threshold."""
     a = sets.withColumnRenamed("shingles", "_a")
-    b = sets.select(F.col(id_col).alias("rep"), F.col("shingles").alias("_b"))
+    reps = pairs.select(F.col("rep").alias(id_col)).distinct()
+    b = _among(sets, reps, id_col).select(F.col(id_col).alias("rep"), F.col("shingles").alias("_b"))
     common = F.size(F.array_intersect("_a", "_b"))
     return (pairs.join(a, id_col).join(b, "rep")
             .select(id_col, "rep", (common / (F.size("_a") + F.size("_b") - common)).alias("jaccard"))
@@ -147,7 +157,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with_rep = materialize(with_rep.select(id_col, "band", "bkey", "rep"), "near-dup-buckets")
     proposed = materialize(with_rep.select(id_col, "rep").distinct(), "near-dup-candidates")
     crowd = proposed.select(id_col).union(proposed.select("rep")).distinct()
-    sets = materialize(shingle_sets(df.join(crowd, id_col, "left_semi"), id_col, text_col), "near-dup-shingles")
+    sets = materialize(shingle_sets(_among(df, crowd, id_col), id_col, text_col), "near-dup-shingles")
     hits = materialize(_verified(sets, proposed, id_col, threshold), "near-dup-matches")
 
     found = hits
